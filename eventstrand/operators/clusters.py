@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -42,11 +44,24 @@ def user_vectors(windows: DataFrame, column: str = "embedding") -> DataFrame:
     return unit.withColumn("features", array_to_vector("embedding"))
 
 
-def kmeans_best_of(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100) -> KMeansModel:
-    """The k-means model with the smallest cost over ``n_init`` seeds (the earliest on ties)."""
-    models = (
-        KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(n_init)
-    )
+def kmeans_best_of(
+    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100, parallelism: int = 4
+) -> KMeansModel:
+    """The k-means model with the smallest cost over ``n_init`` seeds (the earliest on ties).
+
+    The fits share one cached copy of the vectors and run ``parallelism`` at a time.
+    """
+    cached = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+
+    @inheritable_thread_target(vectors.sparkSession)
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(cached)
+
+    try:
+        with ThreadPool(min(parallelism, n_init)) as pool:
+            models = pool.map(fit, range(n_init))
+    finally:
+        cached.unpersist()
     return min(models, key=lambda model: model.summary.trainingCost)
 
 

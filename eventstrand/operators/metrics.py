@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventstrand.functions.sequences import PADDING, int_div
 from eventstrand.functions.vectors import dot
 
-# Number of event classes, the reinforced risk class and its factor.
+# Number of event classes, the reinforced risk class and its factor, and the class
+# support the default weights are made from.
 N_CLASSES = 21
 RISK_CLASS = 21
 RISK_FACTOR = 2.5
+DEFAULT_SUPPORT = {
+    1: 77736,
+    2: 431737,
+    3: 219415,
+    4: 114894,
+    5: 27734,
+    6: 116,
+    7: 11511,
+    8: 370,
+    9: 16691,
+    11: 16223,
+    13: 159,
+    14: 1,
+    15: 625,
+    17: 221349,
+    18: 2652,
+    19: 2459,
+    20: 6774,
+    21: 15876,
+}
 
 
 def class_support(df: DataFrame, column: str = "event_type") -> DataFrame:
@@ -20,6 +41,11 @@ def class_support(df: DataFrame, column: str = "event_type") -> DataFrame:
     )
 
 
+def default_support(spark: SparkSession) -> DataFrame:
+    """The fixed class support as a table."""
+    return spark.createDataFrame(list(DEFAULT_SUPPORT.items()), "event_type int, support bigint")
+
+
 def class_weights(
     support: DataFrame,
     n_classes: int = N_CLASSES,

@@ -24,38 +24,47 @@ def split_row_counts(windows: DataFrame, split: DataFrame) -> DataFrame:
     return per_user.join(split, "user_id").groupBy("split").agg(F.sum("n").alias("n_rows"))
 
 
-def bucket_split(df: DataFrame, bucket: str = "bucket", train_fraction: float = 0.8) -> DataFrame:
-    """First ``train_fraction`` of the buckets in order are train, the rest val.
+def _last_train_bucket(df: DataFrame, bucket: str, train_fraction: float) -> DataFrame:
+    """One row: the last bucket of the train side.
 
     A bucket stands for one output file group; their number is a setting of the writer, so the
-    unpartitioned window below is over that few rows.
+    unpartitioned windows below are over that few rows.
     """
-    everything = Window.partitionBy()
     ranked = df.select(bucket).distinct().select(
         bucket,
         F.row_number().over(Window.orderBy(bucket)).alias("rank"),
-        F.count(F.lit(1)).over(everything).alias("n_buckets"),
+        F.count(F.lit(1)).over(Window.partitionBy()).alias("n_buckets"),
     )
     train = F.col("rank") <= F.floor(F.col("n_buckets") * F.lit(train_fraction))
-    side = (
-        F.when(F.col("n_buckets") < 2, F.raise_error(F.lit("a split needs at least 2 buckets")))
-        .when(train, F.lit("train"))
-        .otherwise(F.lit("val"))
+    too_few = F.raise_error(F.lit("a split needs at least 2 buckets"))
+    return ranked.agg(
+        F.when(F.max("n_buckets") < 2, too_few).otherwise(F.max(F.when(train, F.col(bucket)))).alias("last")
     )
-    return ranked.select(bucket, side.alias("side"))
+
+
+def with_bucket_side(df: DataFrame, bucket: str = "bucket", train_fraction: float = 0.8) -> DataFrame:
+    """Add ``side``: train for the first ``train_fraction`` of the buckets in order, val for the rest.
+
+    The border is a scalar subquery, so no row is shuffled or joined to learn its side.
+    """
+    border = _last_train_bucket(df, bucket, train_fraction).scalar()
+    in_train = F.coalesce(F.col(bucket) <= border, F.lit(False))
+    return df.withColumn("side", F.when(in_train, F.lit("train")).otherwise(F.lit("val")))
+
+
+def bucket_split(df: DataFrame, bucket: str = "bucket", train_fraction: float = 0.8) -> DataFrame:
+    """(bucket, side) of every bucket."""
+    return with_bucket_side(df.select(bucket).distinct(), bucket, train_fraction)
 
 
 def train_val_rows(
     windows: DataFrame, split: DataFrame, bucket: str = "bucket", train_fraction: float = 0.8
 ) -> DataFrame:
     """Effective sets: train buckets with train users, val buckets with test users; the rest unused."""
-    sides = bucket_split(windows, bucket, train_fraction)
+    wanted = F.when(F.col("side") == "train", F.lit("train")).otherwise(F.lit("test"))
     return (
-        windows.join(sides, bucket)
+        with_bucket_side(windows, bucket, train_fraction)
         .join(split, "user_id")
-        .where(
-            ((F.col("side") == "train") & (F.col("split") == "train"))
-            | ((F.col("side") == "val") & (F.col("split") == "test"))
-        )
+        .where(F.col("split") == wanted)
         .drop("split")
     )
