@@ -128,6 +128,23 @@ def _matrix(names) -> str:
 
 ORDERED = f"row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, {{key}})), {{key}}) - 1"
 
+TRAINING = f"""
+SELECT *, shuffled_position // {BATCH} AS batch_id FROM (
+  SELECT user_id, window_start, side,
+         row_number() OVER (PARTITION BY side ORDER BY md5(concat_ws(':', {SEED}, user_id, window_start))) - 1
+           AS shuffled_position,
+         {_padded('ie', TEST_SPEC.length, 'input_event_seq')},
+         {_padded(f"""list_transform(ie, lambda e, i:
+           CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')}
+                     < CASE side WHEN 'train' THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END THEN 0 ELSE e END)""",
+           TEST_SPEC.length, 'input_event_seq_v2')},
+         {_padded("list_transform(ip, lambda p: coalesce(list_position(known, p), 0))",
+           TEST_SPEC.length, 'input_product_seq')},
+         {_padded('te', TEST_SPEC.length, 'target_event_seq')}
+  FROM bucketed JOIN sides USING (bucket) JOIN split USING (user_id),
+       (SELECT list(orig_id ORDER BY new_id) AS known FROM vocab)
+  WHERE (side = 'train' AND split = 'train') OR (side = 'val' AND split = 'test'))"""
+
 PAIRS = f"""
 pairs AS (
   SELECT user_id, window_start, i - 1 AS i, te[i] AS target, ie[i] AS pred
@@ -178,8 +195,25 @@ unit AS (
          list_transform(b, lambda v: v / sqrt(list_dot_product(b, b))) AS b FROM views),
 cosines AS (SELECT vec_id, list_dot_product(a, b) AS cosine FROM unit)"""
 
-NCE = f"""
-batched AS (SELECT *, ({ORDERED.format(key='vec_id')}) // {BATCH} AS batch_id FROM unit),
+VIEW_WIN = f"""
+masked AS (
+  SELECT user_id, window_start, ie, list_transform(ie, lambda e, i:
+    CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')} < 0.15 THEN 0 ELSE e END) AS me FROM win),
+views AS (
+  SELECT user_id, window_start,
+    list_transform(range(8), lambda j: list_sum(list_transform(ie, lambda e: (e * (j + 1)) % 11)))::DOUBLE[] AS a,
+    list_transform(range(8), lambda j: list_sum(list_transform(me, lambda e: (e * (j + 1)) % 11)))::DOUBLE[] AS b
+  FROM masked),
+unit AS (
+  SELECT user_id * 100000 + window_start AS vec_id, user_id, window_start,
+         list_transform(a, lambda v: v / sqrt(list_dot_product(a, a))) AS a,
+         list_transform(b, lambda v: v / sqrt(list_dot_product(b, b))) AS b FROM views),
+cosines AS (SELECT list_dot_product(a, b) AS cosine FROM unit)"""
+
+
+def _nce(key: str) -> str:
+    return f"""
+batched AS (SELECT *, ({ORDERED.format(key=key)}) // {BATCH} AS batch_id FROM unit),
 sims AS (
   SELECT l.batch_id, l.vec_id, r.vec_id AS other, list_dot_product(l.a, r.b) / 0.07 AS s
   FROM batched l JOIN batched r ON l.batch_id = r.batch_id),
@@ -281,6 +315,11 @@ SQL = {
         SELECT *, shuffled_position // {BATCH} AS batch_id FROM (
           SELECT user_id, window_start, {ORDERED.format(key='user_id, window_start')} AS shuffled_position,
                  array_to_string(ie, ',') AS input_event_seq FROM win)"""),
+    "mean_pool": _with(*WIN, f"""
+        SELECT user_id, window_start, j - 1 AS i,
+               round(list_sum(list_transform(nf, lambda f: f[j]::DOUBLE)) / {TEST_SPEC.length}, 4) + 0.0 AS x
+        FROM win, range(1, 4) AS r(j)"""),
+    "training_batches": _with(*WIN, VOCAB, SPLIT, SIDES, TRAINING),
     "sink_roundtrip": _with(*WIN, f"SELECT *, {BUCKET} AS bucket FROM ({WIN_TEXT})"),
     "resume_pending_buckets": _with(*WIN, f"""
         SELECT user_id, window_start, {BUCKET} AS bucket,
@@ -325,9 +364,12 @@ SQL = {
                  FROM cosines, ends GROUP BY 1)""", """
         SELECT b AS bin, round(lo + b * w, 4) AS lower, round(lo + (b + 1) * w, 4) AS upper, coalesce(n, 0) AS n
         FROM ends, range(64) AS r(b) LEFT JOIN hits ON b = bin"""),
-    "info_nce_batches": _with(VIEWS, NCE, "SELECT batch_id, n_rows, round(loss, 4) AS loss FROM losses"),
-    "info_nce": _with(VIEWS, NCE, """
+    "info_nce_batches": _with(VIEWS, _nce("vec_id"), "SELECT batch_id, n_rows, round(loss, 4) AS loss FROM losses"),
+    "info_nce": _with(VIEWS, _nce("vec_id"), """
         SELECT round(avg(loss), 4) AS info_nce, count(*) AS n_batches FROM losses"""),
+    "contrastive_validation": _with(*WIN, VIEW_WIN, _nce("user_id, window_start"), """
+        SELECT round((SELECT avg(loss) FROM losses), 4) AS info_nce, round(avg(cosine), 4) AS mean_cosine,
+               count(*) AS n_pairs FROM cosines"""),
     "score_embeddings": _with(*WIN, """
         SELECT user_id, window_start, j AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id, window_start)), 4)
                  AS x

@@ -17,12 +17,15 @@ from eventstrand.adapters import (
     TEST_STD,
 )
 from eventstrand.catalog.scorers import N_SCORES, embedding_model, next_event_model
+from eventstrand.functions import vectors
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators import clusters, losses, metrics, ranking, splits, tensors, vocabulary, windows
 from eventstrand.operators.features import event_features, normalise_events, with_cashflow
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
 from eventstrand.operators.inference import predict_events, score_windows
-from eventstrand.plans.preprocess import build_windows, features_of
+from eventstrand.plans.evaluation import evaluate_contrastive
+from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
+from eventstrand.plans.training import training_tables
 from eventstrand.session import configure, materialise, shared_dir
 from eventstrand.sources import sinks, tables
 from eventstrand.operators.windows import WindowSpec
@@ -365,7 +368,8 @@ def seeded_batches(spark, sf_dir):
 @query
 def sink_roundtrip(spark, sf_dir):
     path = _folder(spark)
-    sinks.write_buckets(sinks.with_bucket(_windows(spark, sf_dir), N_BUCKETS, SEED), path)
+    bucketed = sinks.with_bucket(_raw(spark, sf_dir), N_BUCKETS, SEED)
+    sinks.write_buckets(build_bucketed_windows(bucketed, TEST_SPEC, TEST_MEAN, TEST_STD), path)
     return _window_text(spark.read.parquet(path), _whole("bucket"))
 
 
@@ -374,18 +378,43 @@ def resume_pending_buckets(spark, sf_dir):
     """A first run that reached only the even buckets, then a second one over everything pending."""
     folder, raw = _folder(spark), _raw(spark, sf_dir)
     path, markers = f"{folder}/windows", f"{folder}/done"
-    even = sinks.with_bucket(_windows(spark, sf_dir), N_BUCKETS, SEED).where(F.col("bucket") % 2 == 0)
-    sinks.write_buckets(even, path)
+
+    def build(events: DataFrame) -> DataFrame:
+        return build_bucketed_windows(events, TEST_SPEC, TEST_MEAN, TEST_STD, SPLIT_HISTORY_ABOVE)
+
+    even = sinks.with_bucket(raw, N_BUCKETS, SEED).where(F.col("bucket") % 2 == 0)
+    sinks.write_buckets(build(even), path)
     spark.range(0, N_BUCKETS, 2).selectExpr("int(id) bucket").coalesce(1).write.json(markers)
-    resumed = sinks.write_resumable(
-        raw, lambda part: build_windows(part, TEST_SPEC, TEST_MEAN, TEST_STD), path, markers, N_BUCKETS,
-        seed=SEED,
-    )
+    resumed = sinks.write_resumable(raw, build, path, markers, N_BUCKETS, seed=SEED)
     by = F.when(F.col("bucket").isin(resumed), F.lit("second run")).otherwise(F.lit("first run"))
     back = spark.read.parquet(path)
     return back.select(*KEY, _whole("bucket"), by.alias("written_by"), _text("input_event_seq"))
 
 
+@query
+def mean_pool(spark, sf_dir):
+    pooled = _padded(spark, sf_dir).select(*KEY, vectors.mean_pool(F.col("num_feats_seq")).alias("pooled"))
+    return pooled.select(*KEY, F.posexplode("pooled").alias("i", "x")).select(*KEY, _whole("i"), _rounded("x"))
+
+
+@query
+def training_batches(spark, sf_dir):
+    """From the stored dataset to padded, remapped, masked, shuffled rows of both sides."""
+    folder = _folder(spark)
+    stored = write_dataset(
+        _raw(spark, sf_dir), folder, N_BUCKETS, TEST_SPEC, value_mean=TEST_MEAN, value_std=TEST_STD
+    )
+    sides = training_tables(
+        _with_bucket(stored), _split(spark, sf_dir), spark.read.parquet(f"{folder}/vocabulary"), LENGTH, BATCH,
+        seed=SEED,
+    )
+    both = tables.union_tables([df.withColumn("side", F.lit(side)) for side, df in sides.items()])
+    return both.select(
+        *KEY, "side", "shuffled_position", "batch_id", _text("input_event_seq"), _text("input_event_seq_v2"),
+        _text("input_product_seq"), _text("target_event_seq"),
+    )
+
+
 # ---- predictions and metrics --------------------------------------------------------------------
 
 
@@ -505,6 +534,17 @@ def score_embeddings(spark, sf_dir):
     )
 
 
+@query
+def contrastive_validation(spark, sf_dir):
+    reports = evaluate_contrastive(
+        _padded(spark, sf_dir), embedding_model(), LENGTH, batch_size=BATCH, seed=SEED
+    )
+    loss, cosine = reports["loss"], reports["cosine"]
+    return cosine.select(
+        _rounded(loss.select("info_nce").scalar(), "info_nce"), _rounded("mean_cosine"), "n_pairs"
+    )
+
+
 @query
 def user_mean_embedding(spark, sf_dir):
     mean = clusters.user_mean_embedding(adapters.window_embeddings(_embeddings(spark, sf_dir)))
@@ -518,9 +558,9 @@ def user_mean_embedding(spark, sf_dir):
 
 @query
 def kmeans_clusters(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    model = clusters.kmeans_best_of(vectors, k=8)
-    return clusters.assign_clusters(model, vectors).select("user_id", "cluster")
+    users = _vectors(spark, sf_dir)
+    model = clusters.kmeans_best_of(users, k=8)
+    return clusters.assign_clusters(model, users).select("user_id", "cluster")
 
 
 @query

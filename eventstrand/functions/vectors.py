@@ -13,6 +13,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def mean_pool(matrix: Column) -> Column:
+    """Element-wise mean of the rows of an ``array<array<..>>`` column; null for no rows."""
+    rows = matrix.cast("array<array<double>>")
+    total = F.aggregate(
+        F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
+        F.get(rows, F.lit(0)),
+        lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y),
+    )
+    return F.transform(total, lambda x: x / F.size(rows))
+
+
 def log_sum_exp(scores: Column) -> Column:
     """log(sum(exp(scores))), shifted by the largest score so that exp cannot overflow."""
     top = F.array_max(scores).cast("double")

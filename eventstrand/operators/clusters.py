@@ -86,8 +86,12 @@ def silhouette_exact(
         clustered.select(F.col(key).alias("id"), F.col(column).alias("v"), "cluster"), ["id"], sample_size, seed
     ).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1)))
-    left = points.select("id", "v", "cluster", "block", others.alias("other"))
-    right = points.select("id", "v", "cluster", others.alias("block"), F.col("block").alias("other"))
+    # a limited sample sits in one partition: without a partition count the products would stay there
+    pairs = (n_blocks**2, "block", "other")
+    left = points.select("id", "v", "cluster", "block", others.alias("other")).repartition(*pairs)
+    right = points.select(
+        "id", "v", "cluster", others.alias("block"), F.col("block").alias("other")
+    ).repartition(*pairs)
 
     def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "own", "cluster", "total", "n"]

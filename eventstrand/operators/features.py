@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventstrand.operators.histories import ORDER, Histories, segment_carry
+from eventstrand.operators.histories import ORDER, Histories, segment_carry, user_keys
 
 # Event codes with a cash-flow meaning, and the default value scaling.
 OUTFLOW_EVENTS = (2, 4)
@@ -28,6 +28,7 @@ def normalise_events(raw: DataFrame) -> DataFrame:
         F.col("value").cast("float").alias("value"),
         F.col("event_type").cast("tinyint").alias("event_type"),
         F.coalesce(F.col("product_id").cast("bigint"), F.lit(0)).alias("product_id"),
+        *([F.col("bucket")] if "bucket" in raw.columns else []),
     ).where(F.col("user_id").isNotNull())
 
 
@@ -96,7 +97,7 @@ def _derived_columns(df: DataFrame, value_mean: float, value_std: float) -> Data
     )
     value = F.coalesce(F.col("value"), F.lit(0.0)).cast("double")
     return df.select(
-        "user_id",
+        *user_keys(df),
         *(["segment"] if "segment" in df.columns else []),
         "timestamp_event",
         "event_id",
@@ -120,7 +121,7 @@ def event_features(
     """Time gap, running balance before the event, and normalised features, in event order per user."""
     flows = with_cashflow(histories)
     running = Histories(
-        _running_columns(flows.regular, "user_id"),
+        _running_columns(flows.regular, *user_keys(flows.regular)),
         None if flows.heavy is None else _segmented_running_columns(flows.heavy),
     )
     return running.map(lambda df: _derived_columns(df, value_mean, value_std))

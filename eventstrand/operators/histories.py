@@ -39,6 +39,14 @@ class Histories:
         return self.regular.unionByName(self.heavy.drop("segment"))
 
 
+def user_keys(df: DataFrame) -> list[str]:
+    """What a user is grouped by: an output bucket, if the events carry one, and the user id.
+
+    Grouping by the bucket too lets events that are already partitioned by bucket stay where they are.
+    """
+    return [c for c in ("bucket", "user_id") if c in df.columns]
+
+
 def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK) -> Histories:
     """Separate the users whose history is too long for one task and cut it into segments."""
     heavy_users = (

@@ -18,21 +18,23 @@ def score_windows(
     length: int,
     n_feats: int = 3,
     batch_size: int = 256,
+    events: str = "input_event_seq",
 ) -> DataFrame:
-    """Add ``output``: one float vector per window.
+    """Add ``output``: one float vector per window; ``events`` names the view of the events to score.
 
     ``make_predict_fn()`` runs once per Python worker and returns
     ``predict(events[b, length], products[b, length], feats[b, length, n_feats]) -> array[b, m]``.
-    All key columns travel with the row, so scores need no re-association afterwards.
+    All key columns travel with the row, so scores need no re-association afterwards.  The function is
+    declared nondeterministic: otherwise a later filter or explode would run the model a second time.
     """
     score = predict_batch_udf(
         make_predict_fn,
         return_type=ArrayType(FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=[[length], [length], [length, n_feats]],
-    )
+    ).asNondeterministic()
     return padded.withColumn(
-        output, score("input_event_seq", "input_product_seq", F.flatten("num_feats_seq"))
+        output, score(events, "input_product_seq", F.flatten("num_feats_seq"))
     )
 
 

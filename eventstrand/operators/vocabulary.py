@@ -55,7 +55,8 @@ def _remap_by_lookup(windows: DataFrame, vocabulary: pd.DataFrame) -> DataFrame:
         offsets = pa.array(np.concatenate([[0], ends]).astype("int32"))
         return pa.ListArray.from_arrays(offsets, pa.array(translated))
 
-    return windows.withColumn("input_product_seq", translate("input_product_seq"))
+    # nondeterministic only in name: keeps the planner from evaluating it twice
+    return windows.withColumn("input_product_seq", translate.asNondeterministic()("input_product_seq"))
 
 
 def _remap_by_join(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventstrand.functions.sequences import int_div
-from eventstrand.operators.histories import Histories
-from eventstrand.sources.tables import union_tables
+from eventstrand.operators.histories import Histories, user_keys
 
 FEATURES = ("value_norm", "time_delta_norm", "balance_norm")
 
@@ -51,9 +50,7 @@ def covering_starts(pos: Column, n_events: Column, spec: WindowSpec) -> Column:
 
 
 def _event_struct() -> Column:
-    return F.struct(
-        "pos", "event_type", "product_id", F.struct(*FEATURES).alias("num_feats")
-    )
+    return F.struct("pos", "event_type", "product_id", F.struct(*FEATURES).alias("num_feats"))
 
 
 def _assemble(features: DataFrame, spec: WindowSpec) -> DataFrame:
@@ -61,17 +58,19 @@ def _assemble(features: DataFrame, spec: WindowSpec) -> DataFrame:
 
     Ordinary users are already hash-partitioned by user, so this adds no shuffle for them.
     """
+    keys = user_keys(features)
     if spec.min_events is not None:
         features = features.where(F.col("n_events") >= spec.min_events)
     starts = covering_starts(F.col("pos"), F.col("n_events"), spec)
     events = F.col("events")
     return (
-        features.select("user_id", "n_events", _event_struct().alias("event"),
-                        F.explode(starts).alias("window_start"))
-        .groupBy("user_id", "n_events", "window_start")
+        features.select(
+            *keys, "n_events", _event_struct().alias("event"), F.explode(starts).alias("window_start")
+        )
+        .groupBy(*keys, "n_events", "window_start")
         .agg(F.sort_array(F.collect_list("event")).alias("events"))
         .select(
-            "user_id",
+            *keys,
             "window_start",
             "n_events",
             F.slice(events["event_type"], 1, spec.length).alias("input_event_seq"),
@@ -84,8 +83,12 @@ def _assemble(features: DataFrame, spec: WindowSpec) -> DataFrame:
 
 def sequence_windows(features: Histories, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """One row per (user, window start) with parallel input lists and the target list."""
-    parts = [features.regular] + ([] if features.heavy is None else [features.heavy])
-    return union_tables([_assemble(part, spec) for part in parts])
+    return assemble_windows(features, spec).rows()
+
+
+def assemble_windows(features: Histories, spec: WindowSpec) -> Histories:
+    """The windows of ordinary and of heavy users, still apart."""
+    return features.map(lambda part: _assemble(part, spec))
 
 
 def user_history(features: Histories, chunk_length: int = 1000) -> DataFrame:
@@ -98,11 +101,11 @@ def user_history(features: Histories, chunk_length: int = 1000) -> DataFrame:
     def chunks(df: DataFrame) -> DataFrame:
         chunk = int_div(F.col("pos"), F.lit(chunk_length))
         return (
-            df.select("user_id", "n_events", chunk.alias("chunk"), _event_struct().alias("event"))
-            .groupBy("user_id", "n_events", "chunk")
+            df.select(*user_keys(df), "n_events", chunk.alias("chunk"), _event_struct().alias("event"))
+            .groupBy(*user_keys(df), "n_events", "chunk")
             .agg(F.sort_array(F.collect_list("event")).alias("events"))
             .select(
-                "user_id",
+                *user_keys(df),
                 "n_events",
                 "chunk",
                 F.col("events.event_type").alias("event_type"),
@@ -111,8 +114,7 @@ def user_history(features: Histories, chunk_length: int = 1000) -> DataFrame:
             )
         )
 
-    parts = [features.regular] + ([] if features.heavy is None else [features.heavy])
-    return union_tables([chunks(part) for part in parts])
+    return features.map(chunks).rows()
 
 
 def history_filter_counts(events: DataFrame, min_events: int) -> DataFrame:

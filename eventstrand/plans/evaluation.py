@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators.clusters import (
     SCATTER_SAMPLE,
     assign_clusters,
@@ -19,8 +20,17 @@ from eventstrand.operators.clusters import (
     user_vectors,
 )
 from eventstrand.operators.inference import predict_events, score_windows
-from eventstrand.operators.metrics import macro_weighted_metrics, per_class_report, prediction_pairs
+from eventstrand.operators.losses import TEMPERATURE, info_nce
+from eventstrand.operators.metrics import (
+    histogram,
+    macro_weighted_metrics,
+    pair_cosine,
+    per_class_report,
+    prediction_pairs,
+)
 from eventstrand.operators.ranking import seeded_sample
+from eventstrand.operators.tensors import mask_events
+from eventstrand.plans.training import VAL_MASK
 from eventstrand.session import materialise
 
 
@@ -33,6 +43,37 @@ def evaluate_predictions(
     return {"per_class": report, "summary": macro_weighted_metrics(report)}
 
 
+def evaluate_contrastive(
+    padded: DataFrame,
+    make_predict_fn: Callable,
+    length: int,
+    n_feats: int = 3,
+    batch_size: int = 512,
+    temperature: float = TEMPERATURE,
+    mask_probability: float = VAL_MASK,
+    seed: int = 0,
+) -> dict[str, DataFrame]:
+    """Embedding model on each window and its masked view: loss, mean cosine and cosine histogram.
+
+    The two vectors per window are checkpointed, so the model runs once per view.
+    """
+    views = mask_events(padded, mask_probability, seed)
+    for name, events in (("view1", "input_event_seq"), ("view2", "input_event_seq_v2")):
+        views = score_windows(views, make_predict_fn, name, length, n_feats, events=events)
+    pairs = views.select("user_id", "window_start", "view1", "view2")
+    pairs = materialise(l2_normalize(l2_normalize(pairs, "view1"), "view2"))
+    cosines = pair_cosine(pairs, "view1", "view2")
+    return {
+        "loss": info_nce(
+            pairs, ["user_id", "window_start"], "view1", "view2", batch_size, temperature, seed
+        ),
+        "cosine": cosines.agg(
+            F.coalesce(F.avg("cosine"), F.lit(0.0)).alias("mean_cosine"), F.count("cosine").alias("n_pairs")
+        ),
+        "histogram": histogram(cosines, "cosine"),
+    }
+
+
 def evaluate_embeddings(
     padded: DataFrame,
     make_predict_fn: Callable,

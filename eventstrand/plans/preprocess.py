@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from eventstrand.operators.features import VALUE_MEAN, VALUE_STD, event_features, normalise_events
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
 from eventstrand.operators.vocabulary import product_vocabulary
-from eventstrand.operators.windows import WindowSpec, sequence_windows
-from eventstrand.sources.sinks import write_resumable
+from eventstrand.operators.windows import WindowSpec, assemble_windows, sequence_windows
+from eventstrand.sources.sinks import gather_buckets, write_resumable
 from eventstrand.sources.tables import read_parquet_folder
 
 
@@ -32,21 +32,42 @@ def build_windows(
     return sequence_windows(features_of(raw, value_mean, value_std, max_events), spec)
 
 
+def build_bucketed_windows(
+    raw: DataFrame,
+    spec: WindowSpec = WindowSpec(),
+    value_mean: float = VALUE_MEAN,
+    value_std: float = VALUE_STD,
+    max_events: int = MAX_EVENTS_PER_TASK,
+) -> DataFrame:
+    """The same from events with a ``bucket`` column; rows come out gathered by bucket.
+
+    Events are partitioned by bucket once, which serves the per-user steps and the file layout, so
+    the windows (several times their size) of ordinary users are not shuffled again to be written.
+    """
+    histories = split_histories(normalise_events(raw), max_events)
+    gathered = Histories(histories.regular.repartition("bucket"), histories.heavy)
+    windows = assemble_windows(event_features(gathered, value_mean, value_std), spec)
+    if windows.heavy is not None:
+        windows = Histories(windows.regular, gather_buckets(windows.heavy))
+    return windows.rows()
+
+
 def write_dataset(
     raw: DataFrame,
     path: str,
     n_buckets: int,
     spec: WindowSpec = WindowSpec(),
     buckets_per_job: int | None = None,
-    **scaling,
+    **options,
 ) -> DataFrame:
     """Write the windows bucket by bucket, resuming an earlier run, and the vocabulary beside them.
 
+    Choose ``n_buckets`` at least as large as the number of tasks that should work at the same time.
     Leaves ``path/windows``, ``path/done`` and ``path/vocabulary``; returns the window table.
     """
     spark = raw.sparkSession
     write_resumable(
-        raw, lambda part: build_windows(part, spec, **scaling),
+        raw, lambda part: build_bucketed_windows(part, spec, **options),
         f"{path}/windows", f"{path}/done", n_buckets, buckets_per_job,
     )
     windows = read_parquet_folder(spark, f"{path}/windows")

@@ -22,14 +22,18 @@ def with_bucket(df: DataFrame, n_buckets: int, seed: int = 0) -> DataFrame:
     return df.withColumn("bucket", bucket_of(F.col("user_id"), n_buckets, seed))
 
 
+def gather_buckets(bucketed: DataFrame) -> DataFrame:
+    """Bring the rows of a bucket into few tasks; a bucket too large for one task is split."""
+    return bucketed.hint("rebalance", "bucket")
+
+
 def write_buckets(bucketed: DataFrame, path: str) -> None:
     """Zstd parquet, one folder per bucket; only the buckets present are replaced.
 
-    The rebalance hint gathers a bucket into few files and splits one that is too large for a task.
+    Each task writes a file per bucket it holds: rows should be gathered by bucket before.
     """
     (
-        bucketed.hint("rebalance", "bucket")
-        .write.mode("overwrite")
+        bucketed.write.mode("overwrite")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
@@ -63,8 +67,9 @@ def write_resumable(
 ) -> list[int]:
     """Build and write the buckets that are not marked done; returns the buckets written now.
 
-    ``build`` maps the events of some buckets to output rows with ``user_id``.  A failed group of
-    buckets is logged, left unmarked and tried again by the next run, which overwrites its leftovers.
+    ``build`` maps events with a ``bucket`` column to output rows with that column, gathered by it.  A
+    failed group of buckets is logged, left unmarked and tried again by the next run, which overwrites
+    its leftovers.
     """
     spark = events.sparkSession
     todo = sorted(row.bucket for row in pending_buckets(spark, markers, n_buckets).collect())
@@ -74,9 +79,9 @@ def write_resumable(
     for group in (todo[i : i + size] for i in range(0, len(todo), size)):
         mine = spark.createDataFrame([(b,) for b in group], "bucket int")
         # at most n_buckets rows
-        part = bucketed.join(F.broadcast(mine), "bucket", "left_semi").drop("bucket")
+        part = bucketed.join(F.broadcast(mine), "bucket", "left_semi")
         try:
-            write_buckets(with_bucket(build(part), n_buckets, seed), path)
+            write_buckets(build(part), path)
             mine.coalesce(1).write.mode("append").json(markers)
         except Exception:
             logger.exception("buckets %s failed and stay pending", group)

@@ -56,3 +56,18 @@ def events_of(spark):
         )
 
     return build
+
+
+@pytest.fixture(scope="session")
+def plan_of():
+    """The physical plan as ``explain`` prints it."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    def plan(df) -> str:
+        text = StringIO()
+        with redirect_stdout(text):
+            df.explain()
+        return text.getvalue()
+
+    return plan

@@ -47,6 +47,12 @@ def test_silhouette_of_a_sample(spark):
     assert clusters.silhouette_exact(points(spark, x, labels), sample_size=30).first().n_points == 30
 
 
+def test_silhouette_blocks_are_spread_over_tasks(spark, plan_of):
+    clustered = points(spark, np.eye(4), [0, 0, 1, 1])
+    plan = plan_of(clusters.silhouette_exact(clustered, sample_size=10_000))
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_user_mean_is_renormalised(vectors):
     rows = vectors.collect()
     assert np.allclose([np.linalg.norm(r.embedding) for r in rows], 1.0)

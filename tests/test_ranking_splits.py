@@ -65,8 +65,8 @@ def test_effective_train_and_val_rows(spark):
     assert keep_users(windows(spark), train).count() == 15
 
 
-def test_sides_need_no_join(spark):
+def test_sides_need_no_join(spark, plan_of):
     split = spark.createDataFrame(SPLIT, "user_id bigint, split string")
-    plan = train_val_rows(windows(spark), split)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(train_val_rows(windows(spark), split))
     main = plan.split("Subquery")[0]
     assert main.count("Join") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -11,7 +11,7 @@ from eventstrand.operators.inference import predict_events, score_windows
 from eventstrand.operators.splits import distinct_users
 from eventstrand.operators.tensors import pad_windows
 from eventstrand.plans.evaluation import evaluate_embeddings, evaluate_predictions
-from eventstrand.plans.preprocess import build_windows, write_dataset
+from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, write_dataset
 from eventstrand.plans.training import training_tables
 from eventstrand.session import materialise, shared_dir
 from eventstrand.sources import sinks, tables
@@ -79,11 +79,11 @@ def test_failed_buckets_are_retried(spark, raw, tmp_path):
     seen = []
 
     def build(part, fail_on=(1,)):
-        bucket = sinks.with_bucket(part, 4).select("bucket").first().bucket
+        bucket = part.first().bucket
         seen.append(bucket)
         if bucket in fail_on:
             raise RuntimeError("no luck")
-        return build_windows(part, TEST_SPEC)
+        return build_bucketed_windows(part, TEST_SPEC, max_events=70)
 
     assert sinks.write_resumable(raw, build, path, markers, 4, buckets_per_job=1) == [0, 2, 3]
     assert [r.bucket for r in sinks.pending_buckets(spark, markers, 4).collect()] == [1]
@@ -98,6 +98,14 @@ def test_failed_buckets_are_retried(spark, raw, tmp_path):
     assert stored.count() == built.count() and stored.exceptAll(built).isEmpty()
 
 
+def test_writing_by_bucket_needs_one_shuffle(raw, plan_of):
+    bucketed = sinks.with_bucket(raw, 50)
+    plan = plan_of(build_bucketed_windows(bucketed, TEST_SPEC))
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
+    heavy = plan_of(build_bucketed_windows(bucketed, TEST_SPEC, max_events=70))
+    assert "REBALANCE_PARTITIONS_BY_COL" in heavy
+
+
 def test_training_tables(spark, raw, dataset):
     windows = spark.read.parquet(f"{dataset}/windows")
     vocabulary = spark.read.parquet(f"{dataset}/vocabulary")
@@ -132,6 +140,14 @@ def test_scores_equal_the_model_called_directly(raw):
     assert np.array_equal([r.pred_event_seq for r in predicted], direct.argmax(-1))
 
 
+def test_the_model_runs_once(raw, plan_of):
+    padded = pad_windows(build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD), N)
+    scored = score_windows(padded, embedding_model(), "embedding", N)
+    assert plan_of(scored.select("user_id", F.explode("embedding"))).count("ArrowEvalPython") == 1
+    report = evaluate_predictions(padded, next_event_model(), N, N_SCORES)["per_class"]
+    assert plan_of(report).count("ArrowEvalPython") == 1
+
+
 def test_evaluation_flows(raw):
     padded = pad_windows(build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD), N)
     scores = evaluate_predictions(padded, next_event_model(), N, N_SCORES)

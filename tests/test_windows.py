@@ -105,18 +105,18 @@ def test_minimum_history(events_of):
     assert tuple(history_filter_counts(raw, 5).first()) == (2, 2)
 
 
-def test_one_shuffle_from_events_to_windows(spark, sf_dir):
+def test_one_shuffle_from_events_to_windows(spark, sf_dir, plan_of):
     """Features, history and windows share the exchange and the sort by user."""
     raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    plan = sequence_windows(features_of(raw), TEST_SPEC)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(sequence_windows(features_of(raw), TEST_SPEC))
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
     assert "PushedFilters: [IsNotNull(user_id)]" in plan
     assert "Python" not in plan
 
 
-def test_unused_columns_are_not_read(spark, sf_dir):
+def test_unused_columns_are_not_read(spark, sf_dir, plan_of):
     raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     gaps = features_of(raw).rows().select("event_id", "time_delta")
-    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(gaps)
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in plan
