@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,18 +25,24 @@ def product_vocabulary(windows: DataFrame) -> DataFrame:
     return global_row_number(ids, ["orig_id"], "new_id")
 
 
-def remap_products(
-    windows: DataFrame, vocabulary: DataFrame, max_broadcast: int = MAX_BROADCAST_PRODUCTS
-) -> DataFrame:
-    """Replace product ids by vocabulary ids, unknown ones by 0.
+def product_remapper(
+    vocabulary: DataFrame, max_broadcast: int = MAX_BROADCAST_PRODUCTS
+) -> Callable[[DataFrame], DataFrame]:
+    """Function that replaces the product ids of windows by vocabulary ids, unknown ones by 0.
 
     A vocabulary of up to ``max_broadcast`` ids is sent to the executors and the lists are translated
     where they are; a larger one is joined to the list elements.
     """
     head = vocabulary.select("orig_id", "new_id").limit(max_broadcast + 1).toPandas()
     if len(head) <= max_broadcast:
-        return _remap_by_lookup(windows, head.sort_values("orig_id"))
-    return _remap_by_join(windows, vocabulary)
+        return partial(_remap_by_lookup, vocabulary=head.sort_values("orig_id"))
+    return partial(_remap_by_join, vocabulary=vocabulary)
+
+
+def remap_products(
+    windows: DataFrame, vocabulary: DataFrame, max_broadcast: int = MAX_BROADCAST_PRODUCTS
+) -> DataFrame:
+    return product_remapper(vocabulary, max_broadcast)(windows)
 
 
 def _remap_by_lookup(windows: DataFrame, vocabulary: pd.DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from eventstrand.operators.ranking import seeded_batches
 from eventstrand.operators.splits import train_val_rows
 from eventstrand.operators.tensors import mask_events, pad_windows
-from eventstrand.operators.vocabulary import remap_products
+from eventstrand.operators.vocabulary import product_remapper
 
 TRAIN_MASK, VAL_MASK = 0.4, 0.15
 
@@ -22,12 +22,16 @@ def training_tables(
     contrastive: bool = True,
     seed: int = 0,
 ) -> dict[str, DataFrame]:
-    """``train`` and ``val``: remapped, padded, in seeded batches, with a masked second view."""
-    mapped = pad_windows(remap_products(windows, vocabulary), length, with_balance)
-    sides = train_val_rows(mapped, split)
+    """``train`` and ``val``: remapped, padded, in seeded batches, with a masked second view.
+
+    Rows are selected first, so the scan prunes buckets and only wanted windows are transformed.
+    """
+    remap = product_remapper(vocabulary)
+    sides = train_val_rows(windows, split)
     tables = {}
     for side, probability in (("train", TRAIN_MASK), ("val", VAL_MASK)):
-        rows = sides.where(F.col("side") == side).drop("side")
+        rows = remap(sides.where(F.col("side") == side).drop("side"))
+        rows = pad_windows(rows, length, with_balance)
         if contrastive:
             rows = mask_events(rows, probability, seed)
         tables[side] = seeded_batches(rows, ["user_id", "window_start"], batch_size, seed)
