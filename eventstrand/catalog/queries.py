@@ -57,8 +57,17 @@ def query(fn=None, name: str | None = None):
 # ---- inputs -------------------------------------------------------------------------------------
 
 
+# declared, so that planning a query reads no file
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _raw(spark, sf_dir):
@@ -147,7 +156,7 @@ def _feature_rows(df: DataFrame) -> DataFrame:
 @query
 def scan_events(spark, sf_dir):
     raw = adapters.raw_events(
-        tables.read_parquet_folder(spark, sf_dir, "events*.parquet")
+        tables.read_parquet_folder(spark, sf_dir, "events*.parquet", SCHEMAS["events"])
     )
     return normalise_events(raw).select(
         "event_id", "user_id",

@@ -62,14 +62,18 @@ def write_dataset(
 ) -> DataFrame:
     """Write the windows bucket by bucket, resuming an earlier run, and the vocabulary beside them.
 
-    Choose ``n_buckets`` at least as large as the number of tasks that should work at the same time.
+    With at least as many buckets as shuffle partitions (several times as many is better) the events are
+    partitioned by bucket; with fewer, that would leave tasks idle, so the windows are gathered instead.
     Leaves ``path/windows``, ``path/done`` and ``path/vocabulary``; returns the window table.
     """
     spark = raw.sparkSession
-    write_resumable(
-        raw, lambda part: build_bucketed_windows(part, spec, **options),
-        f"{path}/windows", f"{path}/done", n_buckets, buckets_per_job,
-    )
+
+    def build(part: DataFrame) -> DataFrame:
+        if n_buckets >= int(spark.conf.get("spark.sql.shuffle.partitions")):
+            return build_bucketed_windows(part, spec, **options)
+        return gather_buckets(build_windows(part, spec, **options))
+
+    write_resumable(raw, build, f"{path}/windows", f"{path}/done", n_buckets, buckets_per_job)
     windows = read_parquet_folder(spark, f"{path}/windows")
     product_vocabulary(windows).write.mode("overwrite").parquet(f"{path}/vocabulary")
     return windows

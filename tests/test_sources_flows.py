@@ -74,6 +74,14 @@ def test_dataset_on_disk(spark, raw, dataset):
     assert {r.new_id for r in vocabulary.collect()} == set(range(1, n + 1))
 
 
+def test_many_buckets(spark, raw, tmp_path):
+    """More buckets than shuffle partitions: one file per bucket for ordinary users."""
+    stored = write_dataset(raw, str(tmp_path), 24, TEST_SPEC, value_mean=TEST_MEAN, value_std=TEST_STD)
+    built = build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD)
+    assert stored.drop("bucket").exceptAll(built).isEmpty() and stored.count() == built.count()
+    assert len(stored.inputFiles()) == stored.select("bucket").distinct().count()
+
+
 def test_failed_buckets_are_retried(spark, raw, tmp_path):
     path, markers = f"{tmp_path}/windows", f"{tmp_path}/done"
     seen = []
