@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventstrand.functions.hashing import md5_uniform
+from eventstrand.functions.hashing import md5_below, md5_uniform
 from eventstrand.operators.features import normalise_events
 from eventstrand.operators.windows import WindowSpec
 
@@ -81,5 +81,5 @@ def masked_view(vector: Column, probability: float, *key) -> Column:
     """Second view of a vector: coordinates zeroed at random, seeded by ``key`` and coordinate."""
     return F.transform(
         vector,
-        lambda x, i: F.when(md5_uniform(*key, i) < probability, F.lit(0.0).cast("float")).otherwise(x),
+        lambda x, i: F.when(md5_below(probability, *key, i), F.lit(0.0).cast("float")).otherwise(x),
     )

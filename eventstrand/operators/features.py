@@ -20,15 +20,16 @@ def normalise_events(raw: DataFrame) -> DataFrame:
     ``event_id`` orders events of the same time; without that column, arrival order is used.  It must
     be taken from a scan then, where row numbers are the same on every attempt.
     """
-    event_id = F.col("event_id") if "event_id" in raw.columns else F.monotonically_increasing_id()
+    given = {c.lower() for c in raw.columns}
+    event_id = F.col("event_id") if "event_id" in given else F.monotonically_increasing_id()
     return raw.select(
         F.col("user_id").cast("bigint").alias("user_id"),
-        F.col("timestamp_event"),
+        F.col("timestamp_event").alias("timestamp_event"),
         event_id.cast("bigint").alias("event_id"),
         F.col("value").cast("float").alias("value"),
         F.col("event_type").cast("tinyint").alias("event_type"),
         F.coalesce(F.col("product_id").cast("bigint"), F.lit(0)).alias("product_id"),
-        *([F.col("bucket")] if "bucket" in raw.columns else []),
+        *([F.col("bucket").alias("bucket")] if "bucket" in given else []),
     ).where(F.col("user_id").isNotNull())
 
 

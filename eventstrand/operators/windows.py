@@ -91,6 +91,34 @@ def assemble_windows(features: Histories, spec: WindowSpec) -> Histories:
     return features.map(lambda part: _assemble(part, spec))
 
 
+def normalise_windows(raw: DataFrame) -> DataFrame:
+    """Window tables written elsewhere, with the same lists, in the schema of this library.
+
+    ``window_start`` identifies a window of a user; without that column, arrival order does, which must
+    be taken from a scan.
+    """
+    given = {c.lower() for c in raw.columns}
+    start = F.col("window_start") if "window_start" in given else F.monotonically_increasing_id()
+    feats = F.transform(
+        "num_feats_seq", lambda f: F.struct(*[f.getField(n).cast("float").alias(n) for n in FEATURES])
+    )
+    return raw.select(
+        F.col("user_id").cast("bigint").alias("user_id"),
+        start.cast("bigint").alias("window_start"),
+        F.col("input_event_seq").cast("array<tinyint>").alias("input_event_seq"),
+        F.col("input_product_seq").cast("array<bigint>").alias("input_product_seq"),
+        feats.alias("num_feats_seq"),
+        F.col("target_event_seq").cast("array<tinyint>").alias("target_event_seq"),
+    )
+
+
+def upper_case_names(windows: DataFrame) -> DataFrame:
+    """The window columns and feature fields in upper case, for readers that match names exactly."""
+    struct = ",".join(f"{name.upper()}:float" for name in FEATURES)
+    named = windows.withColumn("num_feats_seq", F.col("num_feats_seq").cast(f"array<struct<{struct}>>"))
+    return named.select(*[F.col(c).alias(c.upper()) for c in named.columns])
+
+
 def user_history(features: Histories, chunk_length: int = 1000) -> DataFrame:
     """Ordered parallel lists per user, in chunks of ``chunk_length`` events.
 

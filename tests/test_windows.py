@@ -8,7 +8,9 @@ from eventstrand.operators.windows import (
     WindowSpec,
     covering_starts,
     history_filter_counts,
+    normalise_windows,
     sequence_windows,
+    upper_case_names,
     user_history,
 )
 from eventstrand.plans.preprocess import build_windows, features_of
@@ -67,6 +69,21 @@ def test_schema(events_of):
     assert types["target_event_seq"] == "array<tinyint>"
 
 
+def test_upper_case_tables(events_of, tmp_path):
+    """Events and windows with upper-case names, without our extra columns, go through unchanged."""
+    raw = histories(events_of, [3, 9])
+    upper = raw.drop("event_id").toDF("USER_ID", "TIMESTAMP_EVENT", "VALUE", "EVENT_TYPE", "PRODUCT_ID")
+    windows = build_windows(upper, WindowSpec(length=4, stride=2))
+    assert windows.exceptAll(build_windows(raw, WindowSpec(length=4, stride=2))).isEmpty()
+    exported = upper_case_names(windows)
+    assert exported.columns[0] == "USER_ID" and "VALUE_NORM" in dict(exported.dtypes)["NUM_FEATS_SEQ"]
+    back = normalise_windows(exported)
+    assert back.exceptAll(windows.drop("n_events")).isEmpty()
+    foreign = normalise_windows(exported.drop("WINDOW_START", "N_EVENTS"))
+    assert foreign.columns == back.columns
+    assert foreign.select("window_start").distinct().count() == windows.count()
+
+
 def test_invariants(spark, sf_dir):
     raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     windows = build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD)
