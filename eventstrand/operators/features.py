@@ -51,19 +51,18 @@ def with_cashflow(histories: Histories) -> Histories:
 def _running_columns(df: DataFrame, *keys: str) -> DataFrame:
     """Position, predecessor and running sum inside each partition of ``keys``: one shuffle, one sort."""
     ordered = Window.partitionBy(*keys).orderBy(*ORDER)
-    columns = {
-        "pos": F.row_number().over(ordered).cast("bigint") - 1,
-        "previous_ts": F.lag("timestamp_event").over(ordered),
-        "previous_flow": F.lag("net_cashflow").over(ordered),
-        "flow_before": F.coalesce(
-            F.sum("net_cashflow").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-        ),
-    }
-    if "n_events" not in df.columns:
-        columns["n_events"] = F.count(F.lit(1)).over(
-            ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        )
-    return df.withColumns(columns)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns(
+        {
+            "pos": F.row_number().over(ordered).cast("bigint") - 1,
+            "n_events": F.count(F.lit(1)).over(
+                ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+            "previous_ts": F.lag("timestamp_event").over(ordered),
+            "previous_flow": F.lag("net_cashflow").over(ordered),
+            "flow_before": F.coalesce(F.sum("net_cashflow").over(before), F.lit(0.0)),
+        }
+    )
 
 
 def _segmented_running_columns(heavy: DataFrame) -> DataFrame:
@@ -71,6 +70,7 @@ def _segmented_running_columns(heavy: DataFrame) -> DataFrame:
     first = F.col("pos") == 0
     return (
         _running_columns(heavy, "user_id", "segment")
+        .drop("n_events")
         .join(segment_carry(heavy), ["user_id", "segment"])
         .withColumns(
             {

@@ -99,6 +99,16 @@ def test_a_heavy_user_is_spread_over_segments(events_of):
     assert sorted(r.balance for r in top.collect()) == [float(i) for i in range(300)]
 
 
+def test_heavy_users_are_found_on_part_of_the_rows(events_of, monkeypatch):
+    monkeypatch.setattr("eventstrand.operators.histories.COUNTED_ROWS", 100)
+    rows = [(1, i, 1.0, 3, 1) for i in range(3000)] + [(u, u % 7, 1.0, 3, 1) for u in range(2, 802)]
+    histories = split_histories(normalise_events(events_of(rows)), 1000)
+    assert {r.user_id for r in histories.heavy.select("user_id").distinct().collect()} == {1}
+    features = event_features(histories).rows()
+    assert features.count() == 3800
+    assert {r.n_events for r in features.where("user_id = 1").collect()} == {3000}
+
+
 def test_arrival_order_without_event_ids(events_of):
     raw = events_of([(1, 5, float(i), 3, i) for i in range(20)]).drop("event_id")
     assert [r.product_id for r in features_of(raw).rows().orderBy("pos").collect()] == list(range(20))
