@@ -173,6 +173,20 @@ weights AS (
            * CASE event_type WHEN 0 THEN 0 WHEN 21 THEN 2.5 ELSE 1 END AS weight
   FROM counted)"""
 
+POSITIONS = f"""
+positions AS (
+  SELECT coalesce(te[i + 1], 0) AS target,
+         list_transform(range(22), lambda c: (7 * coalesce(ie[i + 1], 0) + 3 * coalesce(ip[i + 1], 0) + 5 * c) % 22)
+           AS x
+  FROM win, range({TEST_SPEC.length}) AS r(i)),
+pairs AS (SELECT target, list_position(x, list_max(x)) - 1 AS pred FROM positions WHERE target <> 0),
+position_loss AS (
+  SELECT target, weight * (ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[target + 1]) AS ce
+  FROM positions JOIN weights ON target = event_type)"""
+REPORT_ROWS = """
+SELECT c::VARCHAR AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support
+FROM scored"""
+
 FOCAL = """
 logit AS (
   SELECT vec_id, embedding[1:22]::DOUBLE[] AS x,
@@ -334,9 +348,11 @@ SQL = {
         GROUP BY 1, 2"""),
     "prediction_pairs": _with(*PAIR_BASE, """
         SELECT user_id, window_start, i, target::BIGINT AS target, pred::BIGINT AS pred FROM pairs"""),
-    "per_class_report": _with(*PAIR_BASE, REPORT, """
-        SELECT c::VARCHAR AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support
-        FROM scored"""),
+    "per_class_report": _with(*PAIR_BASE, REPORT, REPORT_ROWS),
+    "next_event_report": _with(*WIN, WEIGHTS, POSITIONS, REPORT, REPORT_ROWS),
+    "next_event_loss": _with(*WIN, WEIGHTS, POSITIONS, """
+        SELECT round(avg(CASE WHEN target = 0 THEN 0 ELSE pow(1 - exp(-ce), 2.5) * ce END), 4) AS focal_loss,
+               count(*) AS n_rows FROM position_loss"""),
     "macro_weighted_metrics": _with(*PAIR_BASE, REPORT, """
         SELECT round(avg(p), 4) AS precision_macro, round(avg(r), 4) AS recall_macro,
                round(avg(f), 4) AS f1_macro,

@@ -23,7 +23,7 @@ from eventstrand.operators import clusters, losses, metrics, ranking, splits, te
 from eventstrand.operators.features import event_features, normalise_events, with_cashflow
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
 from eventstrand.operators.inference import predict_events, score_windows
-from eventstrand.plans.evaluation import evaluate_contrastive
+from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_predictions
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
 from eventstrand.plans.training import training_tables
 from eventstrand.session import configure, materialise, shared_dir
@@ -487,6 +487,24 @@ def focal_rows(spark, sf_dir):
     return losses.focal_rows(scored, _weights(spark, sf_dir)).select("vec_id", _rounded("focal"))
 
 
+def _next_event_reports(spark, sf_dir):
+    return evaluate_predictions(
+        _padded(spark, sf_dir), next_event_model(), LENGTH, N_SCORES, weights=_weights(spark, sf_dir)
+    )
+
+
+@query
+def next_event_report(spark, sf_dir):
+    return _next_event_reports(spark, sf_dir)["per_class"].select(
+        "class", _rounded("precision"), _rounded("recall"), _rounded("f1"), "support"
+    )
+
+
+@query
+def next_event_loss(spark, sf_dir):
+    return _next_event_reports(spark, sf_dir)["loss"].select(_rounded("focal_loss"), "n_rows")
+
+
 # ---- embeddings ---------------------------------------------------------------------------------
 
 

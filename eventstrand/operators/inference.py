@@ -53,3 +53,22 @@ def predict_events(
     scored = score_windows(padded, make_predict_fn, "__scores", length, n_feats, batch_size)
     by_position = rows_of(F.col("__scores"), length, n_scores)
     return scored.withColumn("pred_event_seq", F.transform(by_position, argmax)).drop("__scores")
+
+
+def score_positions(
+    padded: DataFrame,
+    make_predict_fn: Callable,
+    length: int,
+    n_scores: int,
+    n_feats: int = 3,
+    batch_size: int = 256,
+) -> DataFrame:
+    """One row (user_id, window_start, i, target, logits) per position, padded ones included."""
+    scored = score_windows(padded, make_predict_fn, "__scores", length, n_feats, batch_size)
+    positions = F.arrays_zip(
+        F.col("target_event_seq").alias("target"),
+        rows_of(F.col("__scores"), length, n_scores).alias("logits"),
+    )
+    return scored.select("user_id", "window_start", F.posexplode(positions).alias("i", "p")).select(
+        "user_id", "window_start", "i", F.col("p.target").cast("int").alias("target"), "p.logits"
+    )

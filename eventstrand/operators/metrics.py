@@ -90,12 +90,18 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
 
 
+def confusion_counts(pairs: DataFrame) -> DataFrame:
+    """(target, pred, n): at most classes squared rows."""
+    return pairs.groupBy("target", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def per_class_report(pairs: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every class seen as target or prediction.
+    """Precision, recall, F1 and support of every class seen as target or prediction."""
+    return report_of_confusion(confusion_counts(pairs))
 
-    Pairs are first reduced to the confusion counts, at most classes squared rows.
-    """
-    confusion = pairs.groupBy("target", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+def report_of_confusion(confusion: DataFrame) -> DataFrame:
+    """The per-class report from confusion counts; each count enters its target and its prediction."""
     hit = F.when(F.col("target") == F.col("pred"), F.col("n")).otherwise(0)
     as_target = F.struct(
         F.col("target").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from eventstrand.functions.sequences import PADDING, argmax
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators.clusters import (
     SCATTER_SAMPLE,
@@ -19,14 +20,13 @@ from eventstrand.operators.clusters import (
     silhouette_exact,
     user_vectors,
 )
-from eventstrand.operators.inference import predict_events, score_windows
-from eventstrand.operators.losses import TEMPERATURE, info_nce
+from eventstrand.operators.inference import score_positions, score_windows
+from eventstrand.operators.losses import TEMPERATURE, focal_rows, info_nce
 from eventstrand.operators.metrics import (
     histogram,
     macro_weighted_metrics,
     pair_cosine,
-    per_class_report,
-    prediction_pairs,
+    report_of_confusion,
 )
 from eventstrand.operators.ranking import seeded_sample
 from eventstrand.operators.tensors import mask_events
@@ -35,12 +35,35 @@ from eventstrand.session import materialise
 
 
 def evaluate_predictions(
-    padded: DataFrame, make_predict_fn: Callable, length: int, n_scores: int, n_feats: int = 3
+    padded: DataFrame,
+    make_predict_fn: Callable,
+    length: int,
+    n_scores: int,
+    n_feats: int = 3,
+    weights: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Next-event model: per-class table and macro/weighted summary."""
-    predicted = predict_events(padded, make_predict_fn, length, n_scores, n_feats)
-    report = per_class_report(prediction_pairs(predicted, "target_event_seq", "pred_event_seq"))
-    return {"per_class": report, "summary": macro_weighted_metrics(report)}
+    """Next-event model: per-class table, macro/weighted summary and, given class weights, focal loss.
+
+    One pass reduces all scored positions to confusion counts with loss sums; everything else is
+    computed from that checkpointed little table, so the model runs once.
+    """
+    positions = score_positions(padded, make_predict_fn, length, n_scores, n_feats)
+    loss = F.lit(0.0)
+    if weights is not None:
+        positions, loss = focal_rows(positions, weights), F.col("focal")
+    totals = materialise(
+        positions.groupBy("target", argmax(F.col("logits")).alias("pred")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(loss).alias("focal")
+        )
+    )
+    report = report_of_confusion(totals.where(F.col("target") != PADDING))
+    reports = {"per_class": report, "summary": macro_weighted_metrics(report)}
+    if weights is not None:
+        mean = F.coalesce(F.try_divide(F.sum("focal"), F.sum("n")), F.lit(0.0))
+        reports["loss"] = totals.agg(
+            mean.alias("focal_loss"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
+        )
+    return reports
 
 
 def evaluate_contrastive(

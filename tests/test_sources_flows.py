@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventstrand.adapters import TEST_MEAN, TEST_SPEC, TEST_STD, hash_split, raw_events
 from eventstrand.catalog.scorers import EMBEDDING_SIZE, N_SCORES, embedding_model, next_event_model
-from eventstrand.operators.inference import predict_events, score_windows
+from eventstrand.operators.inference import predict_events, score_positions, score_windows
 from eventstrand.operators.splits import distinct_users
 from eventstrand.operators.tensors import pad_windows
 from eventstrand.plans.evaluation import evaluate_embeddings, evaluate_predictions
@@ -152,8 +152,8 @@ def test_the_model_runs_once(raw, plan_of):
     padded = pad_windows(build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD), N)
     scored = score_windows(padded, embedding_model(), "embedding", N)
     assert plan_of(scored.select("user_id", F.explode("embedding"))).count("ArrowEvalPython") == 1
-    report = evaluate_predictions(padded, next_event_model(), N, N_SCORES)["per_class"]
-    assert plan_of(report).count("ArrowEvalPython") == 1
+    positions = score_positions(padded, next_event_model(), N, N_SCORES)
+    assert plan_of(positions.where("target <> 0")).count("ArrowEvalPython") == 1
 
 
 def test_evaluation_flows(raw):
