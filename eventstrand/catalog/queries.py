@@ -35,7 +35,7 @@ LENGTH = TEST_SPEC.length
 SEED = 7
 BATCH = 32
 N_BUCKETS = 10
-SPLIT_HISTORY_ABOVE = 85  # makes the longest test histories take the segmented path
+SPLIT_HISTORY_ABOVE = 70  # makes a third of the test users take the segmented path
 WIDE_SPEC = WindowSpec(length=80, stride=40, stride_threshold=90)
 SUPPLIER_SPEC = WindowSpec(length=100, stride=50, stride_threshold=600)
 

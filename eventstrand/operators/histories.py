@@ -19,6 +19,7 @@ from eventstrand.session import materialise
 MAX_EVENTS_PER_TASK = 5_000_000
 MAX_BROADCAST_USERS = 1_000_000
 COUNTED_ROWS = 10_000
+MIN_SEGMENT_EVENTS = 500  # shorter segments cost more than they spread
 
 ORDER = ("timestamp_event", "event_id")
 
@@ -67,7 +68,7 @@ def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK) ->
     heavy_users = materialise(heavy_users.select("user_id"))
     if n_users <= MAX_BROADCAST_USERS:
         heavy_users = F.broadcast(heavy_users)
-    n_segments = math.ceil(n_rows / (max_events * fraction)) + 1
+    n_segments = math.ceil(n_rows / fraction / max(max_events, MIN_SEGMENT_EVENTS)) + 1
     heavy = (
         events.join(heavy_users, "user_id", "left_semi")
         .repartitionByRange(n_segments, "user_id", *ORDER)

@@ -58,6 +58,12 @@ def events_of(spark):
     return build
 
 
+@pytest.fixture
+def short_segments(monkeypatch):
+    """Let segments be as short as the tests ask for."""
+    monkeypatch.setattr("eventstrand.operators.histories.MIN_SEGMENT_EVENTS", 1)
+
+
 @pytest.fixture(scope="session")
 def plan_of():
     """The physical plan as ``explain`` prints it."""

@@ -66,7 +66,7 @@ def brute_force(rows):
 
 
 @pytest.mark.parametrize("max_events", [10**6, 40, 7])
-def test_segmented_histories_equal_brute_force(events_of, max_events):
+def test_segmented_histories_equal_brute_force(events_of, short_segments, max_events):
     """One user holds most rows, with equal times and missing values; segments change nothing."""
     rng = random.Random(max_events)
     rows = [
@@ -88,7 +88,7 @@ def test_segmented_histories_equal_brute_force(events_of, max_events):
     assert got == brute_force(rows)
 
 
-def test_a_heavy_user_is_spread_over_segments(events_of):
+def test_a_heavy_user_is_spread_over_segments(events_of, short_segments):
     """A third of all rows at one single moment still becomes several bounded segments."""
     rows = [(1, 0, 1.0, 3, 1)] * 300 + [(u, u % 7, 1.0, 3, 1) for u in range(2, 602)]
     histories = split_histories(normalise_events(events_of(rows)), 50)

@@ -52,7 +52,7 @@ def histories(events_of, lengths):
 
 
 @pytest.mark.parametrize("max_events", [10**6, 4])
-def test_short_histories(events_of, max_events):
+def test_short_histories(events_of, short_segments, max_events):
     spec = WindowSpec(length=5, stride=2)
     rows = build_windows(histories(events_of, [1, 5, 6, 7]), spec, max_events=max_events).collect()
     got = {(r.user_id, r.window_start): (len(r.input_event_seq), len(r.target_event_seq)) for r in rows}
@@ -98,7 +98,7 @@ def test_invariants(spark, sf_dir):
 
 
 @pytest.mark.parametrize("spec", [TEST_SPEC, WindowSpec(7, 3, 80, 50, 4), WindowSpec(200, 100)])
-def test_segmented_users_give_the_same_windows(spark, sf_dir, spec):
+def test_segmented_users_give_the_same_windows(spark, sf_dir, short_segments, spec):
     raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     plain = build_windows(raw, spec, TEST_MEAN, TEST_STD)
     segmented = build_windows(raw, spec, TEST_MEAN, TEST_STD, max_events=60)
@@ -106,7 +106,7 @@ def test_segmented_users_give_the_same_windows(spark, sf_dir, spec):
 
 
 @pytest.mark.parametrize("max_events", [10**6, 20])
-def test_history_chunks_hold_every_event_once(events_of, max_events):
+def test_history_chunks_hold_every_event_once(events_of, short_segments, max_events):
     features = features_of(histories(events_of, [1, 10, 25]), max_events=max_events)
     rows = user_history(features, 10).orderBy("user_id", "chunk").collect()
     assert [(r.user_id, r.n_events, r.chunk, len(r.event_type), len(r.num_feats)) for r in rows] == [
