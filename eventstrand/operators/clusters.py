@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -44,27 +46,37 @@ def user_vectors(windows: DataFrame, column: str = "embedding") -> DataFrame:
     return unit.withColumn("features", array_to_vector("embedding"))
 
 
-def kmeans_best_of(
-    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100, parallelism: int = 4
-) -> KMeansModel:
-    """The k-means model with the smallest cost over ``n_init`` seeds (the earliest on ties).
-
-    The fits share one cached copy of the vectors and run ``parallelism`` at a time.
-    """
+@contextmanager
+def _cached_features(vectors: DataFrame) -> Iterator[DataFrame]:
+    """The vectors alone, cached while several fits read them."""
     cached = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
 
-    @inheritable_thread_target(vectors.sparkSession)
+
+def _best_fit(cached: DataFrame, k: int, n_init: int, seed: int, max_iter: int, parallelism: int) -> KMeansModel:
+    @inheritable_thread_target(cached.sparkSession)
     def fit(i: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(cached)
 
-    try:
-        with ThreadPool(min(parallelism, n_init)) as pool:
-            models = pool.map(fit, range(n_init))
-    finally:
-        cached.unpersist()
+    with ThreadPool(min(parallelism, n_init)) as pool:
+        models = pool.map(fit, range(n_init))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
+def kmeans_best_of(
+    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100, parallelism: int = 10
+) -> KMeansModel:
+    """The k-means model with the smallest cost over ``n_init`` seeds (the earliest on ties).
+
+    The fits share one cached copy of the vectors and run ``parallelism`` at a time.
+    """
+    with _cached_features(vectors) as cached:
+        return _best_fit(cached, k, n_init, seed, max_iter, parallelism)
+
+
 def assign_clusters(model: KMeansModel, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).withColumnRenamed("prediction", "cluster")
 
@@ -151,13 +163,22 @@ def search_k(
     n_init: int = 3,
     seed: int = 42,
     sample_size: int = SEARCH_SAMPLE,
+    max_iter: int = 100,
+    parallelism: int = 4,
 ) -> DataFrame:
     """(k, silhouette, is_best) for k_min, k_min + step, ... <= k_max; the lowest k wins ties."""
-    scores = []
-    for k in range(k_min, k_max + 1, step):
-        clustered = assign_clusters(kmeans_best_of(vectors, k, n_init, seed), vectors)
-        scores.append((k, silhouette_exact(clustered, sample_size=sample_size).first()[0]))
-    best = max(scores, key=lambda score: score[1])[0]
+
+    with _cached_features(vectors) as cached:
+
+        @inheritable_thread_target(vectors.sparkSession)
+        def score(k: int) -> tuple[int, float]:
+            model = _best_fit(cached, k, n_init, seed, max_iter, n_init)
+            clustered = assign_clusters(model, vectors)
+            return k, silhouette_exact(clustered, sample_size=sample_size).first().silhouette
+
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(score, range(k_min, k_max + 1, step))
+    best = max(scores, key=lambda pair: pair[1])[0]
     return vectors.sparkSession.createDataFrame(
         [(k, score, k == best) for k, score in scores], "k int, silhouette double, is_best boolean"
     )

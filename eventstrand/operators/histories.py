@@ -19,7 +19,7 @@ from eventstrand.session import materialise
 MAX_EVENTS_PER_TASK = 5_000_000
 MAX_BROADCAST_USERS = 1_000_000
 COUNTED_ROWS = 10_000
-MIN_SEGMENT_EVENTS = 500  # shorter segments cost more than they spread
+MIN_SEGMENT_EVENTS = 1_000  # shorter segments cost more than they spread
 
 ORDER = ("timestamp_event", "event_id")
 
