@@ -17,6 +17,12 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     assert differences(got, duck.execute(entry.oracle_sql()[name]).df()) == []
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_queries_without_sql_run(spark, sf_dir, name):
+    """Their values are checked in test_clusters.py."""
+    assert entry.queries()[name](spark, sf_dir).count() > 0
+
+
 def test_sql_only_for_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
