@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventstrand.llm import counts, mixing, packing, quality, token_files
+from eventstrand.llm import counts, minhash, mixing, packing, quality, substrings, token_files, toxicity
 from eventstrand.llm.common import table
 from eventstrand.llm.tokens import BYTE_BPE, WORD_BPE, vocabulary_path
 
@@ -20,11 +20,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on_labels(documents, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(documents, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.roundtrip(documents, vocabulary_path(BYTE_BPE), end_id=2, length=CONTEXT)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(documents, vocabulary_path(BYTE_BPE), end_id=0, capacity=CONTEXT)
@@ -44,5 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op5_token_files, op7_best_fit_packing, op8_token_counts, op10_source_mixing)
+    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op10_source_mixing)
 }
