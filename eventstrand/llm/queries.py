@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventstrand.llm import counts, minhash, mixing, packing, quality, substrings, token_files, toxicity
+from eventstrand.llm import counts, minhash, mixing, packing, quality, secrets, substrings, token_files, toxicity
 from eventstrand.llm.common import table
 from eventstrand.llm.tokens import BYTE_BPE, WORD_BPE, vocabulary_path
 
@@ -31,6 +31,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scanned.select(
+        "doc_id", *[count(kind) for kind, *_ in secrets.BASE_KINDS],
+        secrets.digest(F.col("base_spans")).alias("base_sha256"), secrets.written(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.roundtrip(documents, vocabulary_path(BYTE_BPE), end_id=2, length=CONTEXT)
@@ -60,5 +69,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op10_source_mixing)
+    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op4_secret_scan, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op10_source_mixing)
 }
