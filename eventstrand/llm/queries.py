@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventstrand.llm import counts, minhash, mixing, packing, quality, secrets, substrings, token_files, toxicity
+from eventstrand.llm import counts, minhash, mixing, neighbours, packing, quality, secrets, substrings, token_files, toxicity
 from eventstrand.llm.common import table
 from eventstrand.llm.tokens import BYTE_BPE, WORD_BPE, vocabulary_path
 
@@ -61,6 +61,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(embeddings, F.col("vec_id") % 50 == 0, neighbours=5)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sized = documents.select("doc_id", "source", mixing.sizes_of(F.col("text")).alias("size"))
@@ -69,5 +74,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op4_secret_scan, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op10_source_mixing)
+    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op4_secret_scan, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op9_graph_neighbours, op10_source_mixing)
 }
