@@ -48,7 +48,6 @@ def apportion(df: DataFrame, group: Sequence[str], key: str, weight: Column, sea
     the smaller key, null last.  Groups without weight get nothing.
     """
     inside = Window.partitionBy(*group)
-    null_last = F.col(key).asc_nulls_last()
     shares = df.withColumns({"__w": weight.cast("double"), "__seats": seats.cast("long")}).withColumn(
         "__share", F.col("__w") * F.col("__seats") / F.nullif(F.sum("__w").over(inside), F.lit(0.0))
     )
@@ -64,7 +63,12 @@ def apportion(df: DataFrame, group: Sequence[str], key: str, weight: Column, sea
         .otherwise(F.array(F.lit(None).cast("long")))
     )
     quotient = F.col("__w") / (2 * F.col("__seat") - 1)
-    order = [(-step * F.col("__q")).asc_nulls_last(), null_last, (step * F.col("__seat")).asc()]
+    order = [
+        (-step * F.col("__q")).asc_nulls_last(),
+        # of equal quotients the smaller key wins first and loses last
+        F.when(step > 0, F.col(key)).asc_nulls_last(), F.when(step < 0, F.col(key)).desc_nulls_first(),
+        (step * F.col("__seat")).asc(),
+    ]
     listed = rounded.withColumn("__seat", seat).withColumn("__q", quotient)
     chosen = listed.withColumn("__rank", F.row_number().over(inside.orderBy(*order))).withColumn(
         "__won", (F.col("__seat").isNotNull() & (F.col("__rank") <= F.abs("__open"))).cast("long")
@@ -127,16 +131,16 @@ def mix(
         )
         quotas = scratch.hand_over(_quotas(scratch.keep(shards, "shards"), weights, max_repeats, block))
     string = Window.partitionBy("__source", "__shard").orderBy("__order", "doc_id", "size")
-    n_blocks = F.ceil(F.col("__size") / block).cast("long")
+    # the last block ends with the string and is half a block shorter or longer at most
+    n_blocks = F.greatest(F.round(F.col("__size") / block), F.lit(1)).cast("long")
     quota = F.least("__blocks_taken", max_repeats * n_blocks)
-    safe = F.greatest(n_blocks, F.lit(1).cast("long"))
-    whole = F.floor(quota / safe).cast("long")
+    whole = F.floor(quota / n_blocks).cast("long")
     outputs = {
         "place": F.sum("size").over(string) - F.col("size"),
-        "blocks": safe,
+        "blocks": n_blocks,
         "copies": whole,
-        "extra_blocks": quota - whole * safe,
-        "phase": F.pmod(F.xxhash64("__source", "__shard", F.lit(seed)), safe),
+        "extra_blocks": quota - whole * n_blocks,
+        "phase": F.pmod(F.xxhash64("__source", "__shard", F.lit(seed)), n_blocks),
     }
     placed = (
         dealt.drop("source_size", "target")
@@ -152,13 +156,17 @@ def _spread(i: Column) -> Column:
     return F.floor((i * F.col("extra_blocks") + F.col("phase")) / F.col("blocks")).cast("long")
 
 
+def _block(word: Column, block: int) -> Column:
+    return F.least(F.floor(word / block).cast("long"), F.col("blocks") - 1)
+
+
 def _before(word: Column, block: int) -> Column:
     """Words taken once more among the first ``word`` words of the string."""
-    i = F.floor(word / block).cast("long")
+    i = _block(word, block)
     return block * _spread(i) + (word - block * i) * (_spread(i + 1) - _spread(i))
 
 
 def chosen(position: Column, block: int = BLOCK_WORDS) -> Column:
     """Is the document's word at ``position`` (from 0) taken once more?"""
-    i = F.floor((F.col("place") + position) / block).cast("long")
+    i = _block(F.col("place") + position, block)
     return _spread(i + 1) > _spread(i)

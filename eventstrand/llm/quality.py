@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -123,10 +122,10 @@ def judge(
     repeated ones included; other columns stay, those with an output's name are replaced.  An empty
     table gives an empty result.
     """
-    rows = df.count()
-    part = df.select(text).sample(min(1.0, sample_rows / max(rows, 1)), seed) if rows else df.select(text)
     names = [r.name for r in rules]
     if len(set(names)) != len(names):
         raise ValueError(f"rule names must differ: {names}")
+    rows = df.count()
+    part = df.select(text).sample(min(1.0, sample_rows / max(rows, 1)), seed) if rows else df.select(text)
     ordered = order_rules(statistics(part, text), rules)
     return statistics(df, text).withColumn("kept", cascade(ordered))
