@@ -21,6 +21,9 @@ from eventstrand.llm.components import components
 SHINGLE_WORDS = 5
 # At similarity 0.85 a pair misses all of 32 bands of 5 coordinates once in 100 million.
 BANDS, ROWS = 32, 5
+# Buckets with more members are compared by blocks inside tasks instead of by listed pairs.
+LISTED_MEMBERS = 8
+BLOCK_SHINGLES, BLOCK_MEMBERS, MATRIX_COLUMNS = 400_000, 1_000, 2_048
 
 
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -122,6 +125,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
+def _block_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, set``: the upper halves of the shingle hashes of the wanted nodes, 4 bytes each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(shingles(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, set binary")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two sets share, as products of 0-1 matrices over a few columns at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    rows, column = rows[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+        a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
+        part = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+        part[rows[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components in one large bucket that may reach the similarity.
+
+    Members are dealt to blocks of bounded size and all pairs of blocks are compared inside a task; only
+    what is similar enough leaves it.  Halved hashes may count two shingles too few or some too many, so
+    the answer is wide by two, to be confirmed on the full sets.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+        both = _common([np.frombuffer(x.as_py(), "<u4") for x in table["set"]]) + 2
+        enough = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        i, j = np.nonzero(np.triu(enough & (component[:, None] != component[None, :]), 1))
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pa.table({"a": a, "b": b})
+
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_MEMBERS))
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    placed = dealt.withColumn("other", other).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "n"
+    )
+    return placed.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _led(members: DataFrame) -> DataFrame:
     """Per bucket with two nodes or more: each node ``b`` with the bucket's smallest node ``a``."""
     leaders = members.groupBy("bucket").agg(
@@ -138,8 +194,9 @@ def near_duplicates(
 
     Rows with equal sets are one node, so copies are never paired.  Inside a band's bucket every node is
     first compared with the bucket's leader only; the links found join most of a group.  What remains are
-    pairs of one bucket in different components: only these are compared as well, which loses no component
-    and never emits the pairs of a group that hangs together.  Links rest on full shingle sets.
+    pairs of one bucket in different components.  They are listed for small buckets and compared by blocks
+    inside tasks for large ones, from which only links leave, so no group's pairs are ever written out and
+    no link between components is lost.  Links rest on full shingle sets.
 
     An empty set (null or empty text, or only spaces) is linked with nothing.  Repeated rows are one
     document, and so are rows that share an id while it is the smallest of their sets.  A row without id is
@@ -166,15 +223,19 @@ def near_duplicates(
         grouped = scratch.keep(
             members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members"
         )
-        mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rest = grouped.join(mixed.where("lo < hi").select("bucket"), "bucket")
-        left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component")]) for x in "ab")
+        mixed = grouped.groupBy("bucket").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")
+        ).where("lo < hi").select("bucket", "size", "shingles")
+        rest = scratch.keep(grouped.join(mixed, "bucket"), "mixed")
+        few, many = rest.where(F.col("size") <= LISTED_MEMBERS), rest.where(F.col("size") > LISTED_MEMBERS)
+        left, right = (few.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component")]) for x in "ab")
         across = (
             left.join(right, "bucket")
             .where((F.col("component_a") < F.col("component_b")) & likely(F.col("n_a"), F.col("n_b")))
-            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti")
+            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         )
+        sets = _block_sets(texts, many.select("node").distinct())
+        across = across.unionByName(_block_links(many, sets, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
         more = scratch.keep(_verified(scratch.keep(across, "across"), texts, percent), "more-links")
         final = components(links.unionByName(more), scratch, "second")
         named = nodes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))

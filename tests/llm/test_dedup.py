@@ -55,7 +55,11 @@ def test_components_of_odd_documents(odd_docs, odd_list, empty_docs):
     assert minhash.near_duplicates(empty_docs).count() == 0
 
 
-def test_chains_and_groups_that_lie_near_each_other(spark):
+@pytest.mark.parametrize("listed", [0, 8, 10**6])
+def test_chains_and_groups_that_lie_near_each_other(spark, monkeypatch, listed):
+    monkeypatch.setattr(minhash, "LISTED_MEMBERS", listed)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(minhash, "MATRIX_COLUMNS", 50)
     rng = random.Random(4)
     rows = []
     for group in range(6):
