@@ -75,11 +75,26 @@ win AS (
   FROM started)"""
 
 
+def _thousandths(f: str) -> str:
+    parts = ", ".join(f"round(coalesce({f}[{k}], 0)::DOUBLE * 1000)::BIGINT" for k in (1, 2, 3))
+    return f"concat_ws('/', {parts})"
+
+
+def _features(nf: str = "nf", length: int | None = None) -> str:
+    if length is None:
+        return f"array_to_string(list_transform({nf}, lambda f: {_thousandths('f')}), ',') AS num_feats_seq"
+    return (
+        f"array_to_string(list_transform(range({length}), lambda i: {_thousandths(f'{nf}[i + 1]')}), ',')"
+        " AS num_feats_seq"
+    )
+
+
 BASE = (EV, FLOW, FEAT)
 WIN = (*BASE, _win())
-WIN_TEXT = """
+WIN_TEXT = f"""
 SELECT user_id, window_start, n_events, array_to_string(ie, ',') AS input_event_seq,
-       array_to_string(ip, ',') AS input_product_seq, array_to_string(te, ',') AS target_event_seq
+       array_to_string(ip, ',') AS input_product_seq, array_to_string(te, ',') AS target_event_seq,
+       {_features()}
 FROM win"""
 FEATURE_ROWS = """
 SELECT event_id, user_id, pos, n_events, product_id, event_type::BIGINT AS event_type,
@@ -140,7 +155,8 @@ SELECT *, shuffled_position // {BATCH} AS batch_id FROM (
            TEST_SPEC.length, 'input_event_seq_v2')},
          {_padded("list_transform(ip, lambda p: coalesce(list_position(known, p), 0))",
            TEST_SPEC.length, 'input_product_seq')},
-         {_padded('te', TEST_SPEC.length, 'target_event_seq')}
+         {_padded('te', TEST_SPEC.length, 'target_event_seq')},
+         {_features(length=TEST_SPEC.length)}
   FROM bucketed JOIN sides USING (bucket) JOIN split USING (user_id),
        (SELECT list(orig_id ORDER BY new_id) AS known FROM vocab)
   WHERE (side = 'train' AND split = 'train') OR (side = 'val' AND split = 'test'))"""
@@ -173,16 +189,36 @@ weights AS (
            * CASE event_type WHEN 0 THEN 0 WHEN 21 THEN 2.5 ELSE 1 END AS weight
   FROM counted)"""
 
-POSITIONS = f"""
+def _hundredths(weights) -> str:
+    """Weighted sum of the three features of event i in hundredths, rounded down; 0 beyond the window."""
+    return " + ".join(
+        f"({w}) * coalesce(floor(nf[i + 1][{k}]::DOUBLE * 100)::BIGINT, 0)" for k, w in enumerate(weights, 1)
+    )
+
+
+BASE_SCORE = f"(7 * coalesce(ie[i + 1], 0) + 3 * {{product}} + {_hundredths((1, 2, 3))})"
+
+
+def _positions(product: str = "coalesce(ip[i + 1], 0)", rows: str = "win") -> str:
+    return f"""
 positions AS (
   SELECT coalesce(te[i + 1], 0) AS target,
-         list_transform(range(22), lambda c: (7 * coalesce(ie[i + 1], 0) + 3 * coalesce(ip[i + 1], 0) + 5 * c) % 22)
-           AS x
-  FROM win, range({TEST_SPEC.length}) AS r(i)),
-pairs AS (SELECT target, list_position(x, list_max(x)) - 1 AS pred FROM positions WHERE target <> 0),
+         list_transform(range(22), lambda c: (({BASE_SCORE.format(product=product)} + 5 * c) % 22 + 22) % 22) AS x
+  FROM {rows}, range({TEST_SPEC.length}) AS r(i))"""
+
+
+PREDICTED = """
+pairs AS (SELECT target, list_position(x, list_max(x)) - 1 AS pred FROM positions WHERE target <> 0)"""
+POSITIONS = f"""
+{_positions()}, {PREDICTED},
 position_loss AS (
   SELECT target, weight * (ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[target + 1]) AS ce
   FROM positions JOIN weights ON target = event_type)"""
+VAL_ROWS = """
+val AS (
+  SELECT bucketed.*, known FROM bucketed JOIN sides USING (bucket) JOIN split USING (user_id),
+         (SELECT list(orig_id ORDER BY new_id) AS known FROM vocab)
+  WHERE side = 'val' AND split = 'test')"""
 REPORT_ROWS = """
 SELECT c::VARCHAR AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support
 FROM scored"""
@@ -209,14 +245,20 @@ unit AS (
          list_transform(b, lambda v: v / sqrt(list_dot_product(b, b))) AS b FROM views),
 cosines AS (SELECT vec_id, list_dot_product(a, b) AS cosine FROM unit)"""
 
+def _embedding(events: str) -> str:
+    feats = _hundredths(("1 + j", "2 + j", "3 + j"))
+    return f"""list_transform(range(8), lambda j: list_sum(list_transform(range(len({events})), lambda i:
+      ({events}[i + 1] * (j + 1)) % 11 + (ip[i + 1] * (j + 2)) % 7
+      + (((1 + i % 3) * ({feats})) % 13 + 13) % 13)))"""
+
+
 VIEW_WIN = f"""
 masked AS (
-  SELECT user_id, window_start, ie, list_transform(ie, lambda e, i:
+  SELECT user_id, window_start, ie, ip, nf, list_transform(ie, lambda e, i:
     CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')} < 0.15 THEN 0 ELSE e END) AS me FROM win),
 views AS (
   SELECT user_id, window_start,
-    list_transform(range(8), lambda j: list_sum(list_transform(ie, lambda e: (e * (j + 1)) % 11)))::DOUBLE[] AS a,
-    list_transform(range(8), lambda j: list_sum(list_transform(me, lambda e: (e * (j + 1)) % 11)))::DOUBLE[] AS b
+    {_embedding('ie')}::DOUBLE[] AS a, {_embedding('me')}::DOUBLE[] AS b
   FROM masked),
 unit AS (
   SELECT user_id * 100000 + window_start AS vec_id, user_id, window_start,
@@ -266,7 +308,9 @@ SQL = {
     "user_history": _with(*BASE, f"""
         SELECT user_id, n_events, pos // {TEST_SPEC.length} AS chunk,
                string_agg(event_type::VARCHAR, ',' ORDER BY pos) AS event_type,
-               string_agg(product_id::VARCHAR, ',' ORDER BY pos) AS product_id, count(*) AS n_feats
+               string_agg(product_id::VARCHAR, ',' ORDER BY pos) AS product_id,
+               string_agg({_thousandths('[value_norm, time_delta_norm, balance_norm]')}, ',' ORDER BY pos)
+                 AS num_feats_seq
         FROM norm GROUP BY 1, 2, 3"""),
     "sequence_windows": _with(*WIN, WIN_TEXT),
     "sequence_windows_segmented": _with(*WIN, WIN_TEXT),
@@ -291,6 +335,13 @@ SQL = {
     "uid_split_counts": _with(*WIN, SPLIT, """
         SELECT split, count(*) AS n_rows FROM win JOIN split USING (user_id) GROUP BY split"""),
     "uid_split_source": _with(EV, SPLIT, "SELECT user_id, split FROM split"),
+    "uid_split_document": _with(EV, SPLIT, "SELECT user_id, split FROM split"),
+    "first_files_scan": _with(EV, "SELECT DISTINCT user_id, user_id % 5 AS file FROM ev WHERE user_id % 5 < 3"),
+    "report_roundtrip": _with(*PAIR_BASE, REPORT, REPORT_ROWS),
+    "stored_dataset_report": _with(
+        *WIN, VOCAB, SPLIT, SIDES, VAL_ROWS,
+        _positions("coalesce(list_position(known, ip[i + 1]), 0)", "val"), PREDICTED, REPORT, REPORT_ROWS,
+    ),
     "bucket_split": _with(*WIN, SIDES, "SELECT bucket, side FROM sides"),
     "train_val_rows": _with(*WIN, SPLIT, SIDES, """
         SELECT user_id, window_start, bucket, side, array_to_string(te, ',') AS target_event_seq
@@ -338,11 +389,11 @@ SQL = {
     "resume_pending_buckets": _with(*WIN, f"""
         SELECT user_id, window_start, {BUCKET} AS bucket,
                CASE WHEN {BUCKET} % 2 = 0 THEN 'first run' ELSE 'second run' END AS written_by,
-               array_to_string(ie, ',') AS input_event_seq FROM win"""),
+               array_to_string(ie, ',') AS input_event_seq, {_features()} FROM win"""),
     "argmax_predictions": _with(*WIN, f"""
         SELECT user_id, window_start, string_agg(best::VARCHAR, ',' ORDER BY i) AS pred_event_seq FROM (
-          SELECT user_id, window_start, i, arg_max(c, (7 * e + 3 * p + 5 * c) % 22) AS best FROM (
-            SELECT user_id, window_start, i, c, coalesce(ie[i + 1], 0) AS e, coalesce(ip[i + 1], 0) AS p
+          SELECT user_id, window_start, i, arg_max(c, ((base + 5 * c) % 22 + 22) % 22) AS best FROM (
+            SELECT user_id, window_start, i, c, {BASE_SCORE.format(product='coalesce(ip[i + 1], 0)')} AS base
             FROM win, range({TEST_SPEC.length}) AS r(i), range(22) AS k(c))
           GROUP BY 1, 2, 3)
         GROUP BY 1, 2"""),
@@ -386,12 +437,11 @@ SQL = {
     "contrastive_validation": _with(*WIN, VIEW_WIN, _nce("user_id, window_start"), """
         SELECT round((SELECT avg(loss) FROM losses), 4) AS info_nce, round(avg(cosine), 4) AS mean_cosine,
                count(*) AS n_pairs FROM cosines"""),
-    "score_embeddings": _with(*WIN, """
-        SELECT user_id, window_start, j AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id, window_start)), 4)
+    "score_embeddings": _with(*WIN, f"""
+        SELECT user_id, window_start, k AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id, window_start)), 4)
                  AS x
-        FROM (SELECT user_id, window_start, j,
-                     list_sum(list_transform(ie, lambda e: (e * (j + 1)) % 11))::DOUBLE AS x
-              FROM win, range(8) AS r(j))"""),
+        FROM (SELECT user_id, window_start, k, ({_embedding('ie')})[k + 1]::DOUBLE AS x
+              FROM win, range(8) AS r(k))"""),
     "user_mean_embedding": """
         SELECT user_id, i, round(m, 4) + 0.0 AS mean,
                round(m / sqrt(sum(m * m) OVER (PARTITION BY user_id)), 4) + 0.0 AS unit

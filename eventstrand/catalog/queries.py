@@ -137,9 +137,20 @@ def _rounded(column, name: str | None = None, digits: int = 4) -> Column:
     return (F.round(c.cast("double"), digits) + 0.0).alias(name or column)
 
 
+def _feature_text(column: str = "num_feats_seq") -> Column:
+    """All features of a window in thousandths: a/b/d of each event, comma-joined."""
+    def one(f: Column) -> Column:
+        values = [f[i] if column == "matrix" else f[name] for i, name in enumerate(windows.FEATURES)]
+        return F.concat_ws("/", *[F.round(v.cast("double") * 1000).cast("bigint").cast("string") for v in values])
+
+    source = "num_feats_seq" if column == "matrix" else column
+    return F.array_join(F.transform(source, one), ",").alias("num_feats_seq")
+
+
 def _window_text(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(
-        *KEY, "n_events", *more, _text("input_event_seq"), _text("input_product_seq"), _text("target_event_seq")
+        *KEY, "n_events", *more, _text("input_event_seq"), _text("input_product_seq"), _text("target_event_seq"),
+        _feature_text(),
     )
 
 
@@ -202,8 +213,7 @@ def event_features_segmented(spark, sf_dir):
 @query
 def user_history(spark, sf_dir):
     return windows.user_history(_features(spark, sf_dir), LENGTH).select(
-        "user_id", "n_events", "chunk", _text("event_type"), _text("product_id"),
-        F.size("num_feats").cast("bigint").alias("n_feats"),
+        "user_id", "n_events", "chunk", _text("event_type"), _text("product_id"), _feature_text("num_feats"),
     )
 
 
@@ -260,7 +270,7 @@ def product_vocab(spark, sf_dir):
 
 
 def _remapped(spark, sf_dir, **options):
-    rows = _windows(spark, sf_dir)
+    rows = materialise(_windows(spark, sf_dir))
     mapped = vocabulary.remap_products(rows, vocabulary.product_vocabulary(rows), **options)
     return mapped.select(*KEY, _text("input_product_seq"))
 
@@ -278,7 +288,8 @@ def remap_products_joined(spark, sf_dir):
 @query
 def semi_join_split(spark, sf_dir):
     train = _split(spark, sf_dir).where(F.col("split") == "train")
-    return splits.keep_users(_windows(spark, sf_dir), train).select(*KEY, _text("input_event_seq"))
+    events = splits.keep_users(_raw(spark, sf_dir), train)
+    return build_windows(events, TEST_SPEC, TEST_MEAN, TEST_STD).select(*KEY, _text("input_event_seq"))
 
 
 @query
@@ -293,6 +304,37 @@ def uid_split_source(spark, sf_dir):
     return tables.read_split_rows(spark, path)
 
 
+@query
+def uid_split_document(spark, sf_dir):
+    """The same list as one JSON document with a list of users per split."""
+    path = _folder(spark)
+    lists = _split(spark, sf_dir).agg(
+        *[F.collect_list(F.when(F.col("split") == s, F.col("user_id"))).alias(s) for s in ("train", "test")]
+    )
+    lists.write.json(path)
+    return tables.read_split_lists(spark, path)
+
+
+@query
+def first_files_scan(spark, sf_dir):
+    """The first three of five files in name order; users are dealt to files by their id."""
+    path = _folder(spark)
+    users = splits.distinct_users(_events(spark, sf_dir)).withColumn("file", F.col("user_id") % 5)
+    for i in range(5):
+        # one file per folder, so that folder and file names have the same order
+        users.where(F.col("file") == i).coalesce(1).write.parquet(f"{path}/part_{i}")
+    return tables.read_first_files(spark, f"{path}/part_*", 3).select("user_id", "file")
+
+
+@query
+def report_roundtrip(spark, sf_dir):
+    """The per-class report, written as a CSV report and read back."""
+    path = _folder(spark)
+    sinks.write_report(per_class_report(spark, sf_dir), path)
+    back = spark.read.schema("class string, precision double, recall double, f1 double, support bigint")
+    return back.csv(path, header=True)
+
+
 def _with_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.col("user_id") % N_BUCKETS)
 
@@ -304,7 +346,8 @@ def bucket_split(spark, sf_dir):
 
 @query
 def train_val_rows(spark, sf_dir):
-    rows = splits.train_val_rows(_with_bucket(_windows(spark, sf_dir)), _split(spark, sf_dir))
+    events = _raw(spark, sf_dir).join(_split(spark, sf_dir), "user_id")
+    rows = splits.train_val_rows(_with_bucket(build_windows(events, TEST_SPEC, TEST_MEAN, TEST_STD)))
     return rows.select(*KEY, "bucket", "side", _text("target_event_seq"))
 
 
@@ -397,7 +440,9 @@ def resume_pending_buckets(spark, sf_dir):
     resumed = sinks.write_resumable(raw, build, path, markers, N_BUCKETS, seed=SEED)
     by = F.when(F.col("bucket").isin(resumed), F.lit("second run")).otherwise(F.lit("first run"))
     back = spark.read.parquet(path)
-    return back.select(*KEY, _whole("bucket"), by.alias("written_by"), _text("input_event_seq"))
+    return back.select(
+        *KEY, _whole("bucket"), by.alias("written_by"), _text("input_event_seq"), _feature_text()
+    )
 
 
 @query
@@ -411,16 +456,17 @@ def training_batches(spark, sf_dir):
     """From the stored dataset to padded, remapped, masked, shuffled rows of both sides."""
     folder = _folder(spark)
     stored = write_dataset(
-        _raw(spark, sf_dir), folder, N_BUCKETS, TEST_SPEC, value_mean=TEST_MEAN, value_std=TEST_STD
+        _raw(spark, sf_dir), folder, N_BUCKETS, TEST_SPEC, split=_split(spark, sf_dir),
+        value_mean=TEST_MEAN, value_std=TEST_STD,
     )
     sides = training_tables(
-        _with_bucket(stored), _split(spark, sf_dir), spark.read.parquet(f"{folder}/vocabulary"), LENGTH, BATCH,
+        _with_bucket(stored), None, spark.read.parquet(f"{folder}/vocabulary"), LENGTH, BATCH,
         seed=SEED,
     )
     both = tables.union_tables([df.withColumn("side", F.lit(side)) for side, df in sides.items()])
     return both.select(
         *KEY, "side", "shuffled_position", "batch_id", _text("input_event_seq"), _text("input_event_seq_v2"),
-        _text("input_product_seq"), _text("target_event_seq"),
+        _text("input_product_seq"), _text("target_event_seq"), _feature_text("matrix"),
     )
 
 
@@ -493,6 +539,21 @@ def _next_event_reports(spark, sf_dir):
     )
 
 
+@query
+def stored_dataset_report(spark, sf_dir):
+    """Stored dataset, validation side, vocabulary, padding, model and per-class report in one flow."""
+    folder = _folder(spark)
+    stored = write_dataset(
+        _raw(spark, sf_dir), folder, N_BUCKETS, TEST_SPEC, split=_split(spark, sf_dir),
+        value_mean=TEST_MEAN, value_std=TEST_STD,
+    )
+    tables_of = training_tables(
+        _with_bucket(stored), None, spark.read.parquet(f"{folder}/vocabulary"), LENGTH, BATCH, contrastive=False
+    )
+    report = evaluate_predictions(tables_of["val"], next_event_model(), LENGTH, N_SCORES)["per_class"]
+    return report.select("class", _rounded("precision"), _rounded("recall"), _rounded("f1"), "support")
+
+
 @query
 def next_event_report(spark, sf_dir):
     return _next_event_reports(spark, sf_dir)["per_class"].select(

@@ -29,7 +29,7 @@ def normalise_events(raw: DataFrame) -> DataFrame:
         F.col("value").cast("float").alias("value"),
         F.col("event_type").cast("tinyint").alias("event_type"),
         F.coalesce(F.col("product_id").cast("bigint"), F.lit(0)).alias("product_id"),
-        *([F.col("bucket").alias("bucket")] if "bucket" in given else []),
+        *[F.col(c).alias(c) for c in ("bucket", "part", "split") if c in given],
     ).where(F.col("user_id").isNotNull())
 
 

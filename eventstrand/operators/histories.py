@@ -42,11 +42,12 @@ class Histories:
 
 
 def user_keys(df: DataFrame) -> list[str]:
-    """What a user is grouped by: an output bucket, if the events carry one, and the user id.
+    """What a user is grouped by: an output bucket and its part, a split, if the events carry them, and the id.
 
-    Grouping by the bucket too lets events that are already partitioned by bucket stay where they are.
+    All are functions of the user.  Grouping by them too lets events that are already partitioned by
+    bucket and part stay where they are, and hands the split on to the windows.
     """
-    return [c for c in ("bucket", "user_id") if c in df.columns]
+    return [c for c in ("bucket", "part", "split", "user_id") if c in df.columns]
 
 
 def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK) -> Histories:

@@ -6,40 +6,65 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventstrand.functions.sequences import PADDING
 from eventstrand.functions.vectors import log_sum_exp
 from eventstrand.operators.ranking import seeded_batches
 
+# Fixed values of the loss functions.
 FOCAL_GAMMA = 2.5
 TEMPERATURE = 0.07
+# Classes are event codes; this bounds the broadcast class table.
+MAX_CLASSES = 10_000
+# A batch is one square matrix in a task: 8 bytes times its square, 512 MB at most.
+MAX_BATCH = 8_192
+
+
+def _by_class(weights: DataFrame) -> DataFrame:
+    """(target, __weight), one row per class from 0 to ``MAX_CLASSES``; two weights of a class are an error."""
+    twice = F.raise_error(F.concat(F.lit("two weights for class "), F.col("target").cast("string")))
+    return (
+        weights.where(F.col("event_type").between(0, MAX_CLASSES))
+        .groupBy(F.col("event_type").cast("int").alias("target"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.max("weight").alias("__weight"))
+        .select("target", F.when(F.col("__n") > 1, twice).otherwise(F.col("__weight")).alias("__weight"))
+    )
+
+
+def mean_loss(total: Column, n_rows: Column) -> Column:
+    """Sum over count; 0 without rows."""
+    return F.coalesce(F.try_divide(total, n_rows), F.lit(0.0))
 
 
 def focal_rows(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
     """Add ``focal`` to rows of (logits, target): weighted cross entropy scaled by (1 - p) ** gamma.
 
-    Padded targets contribute 0.  ``weights`` has one row per class, so it is broadcast.
+    Padded targets contribute 0.  A row without target, a target outside the logits and a class without
+    weight are errors, so no row can drop out of a mean.
     """
     target = F.col("target")
-    by_class = weights.select(F.col("event_type").cast("int").alias("target"), "weight")
-    cross_entropy = F.col("weight") * (
-        log_sum_exp(F.col("logits")) - F.get("logits", target).cast("double")
-    )
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} "), F.coalesce(target.cast("string"), F.lit("null"))))
+    outside = target.isNull() | (target < 0) | (target >= F.size("logits"))
+    ce = F.col("__weight") * (log_sum_exp(F.col("logits")) - F.get("logits", target).cast("double"))
     loss = F.pow(1 - F.exp(-F.col("__ce")), F.lit(gamma)) * F.col("__ce")
+    checked = (
+        F.when(F.coalesce(outside, F.lit(True)), wrong("target outside the logits:"))
+        .when(target == PADDING, F.lit(0.0))
+        .when(F.col("__ce").isNull(), wrong("no weight for class"))
+        .otherwise(loss)
+    )
     return (
-        scored.join(F.broadcast(by_class), "target", "left")
-        .withColumn("__ce", cross_entropy)
-        .withColumn("focal", F.when(target == PADDING, F.lit(0.0)).otherwise(loss))
-        .drop("__ce", "weight")
+        scored.join(F.broadcast(_by_class(weights)), "target", "left")
+        .withColumn("__ce", ce).withColumn("focal", checked).drop("__ce", "__weight")
     )
 
 
 def focal_loss(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
     """Mean over all rows; padded ones stay in the denominator."""
-    rows = focal_rows(scored, weights, gamma)
-    return rows.agg(
-        F.coalesce(F.avg("focal"), F.lit(0.0)).alias("focal_loss"), F.count(F.lit(1)).alias("n_rows")
+    n_rows = F.count(F.lit(1))
+    return focal_rows(scored, weights, gamma).agg(
+        mean_loss(F.sum("focal"), n_rows).alias("focal_loss"), n_rows.alias("n_rows")
     )
 
 
@@ -85,6 +110,8 @@ def info_nce(
     seed: int = 0,
 ) -> DataFrame:
     """Mean of the batch losses over seeded random batches; 0 without any batch."""
+    if not 0 < batch_size <= MAX_BATCH:
+        raise ValueError(f"batch_size must be from 1 to {MAX_BATCH}")
     batches = seeded_batches(pairs.select(*key, view1, view2), key, batch_size, seed)
     return batch_info_nce(batches, view1, view2, temperature).agg(
         F.coalesce(F.avg("loss"), F.lit(0.0)).alias("info_nce"), F.count(F.lit(1)).alias("n_batches")

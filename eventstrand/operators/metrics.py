@@ -57,7 +57,7 @@ def class_weights(
     classes = support.sparkSession.range(n_classes + 1).select(F.col("id").cast("int").alias("event_type"))
     known = support.where(F.col("event_type").between(0, n_classes))
     counted = classes.join(F.broadcast(known), "event_type", "left").select(
-        "event_type", F.coalesce("support", F.lit(1)).alias("count")
+        "event_type", F.greatest(F.coalesce("support", F.lit(1)), F.lit(1)).alias("count")
     )
     total = F.sum("count").over(Window.partitionBy())
     weight = F.log1p(total / (F.lit(n_classes) * F.col("count")))

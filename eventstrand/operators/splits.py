@@ -10,7 +10,7 @@ def distinct_users(events: DataFrame) -> DataFrame:
 
 
 def keep_users(df: DataFrame, users: DataFrame) -> DataFrame:
-    """Rows of the listed users.
+    """Rows of the listed users; cheapest on events, before windows several times their size are made.
 
     No broadcast hint: a user list grows with the data, so the planner decides by its size, and a hot
     user in a sort-merge semi join is split by the adaptive skew rule.
@@ -58,13 +58,15 @@ def bucket_split(df: DataFrame, bucket: str = "bucket", train_fraction: float =
 
 
 def train_val_rows(
-    windows: DataFrame, split: DataFrame, bucket: str = "bucket", train_fraction: float = 0.8
+    windows: DataFrame, split: DataFrame | None = None, bucket: str = "bucket", train_fraction: float = 0.8
 ) -> DataFrame:
-    """Effective sets: train buckets with train users, val buckets with test users; the rest unused."""
+    """Effective sets: train buckets with train users, val buckets with test users; the rest unused.
+
+    Windows that carry a ``split`` column, from events it was attached to, are filtered where they are.
+    Otherwise whole windows are joined with ``split`` (user_id, split) for it.
+    """
+    sides = with_bucket_side(windows, bucket, train_fraction)
+    if "split" not in windows.columns:
+        sides = sides.join(split, "user_id")
     wanted = F.when(F.col("side") == "train", F.lit("train")).otherwise(F.lit("test"))
-    return (
-        with_bucket_side(windows, bucket, train_fraction)
-        .join(split, "user_id")
-        .where(F.col("split") == wanted)
-        .drop("split")
-    )
+    return sides.where(F.col("split") == wanted).drop("split")

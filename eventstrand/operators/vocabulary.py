@@ -31,7 +31,8 @@ def product_remapper(
     """Function that replaces the product ids of windows by vocabulary ids, unknown ones by 0.
 
     A vocabulary of up to ``max_broadcast`` ids is sent to the executors and the lists are translated
-    where they are; a larger one is joined to the list elements.
+    where they are; a larger one is joined to the distinct ids of each window.  Both ways give the same
+    rows: null lists stay null, null elements become 0, rows with equal keys stay as many as they are.
     """
     head = vocabulary.select("orig_id", "new_id").limit(max_broadcast + 1).toPandas()
     if len(head) <= max_broadcast:
@@ -62,27 +63,30 @@ def _remap_by_lookup(windows: DataFrame, vocabulary: pd.DataFrame) -> DataFrame:
             translated = np.where(known[place] == values, new_ids[place], 0)
         ends = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
         offsets = pa.array(np.concatenate([[0], ends]).astype("int32"))
-        return pa.ListArray.from_arrays(offsets, pa.array(translated))
+        return pa.ListArray.from_arrays(offsets, pa.array(translated), mask=lists.is_null())
 
     # nondeterministic only in name: keeps the planner from evaluating it twice
     return windows.withColumn("input_product_seq", translate.asNondeterministic()("input_product_seq"))
 
 
 def _remap_by_join(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Distinct known ids per window meet the vocabulary and come back as one map per window key.
+
+    Padding and missing products, the most frequent values, never enter the shuffle.  A map depends on
+    ids only, so rows that share a key may share it.
+    """
     key = ["user_id", "window_start"]
-    elements = windows.select(*key, F.posexplode("input_product_seq").alias("i", "orig_id"))
-    translated = (
-        elements.join(vocabulary, "orig_id", "left")
+    real = lambda p: p.isNotNull() & (p != 0)
+    ids = windows.select(*key, F.explode(F.array_distinct(F.filter("input_product_seq", real))).alias("orig_id")).distinct()
+    maps = (
+        ids.join(vocabulary.select("orig_id", "new_id"), "orig_id")
         .groupBy(*key)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("i", F.coalesce("new_id", F.lit(0)).alias("new_id")))
-            ).alias("elements")
-        )
-        .select(*key, F.col("elements.new_id").alias("__translated"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("orig_id", "new_id"))).alias("__map"))
+    )
+    translated = F.transform(
+        "input_product_seq", lambda p: F.coalesce(F.when(p.isNotNull(), F.try_element_at("__map", p)), F.lit(0))
     )
     return (
-        windows.join(translated, key, "left")
-        .withColumn("input_product_seq", F.coalesce("__translated", F.col("input_product_seq")))
-        .drop("__translated")
+        windows.join(maps, key, "left").withColumn("input_product_seq", translated).drop("__map")
+        .select(windows.columns)
     )

@@ -18,10 +18,11 @@ from eventstrand.operators.clusters import (
     pca_2d,
     search_k,
     silhouette_exact,
+    silhouette_squared,
     user_vectors,
 )
 from eventstrand.operators.inference import score_positions, score_windows
-from eventstrand.operators.losses import TEMPERATURE, focal_rows, info_nce
+from eventstrand.operators.losses import TEMPERATURE, focal_rows, info_nce, mean_loss
 from eventstrand.operators.metrics import (
     histogram,
     macro_weighted_metrics,
@@ -59,9 +60,8 @@ def evaluate_predictions(
     report = report_of_confusion(totals.where(F.col("target") != PADDING))
     reports = {"per_class": report, "summary": macro_weighted_metrics(report)}
     if weights is not None:
-        mean = F.coalesce(F.try_divide(F.sum("focal"), F.sum("n")), F.lit(0.0))
         reports["loss"] = totals.agg(
-            mean.alias("focal_loss"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
+            mean_loss(F.sum("focal"), F.sum("n")).alias("focal_loss"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
         )
     return reports
 
@@ -119,7 +119,10 @@ def evaluate_embeddings(
         k = reports["k_search"].where("is_best").first().k
     clusters = assign_clusters(kmeans_best_of(vectors, k, n_init, seed), vectors)
     reports["clusters"] = clusters.select("user_id", "cluster")
-    reports["silhouette"] = silhouette_exact(clusters)
+    all_rows = F.lit(silhouette_squared(clusters)), F.lit(vectors.count())
+    reports["silhouette"] = silhouette_exact(clusters).select(
+        "*", all_rows[0].alias("silhouette_squared"), all_rows[1].cast("bigint").alias("n_users")
+    )
     reports["distribution"] = cluster_distribution(clusters)
     reports["top_events"] = cluster_top_events(cluster_event_counts(padded, clusters))
     reports["points"] = seeded_sample(pca_2d(clusters), ["user_id"], SCATTER_SAMPLE, seed)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 
 from eventstrand.operators.features import VALUE_MEAN, VALUE_STD, event_features, normalise_events
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
 from eventstrand.operators.vocabulary import product_vocabulary
-from eventstrand.operators.windows import WindowSpec, assemble_windows, sequence_windows
-from eventstrand.sources.sinks import gather_buckets, write_resumable
+from eventstrand.operators.windows import WindowSpec, assemble_windows, history_filter_counts, sequence_windows
+from eventstrand.session import folder_exists
+from eventstrand.sources.sinks import PARTS_PER_BUCKET, gather_buckets, write_resumable
 from eventstrand.sources.tables import read_parquet_folder
 
 
@@ -39,13 +42,15 @@ def build_bucketed_windows(
     value_std: float = VALUE_STD,
     max_events: int = MAX_EVENTS_PER_TASK,
 ) -> DataFrame:
-    """The same from events with a ``bucket`` column; rows come out gathered by bucket.
+    """The same from events with ``bucket`` and ``part`` columns; rows come out gathered by both.
 
-    Events are partitioned by bucket once, which serves the per-user steps and the file layout, so
-    the windows (several times their size) of ordinary users are not shuffled again to be written.
+    Events are partitioned by bucket and part once, which serves the per-user steps and the file layout,
+    so the windows (several times their size) of ordinary users are not shuffled again to be written,
+    however many buckets there are.
     """
+    extra = [c for c in ("bucket", "part", "split") if c in raw.columns]
     histories = split_histories(normalise_events(raw), max_events)
-    gathered = Histories(histories.regular.repartition("bucket"), histories.heavy)
+    gathered = Histories(histories.regular.repartition(*[c for c in extra if c != "split"]), histories.heavy)
     windows = assemble_windows(event_features(gathered, value_mean, value_std), spec)
     if windows.heavy is not None:
         windows = Histories(windows.regular, gather_buckets(windows.heavy))
@@ -58,22 +63,32 @@ def write_dataset(
     n_buckets: int,
     spec: WindowSpec = WindowSpec(),
     buckets_per_job: int | None = None,
+    parts: int = PARTS_PER_BUCKET,
+    split: DataFrame | None = None,
+    source: str | None = None,
     **options,
 ) -> DataFrame:
-    """Write the windows bucket by bucket, resuming an earlier run, and the vocabulary beside them.
+    """Write the windows bucket by bucket, resuming an earlier run; then the vocabulary and the user counts.
 
-    With at least as many buckets as shuffle partitions (several times as many is better) the events are
-    partitioned by bucket; with fewer, that would leave tasks idle, so the windows are gathered instead.
-    Leaves ``path/windows``, ``path/done`` and ``path/vocabulary``; returns the window table.
+    Each bucket is ``parts`` tasks and files.  ``split`` (user_id, split) is attached to the narrow events
+    and stored as a folder level, so later readers prune by it; users without a split are left out.
+    ``source`` names the input; a run with other settings or another source than the first is refused,
+    and so is a dataset of which buckets failed.  Vocabulary and user counts come from the complete dataset and
+    are never rewritten: models and training tables may rely on the ids.  Leaves ``path/windows``,
+    ``path/done``, ``path/vocabulary`` and ``path/user_counts``; returns the window table.
     """
     spark = raw.sparkSession
-
-    def build(part: DataFrame) -> DataFrame:
-        if n_buckets >= int(spark.conf.get("spark.sql.shuffle.partitions")):
-            return build_bucketed_windows(part, spec, **options)
-        return gather_buckets(build_windows(part, spec, **options))
-
-    write_resumable(raw, build, f"{path}/windows", f"{path}/done", n_buckets, buckets_per_job)
+    events = raw if split is None else raw.join(split.select("user_id", "split"), "user_id")
+    settings = {"spec": asdict(spec), "split": split is not None, "source": source, **options}
+    write_resumable(
+        events, lambda part: build_bucketed_windows(part, spec, **options), f"{path}/windows", f"{path}/done",
+        n_buckets, buckets_per_job, parts=parts, settings=settings,
+    )
     windows = read_parquet_folder(spark, f"{path}/windows")
-    product_vocabulary(windows).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    for name, table in (
+        ("vocabulary", lambda: product_vocabulary(windows)),
+        ("user_counts", lambda: history_filter_counts(normalise_events(events), spec.min_events or 0)),
+    ):
+        if not folder_exists(spark, f"{path}/{name}/_SUCCESS"):
+            table().write.mode("overwrite").parquet(f"{path}/{name}")
     return windows

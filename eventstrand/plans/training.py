@@ -14,7 +14,7 @@ TRAIN_MASK, VAL_MASK = 0.4, 0.15
 
 def training_tables(
     windows: DataFrame,
-    split: DataFrame,
+    split: DataFrame | None,
     vocabulary: DataFrame,
     length: int,
     batch_size: int = 512,
@@ -24,15 +24,15 @@ def training_tables(
 ) -> dict[str, DataFrame]:
     """``train`` and ``val``: remapped, padded, in seeded batches, with a masked second view.
 
-    Rows are selected first, so the scan prunes buckets and only wanted windows are transformed.
+    Rows are selected first, so the scan prunes buckets; they are placed in batches as they are stored,
+    and only then translated, padded and masked, so nothing made here is shuffled.
     """
     remap = product_remapper(vocabulary)
     sides = train_val_rows(windows, split)
     tables = {}
     for side, probability in (("train", TRAIN_MASK), ("val", VAL_MASK)):
-        rows = remap(sides.where(F.col("side") == side).drop("side"))
-        rows = pad_windows(rows, length, with_balance)
-        if contrastive:
-            rows = mask_events(rows, probability, seed)
-        tables[side] = seeded_batches(rows, ["user_id", "window_start"], batch_size, seed)
+        chosen = sides.where(F.col("side") == side).drop("side")
+        rows = seeded_batches(chosen, ["user_id", "window_start"], batch_size, seed)
+        rows = pad_windows(remap(rows), length, with_balance)
+        tables[side] = mask_events(rows, probability, seed) if contrastive else rows
     return tables

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 
@@ -9,9 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventstrand.functions.hashing import md5_int
+from eventstrand.session import remove_folder
 
 logger = logging.getLogger(__name__)
 
+PARTS_PER_BUCKET = 16
+
 
 def bucket_of(user_id: Column, n_buckets: int, seed: int = 0) -> Column:
     """Output bucket of a user: the same in every run."""
@@ -27,20 +31,45 @@ def gather_buckets(bucketed: DataFrame) -> DataFrame:
     return bucketed.hint("rebalance", "bucket")
 
 
+def with_part(bucketed: DataFrame, parts: int) -> DataFrame:
+    """Add ``part``: users of one bucket in ``parts`` hash groups, so that a bucket is several tasks and files."""
+    return bucketed.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int"))
+
+
 def write_buckets(bucketed: DataFrame, path: str) -> None:
-    """Zstd parquet, one folder per bucket; only the buckets present are replaced.
+    """Zstd parquet, one folder per bucket (and split, if there is one); only the buckets present are replaced.
 
     Each task writes a file per bucket it holds: rows should be gathered by bucket before.
     """
+    folders = [c for c in ("bucket", "split") if c in bucketed.columns]
     (
-        bucketed.write.mode("overwrite")
+        bucketed.drop("part").write.mode("overwrite")
         .option("compression", "zstd")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
+        .partitionBy(*folders)
         .parquet(path)
     )
 
 
+class IncompleteDataset(RuntimeError):
+    """Some buckets failed; they stay pending and the next run tries them again."""
+
+
+def check_manifest(spark: SparkSession, path: str, settings: dict) -> None:
+    """Record what a dataset is made with, or refuse to go on with other settings than recorded."""
+    text = json.dumps(settings, sort_keys=True, default=str)
+    try:
+        recorded = spark.read.text(path).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        recorded = []
+    if not recorded:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif recorded[0].value != text:
+        raise ValueError(f"dataset was begun with {recorded[0].value}, not {text}")
+
+
 def done_buckets(spark: SparkSession, markers: str) -> DataFrame:
     """Buckets recorded as finished; none before the first run."""
     try:
@@ -64,30 +93,43 @@ def write_resumable(
     n_buckets: int,
     buckets_per_job: int | None = None,
     seed: int = 0,
+    parts: int = PARTS_PER_BUCKET,
+    settings: dict | None = None,
 ) -> list[int]:
     """Build and write the buckets that are not marked done; returns the buckets written now.
 
-    ``build`` maps events with a ``bucket`` column to output rows with that column, gathered by it.  A
-    failed group of buckets is logged, left unmarked and tried again by the next run, which overwrites
-    its leftovers.
+    ``build`` maps events with ``bucket`` and ``part`` columns to output rows with them, gathered by
+    both.  A resumed run must have the same ``n_buckets``, ``seed`` and ``settings`` as the first.  With
+    several jobs the events are staged once by bucket beside ``markers``, and each job reads its own
+    folders only.  A failed group of buckets stays unmarked; the others are still tried, then
+    :class:`IncompleteDataset` is raised.  The next run overwrites leftovers.
     """
     spark = events.sparkSession
+    check_manifest(spark, f"{markers}-manifest", {"n_buckets": n_buckets, "seed": seed, **(settings or {})})
     todo = sorted(row.bucket for row in pending_buckets(spark, markers, n_buckets).collect())
     size = buckets_per_job or max(len(todo), 1)
-    bucketed = with_bucket(events, n_buckets, seed)
-    written: list[int] = []
-    for group in (todo[i : i + size] for i in range(0, len(todo), size)):
-        mine = spark.createDataFrame([(b,) for b in group], "bucket int")
-        # at most n_buckets rows
-        part = bucketed.join(F.broadcast(mine), "bucket", "left_semi")
+    groups = [todo[i : i + size] for i in range(0, len(todo), size)]
+    bucketed = with_part(with_bucket(events, n_buckets, seed), parts)
+    staged = f"{markers}-staged"
+    if len(groups) > 1:
+        wanted = bucketed.where(F.col("bucket").isin(todo)).repartition("bucket", "part")
+        write_buckets(wanted, staged)
+        bucketed = with_part(spark.read.parquet(staged), parts)
+    failed: list[int] = []
+    for group in groups:
+        # literal bucket numbers prune the staged folders
+        part = bucketed if len(group) == n_buckets else bucketed.where(F.col("bucket").isin(group))
         try:
             write_buckets(build(part), path)
-            mine.coalesce(1).write.mode("append").json(markers)
+            spark.createDataFrame([(b,) for b in group], "bucket int").coalesce(1).write.mode("append").json(markers)
         except Exception:
             logger.exception("buckets %s failed and stay pending", group)
-        else:
-            written += group
-    return written
+            failed += group
+    if len(groups) > 1:
+        remove_folder(spark, staged)
+    if failed:
+        raise IncompleteDataset(f"buckets {failed} failed and stay pending")
+    return todo
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
