@@ -134,3 +134,23 @@ def test_histogram_equals_numpy(spark):
 def test_zero_vector_stays_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>")
     assert [r.v for r in l2_normalize(df, "v").collect()] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+@pytest.mark.parametrize(
+    ("targets", "weights"),
+    [([1, 2], [(1, 1.0)]), ([1, 3], [(1, 1.0), (2, 1.0), (3, 1.0)]), ([None], [(1, 1.0)]), ([-1], [(1, 1.0)]), ([1], [(1, 1.0), (1, 2.0)])],
+)
+def test_focal_loss_has_no_silent_gaps(spark, targets, weights):
+    from eventstrand.operators.losses import focal_loss
+
+    scored = spark.createDataFrame([([0.1, 0.2, 0.3], t) for t in targets], "logits array<float>, target int")
+    table = spark.createDataFrame(weights, "event_type int, weight double")
+    with pytest.raises(Exception, match="no weight for class|target outside the logits|two weights for class"):
+        focal_loss(scored, table).collect()
+
+
+def test_classes_without_support_count_once(spark):
+    from eventstrand.operators.metrics import class_weights
+
+    support = spark.createDataFrame([(1, 0), (2, 5)], "event_type int, support bigint")
+    assert {r["event_type"]: r["count"] for r in class_weights(support).collect() if r["event_type"] in (1, 2, 3)} == {1: 1, 2: 5, 3: 1}

@@ -1,5 +1,6 @@
 import json
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from eventstrand.adapters import TEST_MEAN, TEST_SPEC, TEST_STD, hash_split, raw_events
 from eventstrand.catalog.scorers import EMBEDDING_SIZE, N_SCORES, embedding_model, next_event_model
 from eventstrand.operators.inference import predict_events, score_positions, score_windows
-from eventstrand.operators.splits import distinct_users
+from eventstrand.operators.splits import distinct_users, train_val_rows
 from eventstrand.operators.tensors import pad_windows
 from eventstrand.plans.evaluation import evaluate_embeddings, evaluate_predictions
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, write_dataset
@@ -75,8 +76,8 @@ def test_dataset_on_disk(spark, raw, dataset):
 
 
 def test_many_buckets(spark, raw, tmp_path):
-    """More buckets than shuffle partitions: one file per bucket for ordinary users."""
-    stored = write_dataset(raw, str(tmp_path), 24, TEST_SPEC, value_mean=TEST_MEAN, value_std=TEST_STD)
+    """More buckets than shuffle partitions, one part each: one file per bucket for ordinary users."""
+    stored = write_dataset(raw, str(tmp_path), 24, TEST_SPEC, parts=1, value_mean=TEST_MEAN, value_std=TEST_STD)
     built = build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD)
     assert stored.drop("bucket").exceptAll(built).isEmpty() and stored.count() == built.count()
     assert len(stored.inputFiles()) == stored.select("bucket").distinct().count()
@@ -93,7 +94,8 @@ def test_failed_buckets_are_retried(spark, raw, tmp_path):
             raise RuntimeError("no luck")
         return build_bucketed_windows(part, TEST_SPEC, max_events=70)
 
-    assert sinks.write_resumable(raw, build, path, markers, 4, buckets_per_job=1) == [0, 2, 3]
+    with pytest.raises(sinks.IncompleteDataset, match=r"\[1\]"):
+        sinks.write_resumable(raw, build, path, markers, 4, buckets_per_job=1)
     assert [r.bucket for r in sinks.pending_buckets(spark, markers, 4).collect()] == [1]
     # leftovers of a bucket that was not marked done are replaced
     sinks.write_buckets(sinks.with_bucket(build_windows(raw, TEST_SPEC), 4).where("bucket = 1").limit(3), path)
@@ -104,16 +106,82 @@ def test_failed_buckets_are_retried(spark, raw, tmp_path):
     stored = spark.read.parquet(path).drop("bucket")
     built = build_windows(raw, TEST_SPEC)
     assert stored.count() == built.count() and stored.exceptAll(built).isEmpty()
+    assert not os.path.exists(f"{markers}-staged")
 
 
-def test_writing_by_bucket_needs_one_shuffle(raw, plan_of):
-    bucketed = sinks.with_bucket(raw, 50)
+def test_an_incomplete_dataset_has_no_vocabulary(spark, raw, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    options = {"value_mean": TEST_MEAN, "value_std": TEST_STD, "buckets_per_job": 2, "source": "test"}
+
+    def fail(bucketed, target, write=sinks.write_buckets):
+        if target.endswith("windows") and bucketed.where("bucket = 3").count():
+            raise RuntimeError("disk full")
+        write(bucketed, target)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "write_buckets", fail)
+        with pytest.raises(sinks.IncompleteDataset):
+            write_dataset(raw, path, 5, TEST_SPEC, **options)
+    assert not os.path.exists(f"{path}/vocabulary")
+    stored = write_dataset(raw, path, 5, TEST_SPEC, **options)
+    built = build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD)
+    assert stored.drop("bucket").exceptAll(built).isEmpty() and stored.count() == built.count()
+    before = {f: os.path.getmtime(f"{path}/vocabulary/{f}") for f in os.listdir(f"{path}/vocabulary")}
+    write_dataset(raw, path, 5, TEST_SPEC, **options)
+    assert before == {f: os.path.getmtime(f"{path}/vocabulary/{f}") for f in os.listdir(f"{path}/vocabulary")}
+    counts = spark.read.parquet(f"{path}/user_counts").first()
+    assert counts.users_kept == distinct_users(raw).count() and counts.users_dropped == 0
+
+
+@pytest.mark.parametrize("change", [{"n_buckets": 10}, {"length": 80}, {"value_mean": 1.0}, {"source": "other"}])
+def test_a_dataset_is_not_resumed_with_other_settings(raw, tmp_path, change):
+    few = raw.where("user_id < 5")
+    options = {"n_buckets": 5, "value_mean": TEST_MEAN, "value_std": TEST_STD, "source": "test"}
+    write_dataset(few, str(tmp_path), spec=TEST_SPEC, **options)
+    spec = replace(TEST_SPEC, length=change.pop("length", TEST_SPEC.length))
+    with pytest.raises(ValueError, match="was begun with"):
+        write_dataset(few, str(tmp_path), spec=spec, **{**options, **change})
+
+
+@pytest.mark.parametrize("n_buckets", [2, 50])
+def test_writing_by_bucket_needs_one_shuffle(raw, plan_of, n_buckets):
+    bucketed = sinks.with_part(sinks.with_bucket(raw, n_buckets), 16)
     plan = plan_of(build_bucketed_windows(bucketed, TEST_SPEC))
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
     heavy = plan_of(build_bucketed_windows(bucketed, TEST_SPEC, max_events=70))
     assert "REBALANCE_PARTITIONS_BY_COL" in heavy
 
 
+def test_a_split_on_the_events_is_stored_for_pruning(spark, raw, tmp_path, plan_of):
+    split = hash_split(distinct_users(raw))
+    stored = write_dataset(raw, str(tmp_path), 4, TEST_SPEC, split=split, value_mean=TEST_MEAN, value_std=TEST_STD)
+    windows = build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD)
+    got = train_val_rows(stored).drop("bucket")
+    want = train_val_rows(sinks.with_bucket(windows, 4), split).drop("bucket")
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
+    assert "PartitionFilters: [isnotnull(split" in plan_of(stored.where("split = 'test'"))
+
+
+def test_attaching_a_split_to_events_adds_no_wide_shuffle(spark, raw, plan_of):
+    events = raw.join(hash_split(distinct_users(raw)), "user_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(build_windows(events, TEST_SPEC))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # events once by user; the users of the split are shuffled on their own
+    assert plan.count("Exchange hashpartitioning(user_id") <= 2 and "num_feats" not in plan.split("SortMergeJoin")[-1]
+
+
+def test_batches_are_placed_before_lists_are_transformed(spark, raw, dataset, plan_of):
+    windows, vocabulary = spark.read.parquet(f"{dataset}/windows"), spark.read.parquet(f"{dataset}/vocabulary")
+    table = training_tables(windows, hash_split(distinct_users(raw)), vocabulary, N, batch_size=16)["train"]
+    plan = plan_of(table)
+    last_exchange = plan.index("Exchange hashpartitioning(__prefix")
+    assert "input_event_seq_v2" in plan[:last_exchange] and "input_event_seq_v2" not in plan[last_exchange:]
+    assert "ArrowEvalPython" not in plan[last_exchange:]
+
+
 def test_training_tables(spark, raw, dataset):
     windows = spark.read.parquet(f"{dataset}/windows")
     vocabulary = spark.read.parquet(f"{dataset}/vocabulary")
@@ -143,7 +211,8 @@ def test_scores_equal_the_model_called_directly(raw):
     assert np.array_equal(np.array([r.embedding for r in scored], dtype="float32"), want)
     predicted = predict_events(padded, next_event_model(), N, N_SCORES).collect()
     direct = next_event_model()()(
-        np.array([r.input_event_seq for r in predicted]), np.array([r.input_product_seq for r in predicted]), None
+        np.array([r.input_event_seq for r in predicted]), np.array([r.input_product_seq for r in predicted]),
+        np.array([r.num_feats_seq for r in predicted]),
     ).reshape(len(predicted), N, N_SCORES)
     assert np.array_equal([r.pred_event_seq for r in predicted], direct.argmax(-1))
 

@@ -37,3 +37,19 @@ def test_empty_lists_and_empty_vocabulary(spark, max_broadcast):
     nothing = known.where(F.lit(False))
     got = remap_products(windows, nothing, 100).orderBy("user_id").collect()
     assert [r.input_product_seq for r in got] == [[], [0, 0], [0]]
+
+
+def test_lookup_and_join_give_the_same_rows(spark):
+    """Null lists, null elements, padding, repeated keys and unknown products."""
+    rows = [
+        (1, 0, None), (1, 1, [None, 0, 5]), (1, 1, [7, 7, 9]), (2, 0, []), (2, 0, [5]), (2, 0, [5]), (3, 0, [0, 0]), (None, 4, [5]),
+    ]
+    windows = spark.createDataFrame(rows, "user_id bigint, window_start bigint, input_product_seq array<bigint>")
+    known = spark.createDataFrame([(5, 1), (7, 2)], "orig_id bigint, new_id bigint")
+    by_lookup, by_join = (
+        sorted(map(repr, remap_products(windows.where("user_id IS NOT NULL"), known, n).collect())) for n in (100, 0)
+    )
+    assert by_lookup == by_join
+    want = [(1, 0, None), (1, 1, [0, 0, 1]), (1, 1, [2, 2, 0]), (2, 0, []), (2, 0, [1]), (2, 0, [1]), (3, 0, [0, 0])]
+    got = remap_products(windows.where("user_id IS NOT NULL"), known, 0).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
