@@ -133,7 +133,7 @@ def _block_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [(shingles(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, set binary")
+    return texts.hint("merge").join(wanted.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -179,12 +179,11 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """Per bucket with two nodes or more: each node ``b`` with the bucket's smallest node ``a``."""
+    """The members of buckets with two nodes or more, each with the bucket's smallest node ``a``."""
     leaders = members.groupBy("bucket").agg(
         F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("size")
     ).where("size > 1")
-    leaders = leaders.select("bucket", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"))
-    return members.join(leaders, "bucket").where("node <> a").withColumnRenamed("node", "b")
+    return members.join(leaders.select("bucket", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a")), "bucket")
 
 
 def near_duplicates(
@@ -216,12 +215,16 @@ def near_duplicates(
         texts = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
         likely = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-        pairs = scratch.keep(_led(members).where(likely(F.col("n"), F.col("n_a"))).select("a", "b").distinct(), "pairs")
-        links = scratch.keep(_verified(pairs, texts, percent), "links")
+        led = scratch.keep(_led(members), "led")
+        near_leader = led.where((F.col("node") != F.col("a")) & likely(F.col("n"), F.col("n_a")))
+        pairs = scratch.keep(near_leader.select("a", F.col("node").alias("b")).distinct(), "pairs")
+        # pairs grow with the documents, so they are joined by shuffles at every size
+        links = scratch.keep(_verified(pairs.hint("merge"), texts.hint("merge"), percent), "links")
         found = components(links, scratch, "first")
 
         grouped = scratch.keep(
-            members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members"
+            led.select("node", "n", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")),
+            "grouped",
         )
         mixed = grouped.groupBy("bucket").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")
