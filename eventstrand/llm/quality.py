@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventstrand.llm.common import words_of
+from eventstrand.llm.common import Scratch, words_of
 
 SAMPLE_ROWS = 2_000
 
@@ -126,6 +126,8 @@ def judge(
     if len(set(names)) != len(names):
         raise ValueError(f"rule names must differ: {names}")
     rows = df.count()
-    part = df.select(text).sample(min(1.0, sample_rows / max(rows, 1)), seed) if rows else df.select(text)
-    ordered = order_rules(statistics(part, text), rules)
+    with Scratch(df.sparkSession, "quality") as scratch:
+        # stored, so that each rule reads the sample and not the table
+        part = scratch.keep(df.select(text).sample(min(1.0, sample_rows / max(rows, 1)), seed), "sample")
+        ordered = order_rules(statistics(part, text), rules)
     return statistics(df, text).withColumn("kept", cascade(ordered))
