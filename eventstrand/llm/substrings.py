@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -68,7 +69,7 @@ def _select(words: np.ndarray, doc: np.ndarray, window: int, prefix: int):
 
 
 def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The selected suffixes of all texts.  What repeats inside a batch is marked before it is shuffled."""
+    """The selected suffixes of all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +84,7 @@ def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 base = np.array([_base(t) for t in texts], np.int64)
                 owner = doc[first] if len(first) else first
                 place = base[owner] + first - (np.cumsum(sizes) - sizes)[owner]
-                columns = [signed(head), signed(content), ids[owner], place, n]
-                order = np.lexsort(columns[3::-1])
-                columns = [c[order] for c in columns]
-                yield _batch(columns, _is_repeat(columns)[0])
+                yield _marked([signed(head), signed(content), ids[owner], place, n])
 
     return docs.mapInArrow(run, _SUFFIXES)
 
@@ -95,6 +93,13 @@ def _batch(columns: list[np.ndarray], repeat: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([*map(pa.array, columns), pa.array(repeat)], names=_NAMES)
 
 
+def _marked(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """The suffixes of a batch, sorted; what repeats inside it is marked before it is shuffled."""
+    order = np.lexsort(columns[3::-1])
+    columns = [c[order] for c in columns]
+    return _batch(columns, _is_repeat(columns)[0])
+
+
 def _is_repeat(columns: list[np.ndarray], carried: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For sorted suffixes: is there an equal one at an earlier place, and does a new content start here?
 
@@ -119,6 +124,10 @@ def _walk(suffixes: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, pending = None, None
         for batch in batches:
+            known = batch.column(5)
+            if pc.any(known).as_py():
+                yield batch.filter(known)
+                batch = batch.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy() for c in batch.columns[:5]]
@@ -149,8 +158,10 @@ def _walk(suffixes: DataFrame) -> DataFrame:
     return suffixes.select(_NAMES).mapInArrow(run, _SUFFIXES)
 
 
-def _subtrees(suffixes: DataFrame) -> DataFrame:
-    return suffixes.repartition("prefix").sortWithinPartitions("prefix", "content", "doc_id", "place")
+def _subtrees(suffixes: DataFrame, *prefix: str) -> DataFrame:
+    """Suffixes dealt by prefix and sorted; those already known as repeats only pass, spread over all tasks."""
+    dealt = F.when(F.col("repeat"), F.xxhash64("doc_id", "place")).otherwise(F.xxhash64(*prefix))
+    return suffixes.repartition(dealt).sortWithinPartitions("repeat", "prefix", "content", "doc_id", "place")
 
 
 def _windows(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
@@ -170,7 +181,8 @@ def _windows(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
                 starts = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 parts.append((np.repeat(prefix, n), signed(whole)[starts], np.full(len(starts), doc_id), base + starts))
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
-            yield _batch([*columns, np.ones(len(columns[0]), np.int64)], np.zeros(len(columns[0]), bool))
+            columns.append(np.ones(len(columns[0]), np.int64))
+            yield _marked(columns)
 
     stretches = branching.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "place", "n")).alias("found"))
     return docs.join(stretches, "doc_id").select("doc_id", "text", "found").mapInArrow(run, _SUFFIXES)
@@ -209,9 +221,9 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, prefix: int = PREF
             yield pa.record_batch(columns, names=["doc_id", "text", "n_words", "n_removed", "kept_text"])
 
     with Scratch(df.sparkSession, "substrings") as scratch:
-        walked = scratch.keep(_walk(_subtrees(_suffixes(named, window, prefix))), "walked")
+        walked = scratch.keep(_walk(_subtrees(_suffixes(named, window, prefix), "prefix")), "walked")
         branching = walked.where("not repeat")
-        windows = scratch.keep(_walk(_subtrees(_windows(named, branching, window))).where("repeat"), "windows")
+        windows = scratch.keep(_walk(_subtrees(_windows(named, branching, window), "prefix", "content")).where("repeat"), "windows")
         repeats = walked.where("repeat").select("doc_id", "place", "n").unionByName(windows.select("doc_id", "place", "n"))
         gone = scratch.hand_over(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("gone")))
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(
