@@ -65,7 +65,8 @@ def seeded_batches(
     """Shuffled order and batch number: rows ordered by md5 of (seed, key), ``batch_size`` per batch.
 
     Rows are ranked inside their hash prefix (``key`` must be unique, so prefixes are even) and moved
-    up by the rows of the prefixes before; nothing is sorted globally.
+    up by the rows of the prefixes before; nothing is sorted globally.  Four digits give at most 65,536
+    tasks; more rows than those tasks can rank want more digits.
     """
     hashed = _with_hash(df, key, seed, prefix_digits)
     inside = Window.partitionBy("__prefix").orderBy("__hash", *key)
