@@ -25,8 +25,11 @@ def _aside(docs: DataFrame, **columns: Column) -> DataFrame:
 
 def _with_text(docs: DataFrame, changed: DataFrame, text: Column) -> DataFrame:
     """The rows kept aside with another text, and its length where the text is another."""
-    old = F.col("__doc.text")
-    values = {"text": text, "n_chars": F.when(text.eqNullSafe(old), F.col("__doc.n_chars")).otherwise(F.length(text).cast("long"))}
+    # a column of its own: lambdas inside ``text`` would read the new column of the same name
+    changed = changed.withColumn("__new", text)
+    new, old = F.col("__new"), F.col("__doc.text")
+    n_chars = F.when(new.eqNullSafe(old), F.col("__doc.n_chars")).otherwise(F.length(new).cast("long"))
+    values = {"text": new, "n_chars": n_chars}
     return changed.select(*[values.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])
 
 
