@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventstrand.llm.common import WORD, Scratch
 
@@ -40,45 +44,48 @@ def targets(sources: DataFrame, weights: Sequence[int], max_repeats: int = MAX_R
     return found.withColumn("target", F.least(share, cap.cast("double"))).drop("weight", "cut_at", "level")
 
 
-def apportion(df: DataFrame, group: Sequence[str], key: str, weight: Column, seats: Column, output: str) -> DataFrame:
+def _won(weights: np.ndarray, room: np.ndarray, turn: np.ndarray, seats: int) -> np.ndarray:
+    """Seats of each key: the highest weight / (2n - 1) with n up to the key's room, ties by ``turn``."""
+    room = np.where(weights > 0, room, 0.0)
+    if seats >= room.sum():
+        return room.astype(np.int64)
+    count = lambda level: np.minimum(np.floor(level * weights + 0.5), room)
+    low, high = 0.0, seats / weights.sum()
+    while count(high).sum() < seats:
+        low, high = high, 2 * high
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if count(middle).sum() < seats else (low, middle)
+    # what is left between the two are equal quotients, or such as rounding cannot tell apart
+    sure, most = count(low * (1 - 1e-12)).astype(np.int64), count(high * (1 + 1e-12)).astype(np.int64)
+    owner = np.repeat(np.arange(len(weights)), most - sure)
+    first = np.repeat(np.cumsum(most - sure) - (most - sure), most - sure)
+    quotient = weights[owner] / (2 * (sure[owner] + 1 + np.arange(len(owner)) - first) - 1)
+    best = np.lexsort((turn[owner], -quotient))[: seats - sure.sum()]
+    return sure + np.bincount(owner[best], minlength=len(weights))
+
+
+def apportion(
+    df: DataFrame, group: Sequence[str], key: str, weight: Column, seats: Column, output: str, room: Column | None = None
+) -> DataFrame:
     """Sainte-Lague: give each group's ``seats`` to its keys, one by one to the highest weight / (2n - 1).
 
-    Rounding each exact share to the nearest integer is within a few seats of the result; the seats still
-    missing (or too many) go to the highest (or lowest) quotients among each key's next few.  Ties go to
-    the smaller key, null last.  Groups without weight get nothing.
+    The level at which the rounded shares sum to the seats is found by bisection, and equal quotients there
+    go to the smaller key, null last.  A key wins no more than its ``room``; what it cannot take goes to the
+    others.  Groups without weight get nothing.  One row per key; a task holds the keys of one group.
     """
-    inside = Window.partitionBy(*group)
-    shares = df.withColumns({"__w": weight.cast("double"), "__seats": seats.cast("long")}).withColumn(
-        "__share", F.col("__w") * F.col("__seats") / F.nullif(F.sum("__w").over(inside), F.lit(0.0))
-    )
-    rounded = shares.withColumn("__n", F.coalesce(F.floor(F.col("__share") + 0.5), F.lit(0)).cast("long")).withColumn(
-        "__open", F.when(F.sum("__w").over(inside) > 0, F.col("__seats") - F.sum("__n").over(inside)).otherwise(0)
-    )
-    reach = F.ceil(F.col("__share") * F.abs("__open") / F.greatest("__seats", F.lit(1))) + 2
-    step = F.signum("__open").cast("long")
-    # the seats a key may still win: n + 1, n + 2, ...; or may lose: n, n - 1, ...
-    seat = F.explode(
-        F.when(step > 0, F.sequence(F.col("__n") + 1, F.col("__n") + reach))
-        .when((step < 0) & (F.col("__n") > 0), F.sequence(F.col("__n"), F.greatest(F.col("__n") - reach + 1, F.lit(1).cast("long")), F.lit(-1).cast("long")))
-        .otherwise(F.array(F.lit(None).cast("long")))
-    )
-    quotient = F.col("__w") / (2 * F.col("__seat") - 1)
-    order = [
-        (-step * F.col("__q")).asc_nulls_last(),
-        # of equal quotients the smaller key wins first and loses last
-        F.when(step > 0, F.col(key)).asc_nulls_last(), F.when(step < 0, F.col(key)).desc_nulls_first(),
-        (step * F.col("__seat")).asc(),
-    ]
-    listed = rounded.withColumn("__seat", seat).withColumn("__q", quotient)
-    chosen = listed.withColumn("__rank", F.row_number().over(inside.orderBy(*order))).withColumn(
-        "__won", (F.col("__seat").isNotNull() & (F.col("__rank") <= F.abs("__open"))).cast("long")
-    )
-    by_key = list(dict.fromkeys([*group, key]))
-    kept = [c for c in df.columns if c not in by_key]
-    return chosen.withColumn("__step", step).groupBy(*by_key).agg(
-        *[F.first(c).alias(c) for c in kept],
-        (F.first("__n") + F.first("__step") * F.sum("__won")).alias(output),
-    )
+    columns = df.columns
+
+    def deal(table: pa.Table) -> pa.Table:
+        turn = np.empty(table.num_rows, np.int64)
+        turn[pc.sort_indices(table, sort_keys=[(key, "ascending")], null_placement="at_end")] = np.arange(len(turn))
+        weights, room = (pc.fill_null(table[c], 0.0).to_numpy() for c in ("__w", "__room"))
+        won = _won(weights, room, turn, table["__seats"][0].as_py() or 0)
+        return table.select(columns).append_column(output, pa.array(won, pa.int64()))
+
+    room = F.lit(float(1 << 62)) if room is None else room.cast("double")
+    ready = df.withColumns({"__w": weight.cast("double"), "__room": room, "__seats": seats.cast("long")})
+    return ready.groupBy(*group).applyInArrow(deal, StructType([*df.schema.fields, StructField(output, LongType())]))
 
 
 def sizes_of(text: Column) -> Column:
@@ -86,6 +93,11 @@ def sizes_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _blocks_of(size: Column, block: int) -> Column:
+    """Blocks of a string; the last one ends with it and is half a block shorter or longer at most."""
+    return F.greatest(F.round(size / block), F.lit(1)).cast("long")
+
+
 def _quotas(shards: DataFrame, weights: Sequence[int], max_repeats: int, block: int) -> DataFrame:
     """Blocks to take from every (source, shard): first by source, then by shard inside the source."""
     sources = shards.groupBy("__source").agg(
@@ -99,17 +111,27 @@ def _quotas(shards: DataFrame, weights: Sequence[int], max_repeats: int, block:
     return apportion(
         shards.drop("source").join(by_source, "__source"),
         ["__source"], "__shard", F.col("__size"), F.col("__quota"), "__blocks_taken",
+        room=max_repeats * _blocks_of(F.col("__size"), block),
     )
 
 
+def _dealt(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Add ``__shard`` from 0, or from -1 down for rows without words."""
+    shard = F.pmod(F.xxhash64("__order"), F.coalesce("__shards", F.lit(1)))
+    joined = rows.join(F.broadcast(several), ["__source", "__some"], "left")
+    return joined.withColumn("__shard", F.when(F.col("__some"), shard).otherwise(-1 - shard)).drop("__some", "__shards")
+
+
 def mix(
     df: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, seed: int = 11
 ) -> DataFrame:
     """Add ``source_size``, ``target`` and ``taken`` to rows with ``doc_id``, ``source`` and ``size``.
 
-    Every source's rows are dealt to shards by a seeded hash and strung together in seeded order; blocks of
+    Every source's rows with words are dealt to one shard per ``DOCS_PER_SHARD`` of them by a seeded hash and
+    strung together in seeded order (rows without words likewise, to shards of their own); blocks of
     ``block`` words are counted along that string.  Quotas of blocks are apportioned to sources and then to
-    their shards.  A shard with m blocks and a quota of q gives each block q div m times and q mod m of them
+    their shards, at most ``max_repeats`` times a shard's blocks; seats beyond go to the source's other shards.
+    A shard with m blocks and a quota of q gives each block q div m times and q mod m of them
     once more, evenly spread from a seeded start.  What a document gives is a difference of two counts, so
     blocks are never rows.  ``copies`` is the number of whole repeats in ``taken``; with ``place``,
     ``blocks``, ``extra_blocks`` and ``phase``, :func:`chosen` tells which further words are taken.
@@ -119,21 +141,24 @@ def mix(
     and sources only.  Other columns stay, those with an output's name are replaced.
     """
     with Scratch(df.sparkSession, "mixing") as scratch:
-        n_shards = -(-df.count() // DOCS_PER_SHARD) or 1
-        dealt = df.withColumns(
+        ordered = df.withColumns(
             {
                 "__order": F.xxhash64("doc_id", "size", F.lit(seed)),
                 "__source": F.concat(F.when(F.col("source").isNull(), "~").otherwise("="), F.coalesce("source", F.lit(""))),
+                "__some": F.coalesce(F.col("size") > 0, F.lit(False)),
             }
-        ).withColumn("__shard", F.pmod(F.xxhash64("__order"), F.lit(n_shards)))
-        shards = dealt.groupBy("__source", "__shard").agg(
+        )
+        # a few numbers per row, so that texts are not counted again
+        sizes = scratch.keep(ordered.select("__source", "source", "__some", "__order", "size"), "sizes")
+        counted = sizes.groupBy("__source", "__some").agg(F.ceil(F.count("*") / DOCS_PER_SHARD).alias("__shards"))
+        # sources of one shard are left out, so the list has a row per DOCS_PER_SHARD rows at most
+        several = Scratch(df.sparkSession, "mixing-shards").hand_over(counted.where("__shards > 1"))
+        shards = _dealt(sizes, several).groupBy("__source", "__shard").agg(
             F.first("source").alias("source"), F.sum("size").cast("long").alias("__size")
         )
         quotas = scratch.hand_over(_quotas(scratch.keep(shards, "shards"), weights, max_repeats, block))
     string = Window.partitionBy("__source", "__shard").orderBy("__order", "doc_id", "size")
-    # the last block ends with the string and is half a block shorter or longer at most
-    n_blocks = F.greatest(F.round(F.col("__size") / block), F.lit(1)).cast("long")
-    quota = F.least("__blocks_taken", max_repeats * n_blocks)
+    n_blocks, quota = _blocks_of(F.col("__size"), block), F.col("__blocks_taken")
     whole = F.floor(quota / n_blocks).cast("long")
     outputs = {
         "place": F.sum("size").over(string) - F.col("size"),
@@ -143,7 +168,7 @@ def mix(
         "phase": F.pmod(F.xxhash64("__source", "__shard", F.lit(seed)), n_blocks),
     }
     placed = (
-        dealt.drop("source_size", "target")
+        _dealt(ordered.drop("source_size", "target"), several)
         .join(quotas, ["__source", "__shard"]).withColumns(outputs)
         .drop("__size", "__quota", "__blocks_taken", "__order", "__source", "__shard")
     )

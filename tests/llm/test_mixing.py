@@ -66,6 +66,36 @@ def test_mix_with_a_hot_source_and_many_shards(spark, monkeypatch):
     check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows)
 
 
+@pytest.mark.parametrize("at_limit", [True, False])
+def test_small_sources_of_short_documents_in_a_large_table(spark, monkeypatch, at_limit):
+    """1,000 shards of the table, of which small sources need one or a few."""
+    monkeypatch.setattr(mixing, "DOCS_PER_SHARD", 500)
+    rng = random.Random(9)
+    small = {
+        "a": [20] * 500, "b": [20] * 2000, "c": [rng.randint(30, 60) for _ in range(500)],
+        "d": [rng.randint(50, 150) for _ in range(500)], "e": [int(i % 100 == 0) for i in range(4000)], "f": [3],
+    }
+    hot = 495_000
+    sizes = {s: sum(x) for s, x in small.items()} | {"hot": 100 * hot}
+    rows = [(i, s, n) for s, x in small.items() for i, n in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").unionByName(
+        spark.range(hot).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(100).cast("long").alias("size"))
+    )
+    mixed = mixing.mix(df, weights=(1, 2, 3) if at_limit else tuple(sizes.values()))
+    got = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        want = 3 * sizes[r.source] if at_limit and r.source != "hot" else plain_targets(sizes)["hot"] if at_limit else sizes[r.source]
+        assert r.over <= 0 and abs(r.taken - want) <= 2 * mixing.BLOCK_WORDS + 0.01 * want, (r, want)
+
+
+def test_seats_beyond_the_room_go_to_others(spark):
+    df = spark.createDataFrame([("x", 90, 5), ("y", 9, 9), ("z", 1, 9), ("o", 0, 9)], "k string, w long, room long")
+    for seats, want in ((10, {"x": 5, "y": 5, "z": 0, "o": 0}), (15, {"x": 5, "y": 9, "z": 1, "o": 0}), (99, {"x": 5, "y": 9, "z": 9, "o": 0})):
+        won = mixing.apportion(df, [], "k", F.col("w"), F.lit(seats), "won", room=F.col("room"))
+        assert {r.k: r.won for r in won.collect()} == want
+
+
 def test_chosen_words_add_up(odd_docs):
     from eventstrand.llm.common import words_of
 
