@@ -128,3 +128,15 @@ def test_apportionment_gives_seats_to_the_highest_quotients(spark):
     df = spark.createDataFrame(rows, "g int, k string, w long, seats long")
     got = {(r.g, r.k): r.won for r in mixing.apportion(df, ["g"], "k", F.col("w"), F.col("seats"), "won").collect()}
     assert got == want
+
+
+def test_apportionment_beside_a_long_tail(spark):
+    rows, want = [], {}
+    for group, (large, tail, small) in enumerate([(1000, 250, 0.4), (100_000, 25_000, 0.4), (3, 2000, 0.2), (50, 400, 0.6)]):
+        weights = {"large": float(large)} | {f"t{i:05d}": small for i in range(tail)}
+        seats = round(sum(weights.values()))
+        rows += [(group, k, w, seats) for k, w in weights.items()]
+        want |= {(group, k): v for k, v in sainte_lague(weights, seats).items()}
+    df = spark.createDataFrame(rows, "g int, k string, w double, seats long")
+    got = {(r.g, r.k): r.won for r in mixing.apportion(df, ["g"], "k", F.col("w"), F.col("seats"), "won").collect()}
+    assert got == want
