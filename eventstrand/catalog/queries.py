@@ -316,13 +316,10 @@ def uid_split_source(spark, sf_dir):
 
 @query
 def uid_split_document(spark, sf_dir):
-    """The same list as one JSON document with a list of users per split."""
+    """The same list as JSON documents with a list of users per split."""
     path = _folder(spark)
-    lists = _split(spark, sf_dir).agg(
-        *[F.collect_list(F.when(F.col("split") == s, F.col("user_id"))).alias(s) for s in ("train", "test")]
-    )
-    lists.write.json(path)
-    return tables.read_split_lists(spark, path)
+    sinks.write_split_lists(_split(spark, sf_dir), path)
+    return tables.read_split_lists(spark, path, lines=True)
 
 
 @query
@@ -331,9 +328,9 @@ def first_files_scan(spark, sf_dir):
     path = _folder(spark)
     users = splits.distinct_users(_events(spark, sf_dir)).withColumn("file", F.col("user_id") % 5)
     for i in range(5):
-        # one file per folder, so that folder and file names have the same order
-        users.where(F.col("file") == i).coalesce(1).write.parquet(f"{path}/part_{i}")
-    return tables.read_first_files(spark, f"{path}/part_*", 3).select("user_id", "file")
+        # a folder of as many files as there are tasks, whose names sort together
+        users.where(F.col("file") == i).write.parquet(f"{path}/part_{i}")
+    return tables.read_first_files(spark, f"{path}/part_*", 3, folders=True).select("user_id", "file")
 
 
 @query

@@ -15,6 +15,7 @@ from eventstrand.session import remove_folder
 logger = logging.getLogger(__name__)
 
 PARTS_PER_BUCKET = 16
+USERS_PER_DOCUMENT = 100_000
 
 
 def bucket_of(user_id: Column, n_buckets: int, seed: int = 0) -> Column:
@@ -132,6 +133,19 @@ def write_resumable(
     return todo
 
 
+def write_split_lists(split: DataFrame, path: str) -> None:
+    """JSON documents ``{"train": [...], "test": [...]}``, one per line, each of a hash bucket of users.
+
+    A document has about ``USERS_PER_DOCUMENT`` users, so no row or task grows with their number.
+    """
+    n_documents = -(-split.count() // USERS_PER_DOCUMENT) or 1
+    document = F.pmod(F.xxhash64("user_id"), F.lit(n_documents)).alias("document")
+    lists = split.groupBy(document).agg(
+        *[F.collect_list(F.when(F.col("split") == s, F.col("user_id"))).alias(s) for s in ("train", "test")]
+    )
+    lists.drop("document").write.json(path)
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     """Small report table as one file."""
     writer = report.coalesce(1).write.mode("overwrite")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventstrand.adapters import TEST_MEAN, TEST_SPEC, TEST_STD, hash_split, raw_events
+from eventstrand.catalog.queries import QUERIES
 from eventstrand.catalog.scorers import EMBEDDING_SIZE, N_SCORES, embedding_model, next_event_model
 from eventstrand.operators.inference import predict_events, score_positions, score_windows
 from eventstrand.operators.splits import distinct_users, train_val_rows
@@ -54,6 +55,31 @@ def test_split_lists_and_rows(spark, tmp_path):
     assert tables.read_split_rows(spark, f"{tmp_path}/rows").exceptAll(got).isEmpty()
 
 
+def test_split_documents_are_many_and_bounded(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sinks, "USERS_PER_DOCUMENT", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    try:
+        got = QUERIES["uid_split_document"](spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    users = got.count()
+    files = got.inputFiles()
+    lines = [json.loads(x.value) for x in spark.read.text(files).collect()]
+    assert len(files) > 1 and len(lines) > 1
+    sizes = [len(x.get("train", [])) + len(x.get("test", [])) for x in lines]
+    assert sum(sizes) == users and max(sizes) <= 60
+
+
+def test_first_files_may_be_folders_of_several_files(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    try:
+        got = QUERIES["first_files_scan"](spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert len(got.inputFiles()) > 3
+    assert {r.file for r in got.select("file").distinct().collect()} == {0, 1, 2}
+
+
 def test_report_sink(spark, tmp_path):
     report = spark.createDataFrame([("1", 0.5), ("2", 0.25)], "class string, f1 double")
     sinks.write_report(report, f"{tmp_path}/csv")
