@@ -144,7 +144,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     rows, column = rows[shared], (np.cumsum(count > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    total = np.zeros((len(sets), len(sets)))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
         a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
         part = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
@@ -157,13 +157,16 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Pairs ``a, b`` of different components in one large bucket that may reach the similarity.
 
     Members are dealt to blocks of bounded size and all pairs of blocks are compared inside a task; only
-    what is similar enough leaves it.  Halved hashes may count two shingles too few or some too many, so
-    the answer is wide by two, to be confirmed on the full sets.
+    what is similar enough leaves it.  Halved hashes may count some shingles too many, and too few by as
+    many as share a half inside either set; the answer is wide by these, to be confirmed on the full sets.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         ids, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
-        both = _common([np.frombuffer(x.as_py(), "<u4") for x in table["set"]]) + 2
+        halves = [np.frombuffer(x.as_py(), "<u4") for x in table["set"]]
+        # sets are sorted, so equal halves are neighbours
+        merged = np.array([np.count_nonzero(x[1:] == x[:-1]) for x in halves])
+        both = _common(halves) + np.minimum(merged[:, None], merged[None, :])
         enough = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         i, j = np.nonzero(np.triu(enough & (component[:, None] != component[None, :]), 1))
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])

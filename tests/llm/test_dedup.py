@@ -171,3 +171,18 @@ def test_sha_of_kept_words(spark, sf_dir):
     for r in QUERIES["op6_substring_dedup"](spark, small).collect():
         n, removed, kept = want[r.doc_id, texts[r.doc_id]]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_large_buckets_keep_pairs_whose_hashes_share_halves(spark):
+    halves = np.arange(1, 101, dtype=np.uint64).repeat(2) << np.uint64(32)
+    shared = halves + np.arange(200, dtype=np.uint64)
+    own = lambda at: np.arange(at, at + 15, dtype=np.uint64) << np.uint64(32)
+    full = {1: np.append(shared, own(1000)), 2: np.append(shared, own(2000)), 3: np.append(shared[:100], own(3000))}
+    assert 100 * 200 >= 85 * 230
+    sets = [(k, bytearray((x >> np.uint64(32)).astype("<u4").tobytes())) for k, x in full.items()]
+    members = [("b", k, k, len(x), 3, sum(map(len, full.values()))) for k, x in full.items()]
+    links = minhash._block_links(
+        spark.createDataFrame(members, "bucket string, node long, component long, n long, size long, shingles long"),
+        spark.createDataFrame(sets, "node long, set binary"), 85,
+    )
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
