@@ -58,4 +58,27 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_minhash_near_dedup": OP3, "op6_substring_dedup": OP6}
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM w, unnest([1, 2, 3, 4, 5]) AS s(m), unnest(range(1, len(ws) - m + 2)) AS t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 100),
+i AS (SELECT DISTINCT lang, array_to_string(ws[j : j + k - 1], ' ') AS phrase, a
+      FROM c, unnest(range(2, m)) AS s(k), unnest(range(1, m - k + 2)) AS t(j)),
+q AS (SELECT * FROM c ANTI JOIN i USING (lang, phrase, a)),
+k AS (SELECT q.lang, q.phrase, q.a, x.f AS l, y.f AS r, n.n, k,
+             (1000::HUGEINT * q.a * n.n) // (x.f::HUGEINT * y.f) AS score
+      FROM q CROSS JOIN unnest([1, 2, 3, 4]) AS s(k) JOIN n ON n.lang = q.lang
+      JOIN g x ON x.lang = q.lang AND x.phrase = array_to_string(q.ws[1 : k], ' ')
+      JOIN g y ON y.lang = q.lang AND y.phrase = array_to_string(q.ws[k + 1 :], ' ')
+      WHERE k < q.m),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM k),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM z WHERE rank <= 2000
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_minhash_near_dedup": OP3, "op6_substring_dedup": OP6, "op12_phrase_collocations": OP12}
