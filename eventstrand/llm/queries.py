@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventstrand.llm import counts, minhash, mixing, neighbours, packing, phrases, quality, secrets, simhash, substrings, token_files, toxicity
+from eventstrand.llm import alignment, counts, minhash, mixing, neighbours, packing, phrases, quality, secrets, simhash, substrings, token_files, toxicity
 from eventstrand.llm.common import table
-from eventstrand.llm.tokens import BYTE_BPE, WORD_BPE, vocabulary_path
+from eventstrand.llm.tokens import BYTE_BPE, PIECE_BPE, WORD_BPE, vocabulary_path
 
 CONTEXT = 2048
 
@@ -72,6 +72,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(documents, vocabulary_path(BYTE_BPE), vocabulary_path(PIECE_BPE))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, limit=2000)
 
@@ -83,5 +88,5 @@ def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op4_secret_scan, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op9_graph_neighbours, op10_source_mixing, op12_phrase_collocations, op13_simhash_near_dedup)
+    for f in (op1_quality_rules, op2_toxicity, op3_minhash_near_dedup, op4_secret_scan, op5_token_files, op6_substring_dedup, op7_best_fit_packing, op8_token_counts, op9_graph_neighbours, op10_source_mixing, op11_tokenizer_alignment, op12_phrase_collocations, op13_simhash_near_dedup)
 }
