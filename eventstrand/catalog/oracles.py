@@ -390,6 +390,12 @@ SQL = {
         SELECT user_id, window_start, {BUCKET} AS bucket,
                CASE WHEN {BUCKET} % 2 = 0 THEN 'first run' ELSE 'second run' END AS written_by,
                array_to_string(ie, ',') AS input_event_seq, {_features()} FROM win"""),
+    "input_fingerprint": _with(EV, f"""
+        SELECT {BUCKET} AS bucket, count(*) AS n_events, true AS same FROM ev GROUP BY 1"""),
+    "stored_user_counts": _with(EV, f"""
+        SELECT count(*) FILTER (n >= {TEST_MIN_EVENTS}) AS users_kept,
+               count(*) FILTER (n < {TEST_MIN_EVENTS}) AS users_dropped
+        FROM (SELECT count(*) AS n FROM ev GROUP BY user_id)"""),
     "argmax_predictions": _with(*WIN, f"""
         SELECT user_id, window_start, string_agg(best::VARCHAR, ',' ORDER BY i) AS pred_event_seq FROM (
           SELECT user_id, window_start, i, arg_max(c, ((base + 5 * c) % 22 + 22) % 22) AS best FROM (

@@ -441,8 +441,9 @@ def resume_pending_buckets(spark, sf_dir):
     def build(events: DataFrame) -> DataFrame:
         return build_bucketed_windows(events, TEST_SPEC, TEST_MEAN, TEST_STD, SPLIT_HISTORY_ABOVE)
 
-    even = sinks.with_bucket(raw, N_BUCKETS, SEED).where(F.col("bucket") % 2 == 0)
-    sinks.write_buckets(build(even), path)
+    bucketed = sinks.with_bucket(raw, N_BUCKETS, SEED)
+    sinks.check_input(bucketed, f"{markers}-input", markers)
+    sinks.write_buckets(build(bucketed.where(F.col("bucket") % 2 == 0)), path)
     spark.range(0, N_BUCKETS, 2).selectExpr("int(id) bucket").coalesce(1).write.json(markers)
     resumed = sinks.write_resumable(raw, build, path, markers, N_BUCKETS, seed=SEED)
     by = F.when(F.col("bucket").isin(resumed), F.lit("second run")).otherwise(F.lit("first run"))
@@ -452,6 +453,27 @@ def resume_pending_buckets(spark, sf_dir):
     )
 
 
+@query
+def input_fingerprint(spark, sf_dir):
+    """What a resumed run compares per bucket, over the scanned events and over the same rows dealt anew."""
+    bucketed = sinks.with_bucket(_raw(spark, sf_dir), N_BUCKETS, SEED)
+    now = sinks.fingerprint(bucketed)
+    again = sinks.fingerprint(bucketed.repartition(7, "event_id")).withColumnRenamed("row_hash", "again").drop("n_rows")
+    same = F.col("row_hash") == F.col("again")
+    return now.join(again, "bucket").select(_whole("bucket"), F.col("n_rows").alias("n_events"), same.alias("same"))
+
+
+@query
+def stored_user_counts(spark, sf_dir):
+    """The writer's report of users kept and dropped by the minimum history, read back from the dataset."""
+    folder = _folder(spark)
+    write_dataset(
+        _raw(spark, sf_dir), folder, N_BUCKETS, replace(TEST_SPEC, min_events=TEST_MIN_EVENTS),
+        value_mean=TEST_MEAN, value_std=TEST_STD,
+    )
+    return spark.read.parquet(f"{folder}/user_counts")
+
+
 @query
 def mean_pool(spark, sf_dir):
     pooled = _padded(spark, sf_dir).select(*KEY, vectors.mean_pool(F.col("num_feats_seq")).alias("pooled"))

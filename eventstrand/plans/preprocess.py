@@ -72,8 +72,8 @@ def write_dataset(
 
     Each bucket is ``parts`` tasks and files.  ``split`` (user_id, split) is attached to the narrow events
     and stored as a folder level, so later readers prune by it; users without a split are left out.
-    ``source`` names the input; a run with other settings or another source than the first is refused,
-    and so is a dataset of which buckets failed.  Vocabulary and user counts come from the complete dataset and
+    ``source`` names the input; a run with other settings, another source or other rows (events or split) than
+    the first is refused, and so is a dataset of which buckets failed.  Vocabulary and user counts come from the complete dataset and
     are never rewritten: models and training tables may rely on the ids.  Leaves ``path/windows``,
     ``path/done``, ``path/vocabulary`` and ``path/user_counts``; returns the window table.
     """

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventstrand.functions.hashing import md5_int
-from eventstrand.session import remove_folder
+from eventstrand.session import folder_exists, remove_folder
 
 logger = logging.getLogger(__name__)
 
@@ -71,6 +71,41 @@ def check_manifest(spark: SparkSession, path: str, settings: dict) -> None:
         raise ValueError(f"dataset was begun with {recorded[0].value}, not {text}")
 
 
+def fingerprint(bucketed: DataFrame) -> DataFrame:
+    """(bucket, n_rows, row_hash): what is in each bucket, whatever the order, files and partitions of the rows.
+
+    ``row_hash`` adds up a hash of all columns by name, nulls told apart, so a changed, missing, doubled or moved row
+    shows.  One scan, reduced to one row per bucket and task before anything is shuffled.
+    """
+    columns = sorted((c for c in bucketed.columns if c not in ("bucket", "part")), key=str.lower)
+    values = [F.col(f"`{c}`") for c in columns]
+    row = F.xxhash64(F.array(*[v.isNull() for v in values]), *values).cast("decimal(38,0)")
+    return bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row).alias("row_hash"))
+
+
+def check_input(bucketed: DataFrame, path: str, markers: str) -> None:
+    """Record the fingerprint of the rows a dataset is made from, or refuse to go on with other rows.
+
+    Buckets that are marked done without a recorded fingerprint are refused too: nobody knows what they hold.
+    """
+    spark = bucketed.sparkSession
+    now = fingerprint(bucketed)
+    if not folder_exists(spark, f"{path}/_SUCCESS"):
+        if not done_buckets(spark, markers).isEmpty():
+            raise ValueError(f"buckets are marked done at {markers}, but {path} does not say from which rows")
+        now.coalesce(1).write.mode("overwrite").parquet(path)
+        return
+    # one row per bucket on either side
+    before = spark.read.schema(now.schema).parquet(path)
+    names = ("n_rows", "row_hash")
+    both = now.join(before.select("bucket", *[F.col(c).alias(f"old_{c}") for c in names]), "bucket", "full")
+    same = F.col("n_rows").eqNullSafe(F.col("old_n_rows")) & F.col("row_hash").eqNullSafe(F.col("old_row_hash"))
+    other = sorted(r.bucket for r in both.where(~same).select("bucket").collect())
+    if other:
+        shown = ", ".join(map(str, other[:10]))
+        raise ValueError(f"the rows of {len(other)} buckets ({shown}) are not those the dataset was begun with")
+
+
 def done_buckets(spark: SparkSession, markers: str) -> DataFrame:
     """Buckets recorded as finished; none before the first run."""
     try:
@@ -100,13 +135,15 @@ def write_resumable(
     """Build and write the buckets that are not marked done; returns the buckets written now.
 
     ``build`` maps events with ``bucket`` and ``part`` columns to output rows with them, gathered by
-    both.  A resumed run must have the same ``n_buckets``, ``seed`` and ``settings`` as the first.  With
+    both.  A resumed run must have the same ``n_buckets``, ``seed`` and ``settings`` as the first, and the
+    same events in every bucket, also in those that are done: both are recorded and checked.  With
     several jobs the events are staged once by bucket beside ``markers``, and each job reads its own
     folders only.  A failed group of buckets stays unmarked; the others are still tried, then
-    :class:`IncompleteDataset` is raised.  The next run overwrites leftovers.
+    :class:`IncompleteDataset` is raised from the first failure.  The next run overwrites leftovers.
     """
     spark = events.sparkSession
     check_manifest(spark, f"{markers}-manifest", {"n_buckets": n_buckets, "seed": seed, **(settings or {})})
+    check_input(with_bucket(events, n_buckets, seed), f"{markers}-input", markers)
     todo = sorted(row.bucket for row in pending_buckets(spark, markers, n_buckets).collect())
     size = buckets_per_job or max(len(todo), 1)
     groups = [todo[i : i + size] for i in range(0, len(todo), size)]
@@ -117,19 +154,21 @@ def write_resumable(
         write_buckets(wanted, staged)
         bucketed = with_part(spark.read.parquet(staged), parts)
     failed: list[int] = []
+    first_error: Exception | None = None
     for group in groups:
         # literal bucket numbers prune the staged folders
         part = bucketed if len(group) == n_buckets else bucketed.where(F.col("bucket").isin(group))
         try:
             write_buckets(build(part), path)
             spark.createDataFrame([(b,) for b in group], "bucket int").coalesce(1).write.mode("append").json(markers)
-        except Exception:
+        except Exception as error:
             logger.exception("buckets %s failed and stay pending", group)
+            first_error = first_error or error
             failed += group
     if len(groups) > 1:
         remove_folder(spark, staged)
     if failed:
-        raise IncompleteDataset(f"buckets {failed} failed and stay pending")
+        raise IncompleteDataset(f"buckets {failed} failed and stay pending") from first_error
     return todo
 
 

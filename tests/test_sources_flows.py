@@ -120,8 +120,9 @@ def test_failed_buckets_are_retried(spark, raw, tmp_path):
             raise RuntimeError("no luck")
         return build_bucketed_windows(part, TEST_SPEC, max_events=70)
 
-    with pytest.raises(sinks.IncompleteDataset, match=r"\[1\]"):
+    with pytest.raises(sinks.IncompleteDataset, match=r"\[1\]") as failure:
         sinks.write_resumable(raw, build, path, markers, 4, buckets_per_job=1)
+    assert str(failure.value.__cause__) == "no luck"
     assert [r.bucket for r in sinks.pending_buckets(spark, markers, 4).collect()] == [1]
     # leftovers of a bucket that was not marked done are replaced
     sinks.write_buckets(sinks.with_bucket(build_windows(raw, TEST_SPEC), 4).where("bucket = 1").limit(3), path)
@@ -169,6 +170,39 @@ def test_a_dataset_is_not_resumed_with_other_settings(raw, tmp_path, change):
         write_dataset(few, str(tmp_path), spec=spec, **{**options, **change})
 
 
+def test_a_dataset_is_not_resumed_with_other_rows(spark, raw, tmp_path):
+    few = raw.where("user_id < 12")
+    split = hash_split(distinct_users(few)).persist()
+    options = {"n_buckets": 4, "spec": TEST_SPEC, "value_mean": TEST_MEAN, "value_std": TEST_STD}
+    write_dataset(few, str(tmp_path), split=split, **options)
+    moved = split.withColumn("split", F.when(F.col("user_id") == 3, F.when(F.col("split") == "test", "train").otherwise("test")).otherwise(F.col("split")))
+    last = few.agg(F.max("event_id")).first()[0]
+    changes = {
+        "split": (few, moved),
+        "value": (few.withColumn("value", F.when(F.col("event_id") == last, F.lit(None)).otherwise(F.col("value"))), split),
+        "missing": (few.where(F.col("event_id") != last), split),
+        "doubled": (few.union(few.where(F.col("event_id") == last)), split),
+    }
+    for events, users in changes.values():
+        with pytest.raises(ValueError, match="rows of 1 buckets"):
+            write_dataset(events, str(tmp_path), split=users, **options)
+    # the same rows in another order, other partitions and another order of columns are the same input
+    again = few.select(*reversed(few.columns)).repartition(5, "value")
+    assert write_dataset(again, str(tmp_path), split=split.repartition(3), **options).count() > 0
+
+
+def test_done_buckets_of_unknown_rows_are_refused(spark, raw, tmp_path):
+    spark.createDataFrame([(1,)], "bucket int").write.json(f"{tmp_path}/done")
+    with pytest.raises(ValueError, match="does not say from which rows"):
+        sinks.write_resumable(raw, lambda part: part, f"{tmp_path}/out", f"{tmp_path}/done", 4)
+
+
+def test_fingerprint_tells_nulls_apart(spark):
+    rows = [[(1, None, 5)], [(1, 5, None)], [(1, 5, 5)]]
+    prints = [sinks.fingerprint(spark.createDataFrame(r, "bucket int, a int, b int")).first().row_hash for r in rows]
+    assert len(set(prints)) == 3
+
+
 @pytest.mark.parametrize("n_buckets", [2, 50])
 def test_writing_by_bucket_needs_one_shuffle(raw, plan_of, n_buckets):
     bucketed = sinks.with_part(sinks.with_bucket(raw, n_buckets), 16)
