@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +14,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from eventstrand.functions.sequences import PADDING
 from eventstrand.functions.vectors import l2_normalize
+from eventstrand.operators.kmeans import ClusterModel, full_fits, minibatch_fits, nearest, weighted_points
 from eventstrand.operators.ranking import seeded_sample
+from eventstrand.session import materialise
 
 # Sizes used for the search, the final score and the scatter data.
 SEARCH_SAMPLE = 5_000
@@ -46,39 +43,21 @@ def user_vectors(windows: DataFrame, column: str = "embedding") -> DataFrame:
     return unit.withColumn("features", array_to_vector("embedding"))
 
 
-@contextmanager
-def _cached_features(vectors: DataFrame) -> Iterator[DataFrame]:
-    """The vectors alone, cached while several fits read them."""
-    cached = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield cached
-    finally:
-        cached.unpersist()
-
-
-def _best_fit(cached: DataFrame, k: int, n_init: int, seed: int, max_iter: int, parallelism: int) -> KMeansModel:
-    @inheritable_thread_target(cached.sparkSession)
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(cached)
-
-    with ThreadPool(min(parallelism, n_init)) as pool:
-        models = pool.map(fit, range(n_init))
-    return min(models, key=lambda model: model.summary.trainingCost)
-
-
 def kmeans_best_of(
-    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100, parallelism: int = 10
-) -> KMeansModel:
+    vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100, column: str = "embedding"
+) -> ClusterModel:
     """The k-means model with the smallest cost over ``n_init`` seeds (the earliest on ties).
 
-    The fits share one cached copy of the vectors and run ``parallelism`` at a time.
+    All starts advance in the same passes over one cached copy of the distinct vectors.  Fewer distinct
+    vectors than k give fewer centres.
     """
-    with _cached_features(vectors) as cached:
-        return _best_fit(cached, k, n_init, seed, max_iter, parallelism)
+    with weighted_points(vectors, column) as points:
+        return min(full_fits(points, [(k, seed + i) for i in range(n_init)], max_iter), key=lambda model: model.cost)
 
 
-def assign_clusters(model: KMeansModel, vectors: DataFrame) -> DataFrame:
-    return model.transform(vectors).withColumnRenamed("prediction", "cluster")
+def assign_clusters(model: ClusterModel, vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Add ``cluster``: the number of the nearest centre."""
+    return vectors.withColumn("cluster", F.get(nearest([model])(F.col(column).cast("array<double>")), F.lit(0)))
 
 
 def silhouette_exact(
@@ -88,52 +67,59 @@ def silhouette_exact(
     sample_size: int = SCORE_SAMPLE,
     seed: int = 0,
 ) -> DataFrame:
-    """Mean Euclidean silhouette of a seeded sample of (key, vector, cluster).
+    """Mean Euclidean silhouette of a seeded sample of (key, vector, cluster)."""
+    points = seeded_sample(
+        clustered.select(F.col(key).alias("id"), F.col(column).alias("v"), F.array("cluster").alias("labels")), ["id"], sample_size, seed
+    )
+    return silhouettes(points, sample_size).drop("clustering")
+
 
-    The sample is cut into blocks by key hash; each pair of blocks is one matrix product in one task
-    and leaves one row per (point, cluster), which are then added up.
+def silhouettes(points: DataFrame, sample_size: int) -> DataFrame:
+    """(clustering, silhouette, n_points) for each element of ``labels`` of at most ``sample_size`` rows (id, v, labels).
+
+    The points are cut into blocks by key hash; each pair of blocks is one matrix product in one task for all
+    clusterings and leaves one row per (clustering, point, cluster), which are then added up.
     """
     n_blocks = math.ceil(sample_size / _BLOCK_ROWS)
-    points = seeded_sample(
-        clustered.select(F.col(key).alias("id"), F.col(column).alias("v"), "cluster"), ["id"], sample_size, seed
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    points = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1)))
     # a limited sample sits in one partition: without a partition count the products would stay there
     pairs = (n_blocks**2, "block", "other")
-    left = points.select("id", "v", "cluster", "block", others.alias("other")).repartition(*pairs)
-    right = points.select(
-        "id", "v", "cluster", others.alias("block"), F.col("block").alias("other")
-    ).repartition(*pairs)
+    left = points.select("id", "v", "labels", "block", others.alias("other")).repartition(*pairs)
+    right = points.select("id", "v", "labels", others.alias("block"), F.col("block").alias("other")).repartition(*pairs)
 
     def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "own", "cluster", "total", "n"]
+        columns = ["clustering", "id", "own", "cluster", "total", "n"]
         if a.empty or b.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns}).astype({"total": "float64"})
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         squared = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
         squared[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0.0
         distance = np.sqrt(np.maximum(squared, 0.0))
-        labels, inverse, counts = np.unique(b["cluster"].to_numpy(), return_inverse=True, return_counts=True)
-        totals = distance @ np.eye(len(labels))[inverse]
-        return pd.DataFrame(
-            {
+        own, other = np.stack(a["labels"].to_numpy()), np.stack(b["labels"].to_numpy())
+        parts = []
+        for j in range(own.shape[1]):
+            labels, inverse, counts = np.unique(other[:, j], return_inverse=True, return_counts=True)
+            totals = distance @ np.eye(len(labels))[inverse]
+            parts.append(pd.DataFrame({
+                "clustering": j,
                 "id": np.repeat(a["id"].to_numpy(), len(labels)),
-                "own": np.repeat(a["cluster"].to_numpy(), len(labels)),
+                "own": np.repeat(own[:, j], len(labels)),
                 "cluster": np.tile(labels, len(a)),
                 "total": totals.ravel(),
                 "n": np.tile(counts, len(a)),
-            }
-        )[columns]
+            }))
+        return pd.concat(parts)[columns]
 
     totals = (
         left.groupBy("block", "other")
         .cogroup(right.groupBy("block", "other"))
-        .applyInPandas(distances, "id bigint, own int, cluster int, total double, n bigint")
-        .groupBy("id", "own", "cluster")
+        .applyInPandas(distances, "clustering int, id bigint, own int, cluster int, total double, n bigint")
+        .groupBy("clustering", "id", "own", "cluster")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     )
     is_own = F.col("cluster") == F.col("own")
-    per_point = totals.groupBy("id", "own").agg(
+    per_point = totals.groupBy("clustering", "id", "own").agg(
         F.max(F.when(is_own, F.col("n"))).alias("own_n"),
         F.max(F.when(is_own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
         F.min(F.when(~is_own, F.col("total") / F.col("n"))).alias("b"),
@@ -141,7 +127,7 @@ def silhouette_exact(
     width = F.when(F.col("own_n") == 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     )
-    return per_point.agg(F.avg(width).alias("silhouette"), F.count(F.lit(1)).alias("n_points"))
+    return per_point.groupBy("clustering").agg(F.avg(width).alias("silhouette"), F.count(F.lit(1)).alias("n_points"))
 
 
 def silhouette_squared(clustered: DataFrame) -> float:
@@ -163,24 +149,25 @@ def search_k(
     n_init: int = 3,
     seed: int = 42,
     sample_size: int = SEARCH_SAMPLE,
-    max_iter: int = 100,
-    parallelism: int = 4,
+    key: str = "user_id",
+    column: str = "embedding",
+    **batches,
 ) -> DataFrame:
-    """(k, silhouette, is_best) for k_min, k_min + step, ... <= k_max; the lowest k wins ties."""
+    """(k, silhouette, is_best) for k_min, k_min + step, ... <= k_max; the lowest k wins ties.
 
-    with _cached_features(vectors) as cached:
-
-        @inheritable_thread_target(vectors.sparkSession)
-        def score(k: int) -> tuple[int, float]:
-            model = _best_fit(cached, k, n_init, seed, max_iter, n_init)
-            clustered = assign_clusters(model, vectors)
-            return k, silhouette_exact(clustered, sample_size=sample_size).first().silhouette
-
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(score, range(k_min, k_max + 1, step))
-    best = max(scores, key=lambda pair: pair[1])[0]
+    Mini-batch k-means: all starts of all k share every pass.  One sample is drawn and scored for all k.
+    """
+    ks = list(range(k_min, k_max + 1, step))
+    with weighted_points(vectors, column) as points:
+        fits = minibatch_fits(points, [(k, seed + i) for k in ks for i in range(n_init)], seed=seed, **batches)
+    models = [min(fits[i * n_init : (i + 1) * n_init], key=lambda model: model.cost) for i in range(len(ks))]
+    v = F.col(column).cast("array<double>")
+    sample = seeded_sample(vectors.select(F.col(key).alias("id"), v.alias("v")).where(v.isNotNull()), ["id"], sample_size, 0)
+    labelled = materialise(sample.withColumn("labels", nearest(models)("v")))
+    scores = {r.clustering: r.silhouette for r in silhouettes(labelled, sample_size).collect()}
+    best = max(range(len(ks)), key=lambda i: scores[i])
     return vectors.sparkSession.createDataFrame(
-        [(k, score, k == best) for k, score in scores], "k int, silhouette double, is_best boolean"
+        [(k, scores[i], i == best) for i, k in enumerate(ks)], "k int, silhouette double, is_best boolean"
     )
 
 

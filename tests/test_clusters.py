@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from eventstrand.adapters import window_embeddings
-from eventstrand.operators import clusters
+from eventstrand.operators import clusters, kmeans
 
 
 @pytest.fixture(scope="module")
@@ -58,17 +58,78 @@ def test_user_mean_is_renormalised(vectors):
     assert np.allclose([np.linalg.norm(r.embedding) for r in rows], 1.0)
 
 
-def test_kmeans_is_repeatable_and_the_best_of_its_seeds(vectors):
-    model = clusters.kmeans_best_of(vectors, k=4, n_init=3, seed=5)
-    again = clusters.kmeans_best_of(vectors, k=4, n_init=3, seed=5)
-    assert np.allclose(model.clusterCenters(), again.clusterCenters())
-    single = [KMeans(k=4, seed=5 + i, maxIter=100).fit(vectors).summary.trainingCost for i in range(3)]
-    assert model.summary.trainingCost <= min(single) + 1e-9
+def blobs(spark, seed, n_groups=12, size=40, repeats=1):
+    """Groups that lie near each other, so that fits end in different local optima."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.6, size=(size, 3)) for c in rng.uniform(-4, 4, size=(n_groups, 3))])
+    return x, points(spark, np.repeat(x, repeats, axis=0), np.zeros(len(x) * repeats)).drop("cluster").persist()
+
+
+def cost_of(x, centers):
+    return float(((x[:, None, :] - centers[None]) ** 2).sum(-1).min(1).sum())
+
+
+def test_kmeans_is_repeatable_and_the_best_of_its_seeds(spark):
+    x = np.random.default_rng(3).uniform(size=(150, 2))  # no groups: every start ends elsewhere
+    df = points(spark, x, np.zeros(len(x))).drop("cluster").persist()
+    model = clusters.kmeans_best_of(df, k=8, n_init=4, seed=5)
+    again = clusters.kmeans_best_of(df.repartition(7), k=8, n_init=4, seed=5)
+    assert np.allclose(model.centers, again.centers)
+    single = [clusters.kmeans_best_of(df, k=8, n_init=1, seed=5 + i) for i in range(4)]
+    assert model.cost == pytest.approx(min(m.cost for m in single))
+    costs = [m.cost for m in single]
+    assert costs.index(min(costs)) > 0 and min(costs) < costs[0] * 0.999  # the first is not the best
+    assert model.cost == pytest.approx(cost_of(x, model.centers))
+    assigned = clusters.assign_clusters(model, df).collect()
+    want = ((x[:, None, :] - model.centers[None]) ** 2).sum(-1).argmin(1)
+    assert [r.cluster for r in sorted(assigned, key=lambda r: r.user_id)] == want.tolist()
+
+
+def test_kmeans_is_as_good_as_the_ml_library(spark, vectors):
+    _, df = blobs(spark, 4)
+    ml = df.withColumn("features", array_to_vector("embedding"))
+    theirs = min(KMeans(k=12, seed=i, maxIter=100).fit(ml).summary.trainingCost for i in range(5))
+    assert clusters.kmeans_best_of(df, k=12, n_init=5).cost <= theirs * 1.02
+    model = clusters.kmeans_best_of(vectors, k=4, n_init=3)
     assigned = clusters.assign_clusters(model, vectors)
-    assert {r.cluster for r in assigned.select("cluster").distinct().collect()} <= set(range(4))
+    assert {r.cluster for r in assigned.select("cluster").distinct().collect()} == set(range(4))
     assert assigned.count() == vectors.count()
 
 
+def test_passes_do_not_grow_with_the_starts(spark, monkeypatch):
+    _, df = blobs(spark, 6)
+    calls = []
+    monkeypatch.setattr(kmeans, "_pass", lambda points, starts, real=kmeans._pass: calls.append(len(starts)) or real(points, starts))
+    one = [clusters.kmeans_best_of(df, k=6, n_init=1, seed=i) and len(calls) for i in range(3)]
+    longest = max(b - a for a, b in zip([0, *one], one))
+    del calls[:]
+    clusters.kmeans_best_of(df, k=6, n_init=3, seed=0)
+    assert len(calls) <= longest and calls[0] == 3
+
+
+def test_minibatches_cost_nearly_as_little_as_full_fits(spark):
+    _, df = blobs(spark, 7, n_groups=6, size=300)
+    with kmeans.weighted_points(df) as pts:
+        settings = [(k, seed) for k in (4, 6) for seed in range(3)]
+        full = kmeans.full_fits(pts, settings)
+        small = kmeans.minibatch_fits(pts, settings, batch_points=150, steps=30)
+    for k in (4, 6):
+        best = [min(m.cost for m in models if m.k == k) for models in (full, small)]
+        assert best[1] <= best[0] * 1.05
+
+
+def test_equal_vectors_weigh_as_often_as_they_come(spark):
+    x, once = blobs(spark, 8, n_groups=4, size=30)
+    _, often = blobs(spark, 8, n_groups=4, size=30, repeats=5)
+    a, b = (clusters.kmeans_best_of(df, k=4, n_init=4) for df in (once, often))
+    assert b.cost == pytest.approx(5 * a.cost, rel=0.02)
+    few = points(spark, np.repeat(np.eye(3), 50, axis=0), np.zeros(150)).drop("cluster")
+    model = clusters.kmeans_best_of(few, k=5, n_init=2)  # fewer distinct vectors than k
+    assert model.k == 3 and model.cost == pytest.approx(0, abs=1e-9)
+    with pytest.raises(ValueError, match="no vectors"):
+        clusters.kmeans_best_of(few.where("user_id < 0"), k=2)
+
+
 def test_search_prefers_the_true_number_of_groups(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.05, size=(30, 2)) for c in ((0, 0), (0, 5), (5, 0), (5, 5))])
