@@ -65,18 +65,6 @@ def window_embeddings(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def class_scores(embeddings: DataFrame) -> DataFrame:
-    """Table ``embeddings`` as 22 class scores per row with a target; every 11th target is padding."""
-    return embeddings.select(
-        "vec_id",
-        F.slice("embedding", 1, 22).alias("logits"),
-        F.when(F.col("vec_id") % 11 == 0, F.lit(0))
-        .otherwise(1 + F.col("vec_id") % 21)
-        .cast("int")
-        .alias("target"),
-    )
-
-
 def masked_view(vector: Column, probability: float, *key) -> Column:
     """Second view of a vector: coordinates zeroed at random, seeded by ``key`` and coordinate."""
     return F.transform(

@@ -16,6 +16,13 @@ def _uniform(*parts) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {text})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def _masked(events: str, probability: str) -> str:
+    """Events with those set to 0 whose 32 bits of the digest of their block of four are below the probability."""
+    digest = f"md5(concat_ws(':', {SEED}, user_id, window_start, (i - 1) // 4))"
+    bits = f"(('0x' || substr({digest}, 1 + 8 * ((i - 1) % 4), 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"list_transform({events}, lambda e, i: CASE WHEN {bits} < {probability} THEN 0 ELSE e END)"
+
+
 EV = """
 ev AS (
   SELECT event_id, user_id, ts,
@@ -149,10 +156,8 @@ SELECT *, shuffled_position // {BATCH} AS batch_id FROM (
          row_number() OVER (PARTITION BY side ORDER BY md5(concat_ws(':', {SEED}, user_id, window_start))) - 1
            AS shuffled_position,
          {_padded('ie', TEST_SPEC.length, 'input_event_seq')},
-         {_padded(f"""list_transform(ie, lambda e, i:
-           CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')}
-                     < CASE side WHEN 'train' THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END THEN 0 ELSE e END)""",
-           TEST_SPEC.length, 'input_event_seq_v2')},
+         {_padded(_masked('ie', "CASE side WHEN 'train' THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END"), TEST_SPEC.length,
+                  'input_event_seq_v2')},
          {_padded("list_transform(ip, lambda p: coalesce(list_position(known, p), 0))",
            TEST_SPEC.length, 'input_product_seq')},
          {_padded('te', TEST_SPEC.length, 'target_event_seq')},
@@ -202,7 +207,7 @@ BASE_SCORE = f"(7 * coalesce(ie[i + 1], 0) + 3 * {{product}} + {_hundredths((1,
 def _positions(product: str = "coalesce(ip[i + 1], 0)", rows: str = "win") -> str:
     return f"""
 positions AS (
-  SELECT coalesce(te[i + 1], 0) AS target,
+  SELECT user_id, window_start, i, coalesce(te[i + 1], 0) AS target,
          list_transform(range(22), lambda c: (({BASE_SCORE.format(product=product)} + 5 * c) % 22 + 22) % 22) AS x
   FROM {rows}, range({TEST_SPEC.length}) AS r(i))"""
 
@@ -212,7 +217,8 @@ pairs AS (SELECT target, list_position(x, list_max(x)) - 1 AS pred FROM position
 POSITIONS = f"""
 {_positions()}, {PREDICTED},
 position_loss AS (
-  SELECT target, weight * (ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[target + 1]) AS ce
+  SELECT user_id, window_start, i, target,
+         weight * (ln(list_sum(list_transform(x, lambda v: exp(v)))) - x[target + 1]) AS ce
   FROM positions JOIN weights ON target = event_type)"""
 VAL_ROWS = """
 val AS (
@@ -223,17 +229,6 @@ REPORT_ROWS = """
 SELECT c::VARCHAR AS class, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support
 FROM scored"""
 
-FOCAL = """
-logit AS (
-  SELECT vec_id, embedding[1:22]::DOUBLE[] AS x,
-         CASE WHEN vec_id % 11 = 0 THEN 0 ELSE 1 + vec_id % 21 END AS target FROM embeddings),
-ce AS (
-  SELECT vec_id, target,
-         weight * (list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x)))))
-                   - x[target + 1]) AS ce
-  FROM logit JOIN weights ON target = event_type),
-focal AS (SELECT vec_id, CASE WHEN target = 0 THEN 0 ELSE pow(1 - exp(-ce), 2.5) * ce END AS focal FROM ce)"""
-
 VIEWS = f"""
 views AS (
   SELECT vec_id, embedding::DOUBLE[] AS a,
@@ -254,8 +249,7 @@ def _embedding(events: str) -> str:
 
 VIEW_WIN = f"""
 masked AS (
-  SELECT user_id, window_start, ie, ip, nf, list_transform(ie, lambda e, i:
-    CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')} < 0.15 THEN 0 ELSE e END) AS me FROM win),
+  SELECT user_id, window_start, ie, ip, nf, {_masked('ie', '0.15')} AS me FROM win),
 views AS (
   SELECT user_id, window_start,
     {_embedding('ie')}::DOUBLE[] AS a, {_embedding('me')}::DOUBLE[] AS b
@@ -294,6 +288,10 @@ ab AS (
 EUCLID = "list_distance(l.embedding::DOUBLE[], r.embedding::DOUBLE[])"
 SILHOUETTE = "avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)"
 
+FOCAL = "CASE WHEN target = 0 THEN 0 ELSE pow(1 - exp(-ce), 2.5) * ce END"
+MEAN_FOCAL = _with(*WIN, WEIGHTS, POSITIONS, f"""
+    SELECT round(avg({FOCAL}), 4) AS focal_loss, count(*) AS n_rows FROM position_loss""")
+
 SQL = {
     "scan_events": _with(EV, """
         SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp_event,
@@ -367,9 +365,7 @@ SQL = {
         FROM win"""),
     "mask_events": _with(*WIN, f"""
         SELECT user_id, window_start, array_to_string(ie, ',') AS input_event_seq,
-               array_to_string(list_transform(ie, lambda e, i:
-                 CASE WHEN {_uniform(SEED, 'user_id', 'window_start', 'i - 1')} < 0.15 THEN 0 ELSE e END), ',')
-                 AS input_event_seq_v2
+               array_to_string({_masked('ie', '0.15')}, ',') AS input_event_seq_v2
         FROM win"""),
     "num_feats_matrix": _matrix(["value_norm", "time_delta_norm", "balance_norm"]),
     "num_feats_no_balance": _matrix(["value_norm", "time_delta_norm"]),
@@ -407,9 +403,11 @@ SQL = {
         SELECT user_id, window_start, i, target::BIGINT AS target, pred::BIGINT AS pred FROM pairs"""),
     "per_class_report": _with(*PAIR_BASE, REPORT, REPORT_ROWS),
     "next_event_report": _with(*WIN, WEIGHTS, POSITIONS, REPORT, REPORT_ROWS),
-    "next_event_loss": _with(*WIN, WEIGHTS, POSITIONS, """
-        SELECT round(avg(CASE WHEN target = 0 THEN 0 ELSE pow(1 - exp(-ce), 2.5) * ce END), 4) AS focal_loss,
-               count(*) AS n_rows FROM position_loss"""),
+    "next_event_loss": MEAN_FOCAL,
+    "position_scores": _with(*WIN, _positions(), """
+        SELECT user_id, window_start, i, target::BIGINT AS target, list_position(x, list_max(x)) - 1 AS pred,
+               x[target + 1]::DOUBLE AS target_score,
+               round(ln(list_sum(list_transform(x, lambda v: exp(v)))), 4) AS log_sum FROM positions"""),
     "macro_weighted_metrics": _with(*PAIR_BASE, REPORT, """
         SELECT round(avg(p), 4) AS precision_macro, round(avg(r), 4) AS recall_macro,
                round(avg(f), 4) AS f1_macro,
@@ -421,9 +419,9 @@ SQL = {
         SELECT event_type::BIGINT AS event_type, count(*) AS support FROM ev GROUP BY 1"""),
     "class_weights": _with(EV, WEIGHTS, """
         SELECT event_type, count, round(weight, 4) AS weight FROM weights"""),
-    "focal_loss": _with(EV, WEIGHTS, FOCAL, """
-        SELECT round(avg(focal), 4) AS focal_loss, count(*) AS n_rows FROM focal"""),
-    "focal_rows": _with(EV, WEIGHTS, FOCAL, "SELECT vec_id, round(focal, 4) AS focal FROM focal"),
+    "focal_loss": MEAN_FOCAL,
+    "focal_rows": _with(*WIN, WEIGHTS, POSITIONS, f"""
+        SELECT user_id, window_start, i, target::BIGINT AS target, round({FOCAL}, 4) AS focal FROM position_loss"""),
     "l2_normalize": """
         SELECT vec_id, i, round(embedding[i + 1]::DOUBLE
                / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) + 0.0 AS x

@@ -22,7 +22,7 @@ from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators import clusters, losses, metrics, ranking, splits, tensors, vocabulary, windows
 from eventstrand.operators.features import event_features, normalise_events, with_cashflow
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
-from eventstrand.operators.inference import predict_events, score_windows
+from eventstrand.operators.inference import position_logits, predict_events, score_positions, score_windows
 from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_predictions
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
 from eventstrand.plans.training import training_tables
@@ -549,17 +549,30 @@ def class_weights(spark, sf_dir):
     return _weights(spark, sf_dir).select(_whole("event_type"), _whole("count"), _rounded("weight"))
 
 
+def _logits(spark, sf_dir):
+    """Logits of a model at every position of the padded windows."""
+    return position_logits(_padded(spark, sf_dir), next_event_model(), LENGTH, N_SCORES)
+
+
 @query
 def focal_loss(spark, sf_dir):
-    scored = adapters.class_scores(_embeddings(spark, sf_dir))
-    loss = losses.focal_loss(scored, _weights(spark, sf_dir))
+    loss = losses.focal_loss(_logits(spark, sf_dir), _weights(spark, sf_dir))
     return loss.select(_rounded("focal_loss"), "n_rows")
 
 
 @query
 def focal_rows(spark, sf_dir):
-    scored = adapters.class_scores(_embeddings(spark, sf_dir))
-    return losses.focal_rows(scored, _weights(spark, sf_dir)).select("vec_id", _rounded("focal"))
+    rows = losses.focal_rows(_logits(spark, sf_dir), _weights(spark, sf_dir))
+    return rows.select(*KEY, _whole("i"), _whole("target"), _rounded("focal"))
+
+
+@query
+def position_scores(spark, sf_dir):
+    """Best class, score of the target and log-sum-exp of every position, as they leave the model's worker."""
+    scored = score_positions(_padded(spark, sf_dir), next_event_model(), LENGTH, N_SCORES)
+    return scored.select(
+        *KEY, _whole("i"), _whole("target"), _whole("pred"), _rounded("target_score"), _rounded("log_sum")
+    )
 
 
 def _next_event_reports(spark, sf_dir):

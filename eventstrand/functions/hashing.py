@@ -21,11 +21,16 @@ def md5_uniform(*parts) -> Column:
     return md5_int(*parts) / F.lit(float(2**32))
 
 
-def md5_below(probability: float, *parts) -> Column:
-    """``md5_uniform(*parts) < probability``, compared as hex text so no number is parsed per row."""
+def bits_below(probability: float, bits: Column) -> Column:
+    """Are eight hex digits, read as a number in [0, 1), below ``probability``?  Compared as text, nothing is parsed."""
     limit = -int(-probability * 2**32 // 1)  # ceiling
     if limit >= 2**32:
         return F.lit(True)
     if limit <= 0:
         return F.lit(False)
-    return F.substring(md5_hex(*parts), 1, 8) < F.lit(f"{limit:08x}")
+    return bits < F.lit(f"{limit:08x}")
+
+
+def md5_below(probability: float, *parts) -> Column:
+    """``md5_uniform(*parts) < probability``."""
+    return bits_below(probability, F.substring(md5_hex(*parts), 1, 8))

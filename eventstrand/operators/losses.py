@@ -37,19 +37,18 @@ def mean_loss(total: Column, n_rows: Column) -> Column:
     return F.coalesce(F.try_divide(total, n_rows), F.lit(0.0))
 
 
-def focal_rows(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
-    """Add ``focal`` to rows of (logits, target): weighted cross entropy scaled by (1 - p) ** gamma.
+def _with_focal(scored: DataFrame, weights: DataFrame, gamma: float, target_score: Column, log_sum: Column) -> DataFrame:
+    """Add ``focal`` from the score of the target (null if the target is not a class) and the log-sum-exp of all scores.
 
-    Padded targets contribute 0.  A row without target, a target outside the logits and a class without
+    Padded targets contribute 0.  A row without target, a target outside the scores and a class without
     weight are errors, so no row can drop out of a mean.
     """
     target = F.col("target")
     wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what} "), F.coalesce(target.cast("string"), F.lit("null"))))
-    outside = target.isNull() | (target < 0) | (target >= F.size("logits"))
-    ce = F.col("__weight") * (log_sum_exp(F.col("logits")) - F.get("logits", target).cast("double"))
+    ce = F.col("__weight") * (log_sum - target_score)
     loss = F.pow(1 - F.exp(-F.col("__ce")), F.lit(gamma)) * F.col("__ce")
     checked = (
-        F.when(F.coalesce(outside, F.lit(True)), wrong("target outside the logits:"))
+        F.when(target.isNull() | target_score.isNull(), wrong("target outside the logits:"))
         .when(target == PADDING, F.lit(0.0))
         .when(F.col("__ce").isNull(), wrong("no weight for class"))
         .otherwise(loss)
@@ -60,6 +59,19 @@ def focal_rows(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA
     )
 
 
+def focal_rows(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
+    """Add ``focal`` to rows of (logits, target): weighted cross entropy scaled by (1 - p) ** gamma."""
+    target = F.col("target")
+    inside = (target >= 0) & (target < F.size("logits"))
+    own = F.when(inside, F.get("logits", target).cast("double"))
+    return _with_focal(scored, weights, gamma, own, log_sum_exp(F.col("logits")))
+
+
+def focal_positions(positions: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
+    """The same for rows of (target, target_score, log_sum), as :func:`score_positions` reduces them."""
+    return _with_focal(positions, weights, gamma, F.col("target_score"), F.col("log_sum"))
+
+
 def focal_loss(scored: DataFrame, weights: DataFrame, gamma: float = FOCAL_GAMMA) -> DataFrame:
     """Mean over all rows; padded ones stay in the denominator."""
     n_rows = F.count(F.lit(1))

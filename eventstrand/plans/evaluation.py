@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventstrand.functions.sequences import PADDING, argmax
+from eventstrand.functions.sequences import PADDING
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators.clusters import (
     SCATTER_SAMPLE,
@@ -22,7 +22,7 @@ from eventstrand.operators.clusters import (
     user_vectors,
 )
 from eventstrand.operators.inference import score_positions, score_windows
-from eventstrand.operators.losses import TEMPERATURE, focal_rows, info_nce, mean_loss
+from eventstrand.operators.losses import TEMPERATURE, focal_positions, info_nce, mean_loss
 from eventstrand.operators.metrics import (
     histogram,
     macro_weighted_metrics,
@@ -45,17 +45,15 @@ def evaluate_predictions(
 ) -> dict[str, DataFrame]:
     """Next-event model: per-class table, macro/weighted summary and, given class weights, focal loss.
 
-    One pass reduces all scored positions to confusion counts with loss sums; everything else is
-    computed from that checkpointed little table, so the model runs once.
+    Three numbers per position leave the model's worker.  One pass reduces them to confusion counts with loss
+    sums; everything else is computed from that checkpointed little table, so the model runs once.
     """
     positions = score_positions(padded, make_predict_fn, length, n_scores, n_feats)
     loss = F.lit(0.0)
     if weights is not None:
-        positions, loss = focal_rows(positions, weights), F.col("focal")
+        positions, loss = focal_positions(positions, weights), F.col("focal")
     totals = materialise(
-        positions.groupBy("target", argmax(F.col("logits")).alias("pred")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(loss).alias("focal")
-        )
+        positions.groupBy("target", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("focal"))
     )
     report = report_of_confusion(totals.where(F.col("target") != PADDING))
     reports = {"per_class": report, "summary": macro_weighted_metrics(report)}

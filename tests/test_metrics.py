@@ -1,8 +1,9 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventstrand.adapters import class_scores
 from eventstrand.functions.sequences import argmax, mask_sequence, pad_right
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators.losses import batch_info_nce, focal_loss, info_nce
@@ -70,9 +71,28 @@ def test_masking_is_seeded_and_near_its_rate(spark):
     assert masked(0.0, 1)[0] == [5] * 50 and masked(1.0, 1)[0] == [0] * 50
 
 
+def test_masking_takes_four_positions_from_one_digest(spark):
+    """Position i uses the (i mod 4)-th 32 bits of the digest of (key, i div 4)."""
+    lengths = [0, 1, 3, 4, 5, 8, 41]
+    df = spark.createDataFrame([(n, [7] * n) for n in lengths], "id bigint, s array<tinyint>")
+    rows = df.select("id", mask_sequence(F.col("s"), 0.4, 3, F.col("id")).alias("m")).collect()
+    for r in rows:
+        digests = [hashlib.md5(f"3:{r.id}:{i // 4}".encode()).hexdigest() for i in range(r.id)]
+        bits = [int(d[8 * (i % 4) : 8 * (i % 4) + 8], 16) for i, d in enumerate(digests)]
+        assert r.m == [0 if b < 0.4 * 2**32 else 7 for b in bits]
+    assert sorted(len(r.m) for r in rows) == lengths
+    assert df.select(mask_sequence(F.lit(None).cast("array<tinyint>"), 0.4, 3).alias("m")).first().m is None
+
+
+def test_masking_hashes_a_quarter_as_often(spark, plan_of):
+    """The digest is bound once per block of four; inside a block only its text is cut."""
+    text = str(mask_sequence(F.col("s"), 0.4, 3, F.col("id")))
+    assert text.count("md5") == 1
+
+
 def test_focal_loss_equals_numpy(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    scored = class_scores(table)
+    scored = table.selectExpr("slice(embedding, 1, 22) logits", "int(if(vec_id % 11 = 0, 0, 1 + vec_id % 21)) target")
     weights = spark.range(22).selectExpr("int(id) event_type", "0.5 + 0.1D * id weight")
     got = focal_loss(scored, weights).first()
     rows = scored.toPandas()

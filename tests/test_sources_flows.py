@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from eventstrand.adapters import TEST_MEAN, TEST_SPEC, TEST_STD, hash_split, raw_events
 from eventstrand.catalog.queries import QUERIES
 from eventstrand.catalog.scorers import EMBEDDING_SIZE, N_SCORES, embedding_model, next_event_model
-from eventstrand.operators.inference import predict_events, score_positions, score_windows
+from eventstrand.operators.inference import (
+    best_classes, position_logits, position_summaries, predict_events, score_positions, score_windows,
+)
 from eventstrand.operators.splits import distinct_users, train_val_rows
 from eventstrand.operators.tensors import pad_windows
 from eventstrand.plans.evaluation import evaluate_embeddings, evaluate_predictions
@@ -285,6 +287,35 @@ def test_the_model_runs_once(raw, plan_of):
     assert plan_of(positions.where("target <> 0")).count("ArrowEvalPython") == 1
 
 
+def test_three_numbers_of_a_position_leave_the_worker(raw, plan_of):
+    """As many as that whatever the number of classes, and one for the best class alone."""
+    padded = pad_windows(build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD), N)
+    one = padded.orderBy("user_id", "window_start").limit(1)
+    for n_scores in (N_SCORES, 500):
+        three = position_summaries(next_event_model(n_scores), n_scores)()
+        r = one.first()
+        inputs = [np.array([x]) for x in (r.input_event_seq, r.input_product_seq, r.num_feats_seq)]
+        assert three(*inputs, np.array([r.target_event_seq])).shape == (1, 3 * N)
+        assert best_classes(next_event_model(n_scores), n_scores)()(*inputs).shape == (1, N)
+    plan = plan_of(score_positions(padded, next_event_model(), N, N_SCORES))
+    assert plan.count("ArrowEvalPython") == 1 and "logits" not in plan
+
+
+def test_position_scores_are_those_of_the_logits(raw):
+    padded = pad_windows(build_windows(raw.where("user_id < 9"), TEST_SPEC, TEST_MEAN, TEST_STD), N)
+    key = lambda r: (r.user_id, r.window_start, r.i)
+    scored = {key(r): r for r in score_positions(padded, next_event_model(), N, N_SCORES).collect()}
+    logits = position_logits(padded, next_event_model(), N, N_SCORES).collect()
+    assert len(logits) == len(scored) > 0
+    for r in logits:
+        x, got = np.array(r.logits, dtype="float64"), scored[key(r)]
+        assert (got.target, got.pred) == (r.target, int(x.argmax()))
+        assert got.target_score == x[r.target] and got.log_sum == pytest.approx(np.log(np.exp(x).sum()))
+    # fewer classes than the targets say: no score, and an error rather than a missing row
+    few = score_positions(padded, next_event_model(3), N, 3)
+    assert few.where("target >= 3 AND target_score IS NOT NULL").count() == 0 < few.where("target >= 3").count()
+
+
 def test_evaluation_flows(raw):
     padded = pad_windows(build_windows(raw, TEST_SPEC, TEST_MEAN, TEST_STD), N)
     scores = evaluate_predictions(padded, next_event_model(), N, N_SCORES)
