@@ -1,12 +1,15 @@
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventstrand.adapters import TEST_MEAN, TEST_SPEC, TEST_STD, raw_events
+from eventstrand.operators import windows as windows_module
 from eventstrand.operators.windows import (
     WindowSpec,
     covering_starts,
+    ending_starts,
     history_filter_counts,
     normalise_windows,
     sequence_windows,
@@ -45,6 +48,44 @@ def test_starts_on_a_grid_of_settings(spark):
         assert {k: sorted(v) for k, v in members.items()} == want, spec
 
 
+def test_every_event_ends_at_most_one_window():
+    """The rule by which a stream of events is cut, on the same grid."""
+    specs = [
+        WindowSpec(n, s, t, k, m)
+        for n, s, t, k, m in product([2, 5, 8], [1, 2, 5, 9], [20, 1000], [None, 30], [None, 1, 3, 4])
+    ]
+    for spec in specs:
+        for n in range(1, 61):
+            pos = np.arange(n)
+            starts = ending_starts(pos, np.full(n, n), spec)
+            got = {int(s): int(p) for p, s in zip(pos, starts) if s >= 0}
+            want = expected_starts(n, spec) if n >= (spec.min_events or 0) else []
+            assert got == {s: min(s + spec.length, n - 1) for s in want}, (spec, n)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 10_000])
+def test_windows_do_not_depend_on_the_size_of_batches(spark, sf_dir, rows):
+    raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet")).where("user_id < 20")
+    want = [build_windows(raw, spec, max_events=60).persist() for spec in (TEST_SPEC, WindowSpec(7, 3, 80, 50, 4))]
+    history = user_history(features_of(raw), 10).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        for spec, windows in zip((TEST_SPEC, WindowSpec(7, 3, 80, 50, 4)), want):
+            got = build_windows(raw, spec)
+            assert got.count() == windows.count() and got.exceptAll(windows).isEmpty()
+        again = user_history(features_of(raw), 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, history)) == sorted(map(str, again))
+
+
+def test_long_lists_are_cut_in_bounded_batches(spark, sf_dir, monkeypatch):
+    raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet")).where("user_id < 5")
+    want = build_windows(raw, WindowSpec(30, 1)).collect()
+    monkeypatch.setattr(windows_module, "_EVENTS_AT_ONCE", 31)
+    assert sorted(map(str, build_windows(raw, WindowSpec(30, 1)).collect())) == sorted(map(str, want))
+
+
 def histories(events_of, lengths):
     return events_of(
         [(u, i, 1.0, 1 + i % 20, 100 + i) for u, n in enumerate(lengths) for i in range(n)]
@@ -123,13 +164,15 @@ def test_minimum_history(events_of):
 
 
 def test_one_shuffle_from_events_to_windows(spark, sf_dir, plan_of):
-    """Features, history and windows share the exchange and the sort by user."""
+    """Features, history and windows share the exchange and the sort by user; nothing is grouped after it."""
     raw = raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    plan = plan_of(sequence_windows(features_of(raw), TEST_SPEC))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("Sort [") == 1
-    assert "PushedFilters: [IsNotNull(user_id)]" in plan
-    assert "Python" not in plan
+    for rows in (sequence_windows(features_of(raw), TEST_SPEC), user_history(features_of(raw), 10)):
+        rows.collect()
+        for plan in (plan_of(rows).split("== Initial Plan ==")):
+            assert plan.count("Exchange hashpartitioning") == 1
+            assert plan.count("Sort [") == 1 and "Aggregate" not in plan and "Generate" not in plan
+            assert plan.count("MapInArrow") == 1
+        assert "PushedFilters: [IsNotNull(user_id)]" in plan_of(rows)
 
 
 def test_unused_columns_are_not_read(spark, sf_dir, plan_of):
