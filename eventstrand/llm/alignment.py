@@ -11,7 +11,6 @@ that hold it, and gets the corpus-wide count back.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -21,24 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from eventstrand.llm.common import Scratch, mix
-from eventstrand.llm.tokens import _SPACES, _beside_space
+from eventstrand.llm.tokens import byte_characters, pieces
 
 # Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 # A shard's task holds about so many pairs of blocks.
 LEAST_SHARDS, PAIRS_AT_ONCE = 64, 1 << 21
 # Words a worker remembers, in two generations, and their bytes; words encoded and links sorted at once.
-REMEMBERED, REMEMBERED_BYTES, WORDS_AT_ONCE, LINKS_AT_ONCE = 200_000, 24 << 20, 2_000, 1 << 21
-
-_CLASS = "".join(map(re.escape, (" ", *_SPACES)))
-# White space beside a space, or a space at an end, stays inside a piece.
-_SAFE = re.compile(f"(?<=[^{_CLASS}]) (?=[^{_CLASS}])")
-
-
-def pieces(text: str) -> list[str]:
-    """A text cut at the spaces between characters other than white space, where tokens end in any case."""
-    return _SAFE.split(text) if _beside_space(text) else text.split(" ")
-
+REMEMBERED, REMEMBERED_BYTES, WORDS_AT_ONCE, LINKS_AT_ONCE = 200_000, 24 << 20, 400, 1 << 21
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (size[0] numbers), first[1], ..."""
@@ -72,13 +61,6 @@ def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return group[: len(a_sizes)], group[len(a_sizes) :]
 
 
-def _unprintable() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as a character: itself if printable, else the next one from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Aligner:
     """Groups of a piece: ``(numbers, text)``, or None where the tokens do not give back its bytes.
 
@@ -92,7 +74,7 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
-        of_char = _unprintable()
+        of_char = {c: b for b, c in byte_characters().items()}
         self.a_bytes = [
             bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
             for token in (self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size()))

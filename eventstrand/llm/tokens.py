@@ -1,14 +1,18 @@
 """Token ids and counts with public tokenizers, cached by pieces of text that encode independently.
 
 Both tokenizers cut a text before any space that stands between two characters other than white space,
-so such pieces encode on their own.  Each Python worker keeps the codes of the pieces it has met (bounded,
-then emptied).  Unseen pieces of a batch of texts are encoded in long strings, kept apart by a special
-token.  Texts that hold a special string or white space beside a space are encoded whole.
+so such pieces encode on their own.  Each Python worker keeps the codes of the pieces it has met, in two
+generations bounded by bytes: when the younger is full it becomes the older, and pieces met again move up.
+Unseen pieces that are a Latin word, with marks after it or without, are two words of a byte-level
+vocabulary and go to its model directly; others of a batch of texts are encoded in long strings, kept apart
+by a special token.  White space beside a space stays inside a piece; texts that hold a special string are
+encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,10 +22,21 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-CACHED_PIECES = 1_000_000
+# Bytes of pieces and codes in a generation, with what Python adds to each.
+GENERATION_BYTES, _ENTRY_BYTES = 48 << 20, 200
 TEXTS_AT_ONCE = 256
 _PIECES_AT_ONCE = 2_000
 
+# Letters and marks of which every version of Unicode says that they are such.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a character: itself if printable, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 # Unicode's White_Space characters.
 _SPACES = (
     *"\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))
@@ -35,6 +50,15 @@ def _beside_space(text: str) -> bool:
     )
 
 
+_CLASS = "".join(map(re.escape, (" ", *_SPACES)))
+_SAFE = re.compile(f"(?<=[^{_CLASS}]) (?=[^{_CLASS}])")
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut at the spaces between characters other than white space, where tokens end in any case."""
+    return _SAFE.split(text) if _beside_space(text) else text.split(" ")
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -54,16 +78,22 @@ class Pieces:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
-        self.known: dict[str, object] = {}
+        # a byte-level BPE whose words are known here can be asked without the steps around it
+        model = self.tokenizer.model
+        plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        plain = plain and type(model).__name__ == "BPE" and not (model.end_of_word_suffix or model.continuing_subword_prefix)
+        self.model = model if plain else None
+        self.characters = byte_characters()
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.held = 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def parts(self, text: str) -> list[str] | None:
         """The pieces of a text; None if it must be encoded whole."""
-        if _beside_space(text) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
+        return None if any(s in text for s in self.special) else pieces(text)
 
     def _codes(self, texts: Sequence[str]) -> list:
         """Codes of pieces without special strings."""
@@ -84,18 +114,55 @@ class Pieces:
             found += self._batch([t or "" for t in texts[at : at + TEXTS_AT_ONCE]])
         return found
 
+    def _word(self, word: str):
+        """Code of one word of the pre-tokenizer, with its space."""
+        written = word.encode().decode("latin-1").translate(self.characters)
+        return self.code(np.array([t.id for t in self.model.tokenize(written)], dtype="<u4"))
+
+    def _remember(self, piece: str, code) -> None:
+        self.young[piece] = code
+        self.held += _ENTRY_BYTES + len(piece) + (len(code) if isinstance(code, bytes) else 0)
+
+    def _plain(self, piece: str):
+        """Code of a Latin word and the marks after it; None for any other piece."""
+        found = _PLAIN.fullmatch(piece) if self.model is not None else None
+        if found is None:
+            return None
+        word, marks = found.groups()
+        head = self.young.get(word)
+        if head is None:
+            head = self.old.get(word)
+            if head is None:
+                head = self._word(self.space + word)
+            self._remember(word, head)
+        return self.joined(head, [self._word(marks)]) if marks else head
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Bring the codes of all pieces into the young generation."""
+        if self.held > GENERATION_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        others = []
+        for piece in pieces:
+            if piece in self.young:
+                continue
+            code = self.old.get(piece)
+            if code is None:
+                code = self._plain(piece)
+            if code is None:
+                others.append(piece)
+            else:
+                self._remember(piece, code)
+        for piece, code in zip(others, self._codes([self.space + p for p in others]), strict=True):
+            self._remember(piece, code)
+
     def _batch(self, texts: list[str]) -> list:
         cut = [self.parts(t) if t else None for t in texts]
         seen = set()
         for parts in cut:
             if parts:
                 seen.update(parts[1:])
-        known = self.known
-        missing = [p for p in seen if p not in known]
-        if len(known) + len(missing) > CACHED_PIECES:
-            known.clear()
-            missing = list(seen)
-        known.update(zip(missing, self._codes([self.space + p for p in missing]), strict=True))
+        self._learn(seen)
+        known = self.young
         heads = iter(self._codes([parts[0] for parts in cut if parts]))
         return [
             self.joined(next(heads), map(known.__getitem__, parts[1:])) if parts else self.code(self.ids(t))
