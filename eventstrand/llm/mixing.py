@@ -137,8 +137,10 @@ def mix(
     ``blocks``, ``extra_blocks`` and ``phase``, :func:`chosen` tells which further words are taken.
 
     Null sources are one source, the last; a document of size 0 gives 0; no document gives more than
-    ``max_repeats`` sizes.  Rows that share an id are separate documents; the result depends on ids, sizes
-    and sources only.  Other columns stay, those with an output's name are replaced.
+    ``max_repeats`` sizes.  Rows that share an id, or have none, are separate documents, equal rows too: they
+    differ in ``taken`` only, and which of them has which value is not defined.  The result depends on
+    ids, sizes and sources only.  An empty table gives no rows.  Other columns stay, those with an output's
+    name are replaced.
     """
     with Scratch(df.sparkSession, "mixing") as scratch:
         ordered = df.withColumns(
@@ -161,7 +163,8 @@ def mix(
     n_blocks, quota = _blocks_of(F.col("__size"), block), F.col("__blocks_taken")
     whole = F.floor(quota / n_blocks).cast("long")
     outputs = {
-        "place": F.sum("size").over(string) - F.col("size"),
+        # by rows: equal rows follow each other instead of sharing the place of the last
+        "place": F.coalesce(F.sum("size").over(string.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "blocks": n_blocks,
         "copies": whole,
         "extra_blocks": quota - whole * n_blocks,

@@ -140,3 +140,18 @@ def test_apportionment_beside_a_long_tail(spark):
     df = spark.createDataFrame(rows, "g int, k string, w double, seats long")
     got = {(r.g, r.k): r.won for r in mixing.apportion(df, ["g"], "k", F.col("w"), F.col("seats"), "won").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None, lambda i: i % 3])
+def test_targets_are_met_where_rows_tie(spark, ids):
+    """Rows that are equal in all that orders them still give their words one after the other."""
+    rows = [(ids(i), "a", 40) for i in range(1_000)] + [(ids(i), "b", 25) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in mixed)
+    for source in ("a", "b"):
+        taken = sum(r.taken for r in mixed if r.source == source)
+        target = next(r.target for r in mixed if r.source == source)
+        assert abs(taken - target) <= 0.005 * target + 64
+    again = mixing.mix(df.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
