@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventstrand.llm.common import Scratch, grams, mix, seeded, signed, word_hashes
 from eventstrand.llm.components import components
@@ -23,7 +23,7 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 # Buckets with more members are compared by blocks inside tasks instead of by listed pairs.
 LISTED_MEMBERS = 8
-BLOCK_SHINGLES, BLOCK_MEMBERS, MATRIX_COLUMNS = 400_000, 1_000, 2_048
+BLOCK_SHINGLES, BLOCK_MEMBERS, MATRIX_COLUMNS = 400_000, 400, 2_048
 
 
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -81,7 +81,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, same, bands``: ``same`` is a 128-bit digest of the set, null if empty."""
+    """``doc_id, text_key, n_shingles, same, bands``: ``same`` is a 128-bit digest of the set, null if empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bands * rows)
@@ -93,12 +93,24 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 same.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(signed(band_keys(sketcher.sketch(found), bands, rows)) if len(found) else None)
             columns = [
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(same, pa.binary()),
+                batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(same, pa.binary()),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "same", "bands"])
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "n_shingles", "same", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<long>")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, same binary, bands array<long>")
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; null and empty are one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes, each text of an id once, however often its row comes."""
+    found = texts.hint("merge").join(nodes.hint("merge"), "node", "left_semi")
+    return found.groupBy("node", text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text")).select("node", "text")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -120,6 +132,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts_of(texts, ends)
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
@@ -133,7 +147,7 @@ def _block_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [(shingles(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return texts.hint("merge").join(wanted.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, set binary")
+    return _texts_of(texts, wanted).mapInArrow(run, "node long, set binary")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +158,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     rows, column = rows[shared], (np.cumsum(count > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    total = np.zeros((len(sets), len(sets)))
+    total = np.zeros((len(sets), len(sets)), np.float32)  # exact up to 16 million
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
         a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
         part = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
@@ -166,9 +180,14 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         halves = [np.frombuffer(x.as_py(), "<u4") for x in table["set"]]
         # sets are sorted, so equal halves are neighbours
         merged = np.array([np.count_nonzero(x[1:] == x[:-1]) for x in halves])
-        both = _common(halves) + np.minimum(merged[:, None], merged[None, :])
-        enough = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        i, j = np.nonzero(np.triu(enough & (component[:, None] != component[None, :]), 1))
+        common, found = _common(halves), []
+        for row in range(len(ids) - 1):  # a row at a time, so that one matrix is held
+            rest = slice(row + 1, None)
+            both = common[row, rest].astype(np.int64) + np.minimum(merged[row], merged[rest])
+            enough = (100 * both >= percent * (n[row] + n[rest] - both)) & (component[row] != component[rest])
+            found.append(np.flatnonzero(enough) + row + 1)
+        i = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        j = np.concatenate([np.empty(0, np.intp), *found])
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         return pa.table({"a": a, "b": b})
 
@@ -192,7 +211,9 @@ def _led(members: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, text: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
+    """``doc_id, n_shingles, component_id, kept, text_key, same`` for every row of ``doc_id, text``.
+
+    ``text_key`` tells rows of one id with different texts apart, ``same`` is a digest of the shingle set.
 
     Rows with equal sets are one node, so copies are never paired.  Inside a band's bucket every node is
     first compared with the bucket's leader only; the links found join most of a group.  What remains are
@@ -245,9 +266,9 @@ def near_duplicates(
         more = scratch.keep(_verified(scratch.keep(across, "across"), texts, percent), "more-links")
         final = components(links.unionByName(more), scratch, "second")
         named = nodes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-        result = sketched.select("doc_id", "n_shingles", "same").join(named, "same", "left")
+        result = sketched.drop("bands").join(named, "same", "left")
         alone = F.col("same").isNull() | F.col("doc_id").isNull()
         return scratch.hand_over(
             result.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+            .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key", "same")
         )

@@ -28,7 +28,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

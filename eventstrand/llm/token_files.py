@@ -137,10 +137,13 @@ def write_token_files(
 
     ``df`` needs ``doc_id`` and ``text``; other columns are ignored.  A null text counts as empty and gives
     the end id alone; null ids come first; rows that share an id all stay, ordered by text.  ``bits`` is 16
-    or 32 and must hold the vocabulary.  An empty table gives no shard.  Documents are range-partitioned, so
+    or 32; an ``end_id`` or a vocabulary that does not fit is refused.  An empty table gives no shard.  Documents are range-partitioned, so
     one task writes one shard and its place follows from the sizes of the shards before it.  Returns one
     row per shard, to be stored by the caller before it is read twice.
     """
+    largest = max(encoder(vocabulary).largest_id, end_id)
+    if bits not in (16, 32) or largest >= 1 << bits or end_id < 0:
+        raise ValueError(f"ids up to {largest} do not fit {bits} bits")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode

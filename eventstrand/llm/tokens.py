@@ -77,6 +77,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
+        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
         # a byte-level BPE whose words are known here can be asked without the steps around it
         model = self.tokenizer.model

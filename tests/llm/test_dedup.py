@@ -186,3 +186,16 @@ def test_large_buckets_keep_pairs_whose_hashes_share_halves(spark):
         spark.createDataFrame(sets, "node long, set binary"), 85,
     )
     assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
+def test_verified_rows_do_not_grow_with_repeated_rows(spark):
+    """Copies of the rows of a pair are one text per node before the pair is joined with it."""
+    base = [f"w{i}" for i in range(100)]
+    near = [*base[:-1], "other"]
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    for k in (1, 30):
+        texts = spark.createDataFrame([(1, " ".join(base))] * k + [(2, " ".join(near))] * k + [(2, "unlike")] * k, "node long, text string")
+        nodes = spark.createDataFrame([(1,), (2,)], "node long")
+        assert minhash._texts_of(texts, nodes).count() == 3
+        assert [tuple(r) for r in minhash._verified(pairs, texts, 85).distinct().collect()] == [(1, 2)]
+        assert minhash._verified(pairs, texts, 85).count() == 1

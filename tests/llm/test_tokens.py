@@ -170,3 +170,9 @@ def test_rounds_merge_underfull_bins(spark, monkeypatch):
     assert sorted(r.item for r in rows) == list(range(2000))
     parts = [type("R", (), {"sequence_id": r.sequence_id, "offset": r.offset, "length": sizes[r.item]}) for r in rows]
     assert check_packing(parts, 1000) <= 1.08 * sum(sizes) / 1000
+
+
+@pytest.mark.parametrize("end_id, bits", [(70_000, 16), (2, 8), (-1, 16), (2**32, 32)])
+def test_ids_that_do_not_fit_are_refused(empty_docs, tmp_path, end_id, bits):
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.write_token_files(empty_docs, str(tmp_path), vocabulary_path(BYTE_BPE), end_id, bits=bits)
