@@ -34,21 +34,34 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: Column) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the labels outside its test fold, does not reject."""
+    """Documents that the toxicity model, learnt from the labels outside its test fold, does not reject.
+
+    Whole texts are scored; null and empty ones stay.  Repeated rows are judged alike, row by row.  An empty
+    table gives no rows.
+    """
     model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(_aside(docs, text=F.col("text")), model)
     return scored.where("predicted = 0").select("__doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near copies; rows without id all stay."""
+    """The document of smallest id of every group of near copies.
+
+    Texts that share an id are told apart: of an id that stays, one row stays for each different set of
+    shingles, and repeated rows are one.  Rows without id all stay.  An empty table gives no rows.
+    """
     found = minhash.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR_PERCENT, bands=BANDS)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    kept = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "same").agg(F.min("text_key").alias("__text_key"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("__text_key", minhash.text_key(F.col("text")))
+    rows = keyed.join(kept.drop("same"), ["doc_id", "__text_key"], "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found replaced."""
+    """All documents, with every secret found replaced in the whole text; null and empty texts stay as they are.
+
+    Repeated rows are masked row by row.  An empty table gives no rows.
+    """
     found = secrets.find_secrets(_aside(docs, text=F.col("text")))
     return _with_text(docs, found, secrets.mask(F.col("text"), F.col("secret_spans")))
 
@@ -73,7 +86,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents, one row per piece."""
+    """Token sequences of all documents, one row per piece; a null or empty text is its end id alone.
+
+    Every row is packed, repeated ones too; long texts are cut into pieces.  An empty table gives no rows.
+    """
     return packing.pack_documents(docs, vocabulary_path(BYTE_BPE), end_id=0, capacity=CONTEXT)
 
 
