@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,12 +24,16 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 # Bytes of pieces and codes in a generation, with what Python adds to each.
-GENERATION_BYTES, _ENTRY_BYTES = 48 << 20, 200
+GENERATION_BYTES, _ENTRY_BYTES = 112 << 20, 200
 TEXTS_AT_ONCE = 256
-_PIECES_AT_ONCE = 2_000
+_PIECES_AT_ONCE, _KEPT_MARKS = 2_000, 10_000
 
-# Letters and marks of which every version of Unicode says that they are such.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+# Letters of which every version of Unicode says that they are such, and ASCII's marks but for the apostrophe, which
+# begins contractions.  The pre-tokenizer cuts between the two and beside a line's end.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = re.escape("""!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~""")
+_PLAIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)((?:\n[{_LETTERS}]+[{_MARKS}]*)*)")
+_LINE = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
 
 
 def byte_characters() -> dict[int, str]:
@@ -85,6 +90,7 @@ class Pieces:
         plain = plain and type(model).__name__ == "BPE" and not (model.end_of_word_suffix or model.continuing_subword_prefix)
         self.model = model if plain else None
         self.characters = byte_characters()
+        self.marks: dict[str, object] = {}
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.held = 0
@@ -116,39 +122,50 @@ class Pieces:
         return found
 
     def _word(self, word: str):
-        """Code of one word of the pre-tokenizer, with its space."""
+        """Code of one word of the pre-tokenizer."""
         written = word.encode().decode("latin-1").translate(self.characters)
-        return self.code(np.array([t.id for t in self.model.tokenize(written)], dtype="<u4"))
+        return self.word_code([t.id for t in self.model.tokenize(written)])
 
     def _remember(self, piece: str, code) -> None:
         self.young[piece] = code
         self.held += _ENTRY_BYTES + len(piece) + (len(code) if isinstance(code, bytes) else 0)
 
-    def _plain(self, piece: str):
-        """Code of a Latin word and the marks after it; None for any other piece."""
-        found = _PLAIN.fullmatch(piece) if self.model is not None else None
-        if found is None:
-            return None
-        word, marks = found.groups()
+    def _marks(self, marks: str):
+        code = self.marks.get(marks)
+        if code is None:
+            code = self._word(marks)
+            if len(self.marks) < _KEPT_MARKS and len(marks) < 9:
+                self.marks[marks] = code
+        return code
+
+    def _plain(self, word: str, marks: str, lines: str):
+        """Code of a Latin word, with its space, of the marks after it, and of such words on the next lines."""
         head = self.young.get(word)
         if head is None:
             head = self.old.get(word)
             if head is None:
                 head = self._word(self.space + word)
-            self._remember(word, head)
-        return self.joined(head, [self._word(marks)]) if marks else head
+            if marks or lines:
+                self._remember(word, head)
+        if not (marks or lines):
+            return head
+        rest = [self._marks(marks)] if marks else []
+        for line in lines.split("\n")[1:]:
+            word, marks = _LINE.fullmatch(line).groups()
+            rest += [self._marks("\n"), self._word(word)]
+            if marks:
+                rest.append(self._marks(marks))
+        return self.joined(head, rest)
 
     def _learn(self, pieces: set[str]) -> None:
         """Bring the codes of all pieces into the young generation."""
         if self.held > GENERATION_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
         others = []
-        for piece in pieces:
-            if piece in self.young:
-                continue
+        for piece in pieces.difference(self.young):
             code = self.old.get(piece)
-            if code is None:
-                code = self._plain(piece)
+            if code is None and self.model is not None and (found := _PLAIN.fullmatch(piece)):
+                code = self._plain(*found.groups())
             if code is None:
                 others.append(piece)
             else:
@@ -176,6 +193,10 @@ class IdPieces(Pieces):
 
     code = staticmethod(np.ndarray.tobytes)
 
+    @staticmethod
+    def word_code(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
     @staticmethod
     def joined(head: bytes, rest) -> bytes:
         return head + b"".join(rest)
@@ -184,7 +205,7 @@ class IdPieces(Pieces):
 class CountPieces(Pieces):
     """Codes are numbers of tokens."""
 
-    code = staticmethod(len)
+    code = word_code = staticmethod(len)
 
     @staticmethod
     def joined(head: int, rest) -> int:

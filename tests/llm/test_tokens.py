@@ -42,7 +42,7 @@ def crc(ids):
 def test_pieces_encode_like_whole_texts(byte_bpe, word_bpe, odd_list, monkeypatch):
     monkeypatch.setattr(tokens, "GENERATION_BYTES", 50_000)  # generations change on the way
     rng = random.Random(9)
-    parts = ["Word", "été", "Ωmega", "x²", "ªb", "don't", "a1", "ßtraße", "ŉ", "ǆ", "×", "word,", "end.", "why?!", "wait...", "(so)", "'s", "x's.", "l'eau;", "3.5", ":", ".,", "naïve:", "\xada", "ﬁ"]
+    parts = ["Word", "été", "Ωmega", "x²", "ªb", "don't", "a1", "ßtraße", "ŉ", "ǆ", "×", "word,", "end.", "why?!", "wait...", "(so)", "'s", "x's.", "l'eau;", "3.5", ":", ".,", "naïve:", "\xada", "ﬁ", "a.\nB", "x!!\ny,\nz###", "a\n\nb", "w$$$", "(w)", "w\"'s", "w.\n's", "w-w", "w_\tw", "w\r\nw", "a\n1", "w<|>"]
     mixed = [" ".join(rng.choice(parts) + rng.choice(("", "", ",", ".", "!?", ".'", "..,")) for _ in range(30)) for _ in range(200)]
     gaps = ["".join(rng.choice(parts) + rng.choice((" ", " ", " ", "  ", " \n", "\t", "\xa0 ")) for _ in range(20)) for _ in range(200)]
     texts = TRICKY + mixed + gaps + [t for _, t, *_ in odd_list if t is None or len(t) < 50_000]
