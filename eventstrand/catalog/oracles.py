@@ -277,6 +277,81 @@ per_cluster AS (
   SELECT user_id % 8 AS cluster, e AS event_type, count(*) AS n_events
   FROM (SELECT user_id, unnest(ie) AS e FROM win) WHERE e > 0 GROUP BY 1, 2)"""
 
+TOP_EVENTS = """
+top AS (
+  SELECT cluster, string_agg('ev_' || event_type || ' ' || round_even(n_events / total * 100, 0)::INT || '%',
+                             ' | ' ORDER BY rank) AS top_events
+  FROM (SELECT *, sum(n_events) OVER (PARTITION BY cluster) AS total,
+               row_number() OVER (PARTITION BY cluster ORDER BY n_events DESC, event_type) AS rank
+        FROM per_cluster)
+  WHERE rank <= 5 GROUP BY cluster)"""
+
+# The best two clusters of points on an arc are the ones before and after an angle; all angles are tried.
+TWO_CLUSTERS = """
+two AS (
+  SELECT user_id, avg(1 + list_sum(list_transform(ie, lambda e: e % 5))) AS x,
+         avg(1 + list_sum(list_transform(ip, lambda p: coalesce(list_position(known, p), 0) % 7))) AS y
+  FROM val GROUP BY user_id),
+arc AS (
+  SELECT user_id, x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y,
+         row_number() OVER (ORDER BY atan2(y, x), user_id) AS place FROM two),
+cuts AS (
+  SELECT cut, sum(pow(x - mx, 2) + pow(y - my, 2)) AS cost
+  FROM (SELECT *, avg(x) OVER s AS mx, avg(y) OVER s AS my
+        FROM (SELECT a.*, c.place AS cut FROM arc a, arc c WHERE c.place < (SELECT max(place) FROM arc))
+        WINDOW s AS (PARTITION BY cut, place <= cut)) GROUP BY cut),
+parted AS (SELECT *, place <= (SELECT arg_min(cut, cost) FROM cuts) AS low FROM arc),
+named AS (SELECT *, dense_rank() OVER (ORDER BY first) AS cluster
+          FROM (SELECT *, min(user_id) OVER (PARTITION BY low) AS first FROM parted)),
+apart AS (
+  SELECT a.user_id, a.low = b.low AS own, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d
+  FROM named a JOIN named b ON a.user_id <> b.user_id GROUP BY 1, 2),
+widths AS (
+  SELECT user_id, coalesce((max(CASE WHEN NOT own THEN d END) - max(CASE WHEN own THEN d END)) / max(d), 0) AS s
+  FROM apart GROUP BY user_id),
+per_cluster AS (
+  SELECT cluster, e AS event_type, count(*) AS n_events
+  FROM (SELECT user_id, unnest(ie) AS e FROM val) JOIN named USING (user_id) WHERE e > 0 GROUP BY 1, 2)"""
+
+
+def _main_component(source: str, name: str) -> str:
+    """The eigenvector of the largest eigenvalue: a column of a high power of the matrix, by repeated squaring."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM {source} WHERE i = j) AS c FROM {source})"]
+    for k in range(14):
+        steps.append(f"""
+        {name}{k}s AS MATERIALIZED (
+          SELECT a.i, b.j, sum(a.c * b.c) AS c FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY 1, 2),
+        {name}{k + 1} AS MATERIALIZED (
+          SELECT i, j, c / (SELECT sum(c) FROM {name}{k}s WHERE i = j) AS c FROM {name}{k}s)""")
+    return ", ".join(steps) + f""",
+        {name} AS MATERIALIZED (
+          SELECT i, c / sqrt(sum(c * c) OVER ()) AS v FROM {name}14
+          WHERE j = (SELECT arg_max(i, c) FROM {name}14 WHERE i = j)),
+        {name}_value AS MATERIALIZED (
+          SELECT sum(a.v * s.c * b.v) AS value FROM {source} s JOIN {name} a ON a.i = s.i JOIN {name} b ON b.i = s.j)"""
+
+
+PCA = (
+    """
+centred AS MATERIALIZED (
+  SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x
+  FROM (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)),
+spread AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.x * b.x) AS c FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2)""",
+    _main_component("spread", "one"),
+    """
+rest AS MATERIALIZED (
+  SELECT s.i, s.j, s.c - value * a.v * b.v AS c
+  FROM spread s JOIN one a ON a.i = s.i JOIN one b ON b.i = s.j, one_value)""",
+    _main_component("rest", "two"),
+    """
+points AS (
+  SELECT vec_id, round(abs(sum(x * one.v)), 4) AS pc1, round(abs(sum(x * two.v)), 4) AS pc2,
+         (SELECT round(100 * (one_value.value + two_value.value) / (SELECT sum(c) FROM spread WHERE i = j), 4)
+          FROM one_value, two_value) AS explained_percent
+  FROM centred JOIN one USING (i) JOIN two USING (i) GROUP BY vec_id)""",
+)
+
 DISTANCES = """
 dist AS (
   SELECT l.vec_id, l.label AS own, r.label AS label, {distance} AS d
@@ -465,25 +540,19 @@ SQL = {
                    + CASE WHEN i - 1 = label % 6 THEN 10 ELSE 0 END)::DOUBLE[] AS embedding
           FROM embeddings)""", DISTANCES.format(distance=EUCLID).replace("embeddings", "points"), f"""
         SELECT 6::BIGINT AS k, round({SILHOUETTE}, 4) AS silhouette FROM ab"""),
-    "pca_2d": """
-        WITH xy AS (
-          SELECT vec_id, embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER () AS x,
-                 embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER () AS y FROM embeddings),
-        turn AS (SELECT atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) / 2 AS t FROM xy)
-        SELECT vec_id AS user_id, round(abs(x * cos(t) + y * sin(t)), 4) AS pc1,
-               round(abs(y * cos(t) - x * sin(t)), 4) AS pc2, 100.0::DOUBLE AS explained_percent
-        FROM xy, turn""",
+    "pca_2d": _with(*PCA, "SELECT vec_id AS user_id, pc1, pc2, explained_percent FROM points"),
+    "points_report": _with(*PCA, """
+        SELECT vec_id AS user_id, label::BIGINT AS cluster, pc1, pc2, explained_percent
+        FROM points JOIN embeddings USING (vec_id)"""),
+    "stored_dataset_clusters": _with(*WIN, VOCAB, SPLIT, SIDES, VAL_ROWS, TWO_CLUSTERS, TOP_EVENTS, """
+        SELECT cluster, count(*) AS n_users, round(count(*) / (SELECT count(*) FROM named), 4) AS share,
+               any_value(top_events) AS top_events, (SELECT round(avg(s), 4) FROM widths) AS silhouette
+        FROM named JOIN top USING (cluster) GROUP BY cluster"""),
     "cluster_distribution": """
         SELECT label::BIGINT AS cluster, count(*) AS n_users,
                round(count(*) / (SELECT count(*) FROM embeddings), 4) AS share
         FROM embeddings GROUP BY label""",
     "cluster_event_counts": _with(*WIN, CLUSTER_EVENTS, """
         SELECT cluster, event_type::BIGINT AS event_type, n_events FROM per_cluster"""),
-    "cluster_top_events": _with(*WIN, CLUSTER_EVENTS, """
-        SELECT cluster, string_agg('ev_' || event_type || ' ' || round_even(n_events / total * 100, 0)::INT || '%',
-                                   ' | ' ORDER BY rank) AS top_events
-        FROM (SELECT *, sum(n_events) OVER (PARTITION BY cluster) AS total,
-                     row_number() OVER (PARTITION BY cluster ORDER BY n_events DESC, event_type) AS rank
-              FROM per_cluster)
-        WHERE rank <= 5 GROUP BY cluster"""),
+    "cluster_top_events": _with(*WIN, CLUSTER_EVENTS, TOP_EVENTS, "SELECT cluster, top_events FROM top"),
 }

@@ -16,14 +16,14 @@ from eventstrand.adapters import (
     TEST_SPEC,
     TEST_STD,
 )
-from eventstrand.catalog.scorers import N_SCORES, embedding_model, next_event_model
+from eventstrand.catalog.scorers import N_SCORES, embedding_model, next_event_model, quadrant_model
 from eventstrand.functions import vectors
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators import clusters, losses, metrics, ranking, splits, tensors, vocabulary, windows
 from eventstrand.operators.features import event_features, normalise_events, with_cashflow
 from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
 from eventstrand.operators.inference import position_logits, predict_events, score_positions, score_windows
-from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_predictions
+from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_embeddings, evaluate_predictions
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
 from eventstrand.plans.training import training_tables
 from eventstrand.session import configure, materialise, shared_dir
@@ -742,13 +742,48 @@ def cluster_top_events(spark, sf_dir):
     return clusters.cluster_top_events(_event_counts(spark, sf_dir))
 
 
+def _points(spark, sf_dir):
+    """The labelled vectors, all coordinates, on their two main components."""
+    return clusters.pca_2d(_labelled_vectors(spark, sf_dir))
+
+
+def _point_rows(points: DataFrame, *keep) -> DataFrame:
+    """The signs of components are arbitrary."""
+    return points.select(
+        "user_id", *keep, _rounded(F.abs("pc1"), "pc1"), _rounded(F.abs("pc2"), "pc2"), _rounded("explained_percent")
+    )
+
+
 @query
 def pca_2d(spark, sf_dir):
-    """Two coordinates, for which the components have a closed form; signs are arbitrary."""
-    pairs = _embeddings(spark, sf_dir).select(
-        F.col("vec_id").alias("user_id"), F.slice("embedding", 1, 2).cast("array<double>").alias("embedding")
+    return _point_rows(_points(spark, sf_dir))
+
+
+@query
+def points_report(spark, sf_dir):
+    """The sampled 2-D points of users and their clusters, written as a report and read back."""
+    path = _folder(spark)
+    points = ranking.seeded_sample(_points(spark, sf_dir), ["user_id"], clusters.SCATTER_SAMPLE, SEED)
+    sinks.write_report(points, path, "parquet")
+    return _point_rows(spark.read.parquet(path), _whole("cluster"))
+
+
+@query
+def stored_dataset_clusters(spark, sf_dir):
+    """Stored dataset, validation side, vocabulary, padding, embedding, user means, clusters and their profile in one flow."""
+    folder = _folder(spark)
+    stored = write_dataset(
+        _raw(spark, sf_dir), folder, N_BUCKETS, TEST_SPEC, split=_split(spark, sf_dir),
+        value_mean=TEST_MEAN, value_std=TEST_STD,
     )
-    points = clusters.pca_2d(pairs.withColumn("features", array_to_vector("embedding")))
-    return points.select(
-        "user_id", _rounded(F.abs("pc1"), "pc1"), _rounded(F.abs("pc2"), "pc2"), _rounded("explained_percent")
+    val = training_tables(
+        _with_bucket(stored), None, spark.read.parquet(f"{folder}/vocabulary"), LENGTH, BATCH, contrastive=False
+    )["val"]
+    reports = evaluate_embeddings(val, quadrant_model(), LENGTH, k=2)
+    first = reports["clusters"].groupBy("cluster").agg(F.min("user_id").alias("first"))
+    number = F.row_number().over(Window.orderBy("first"))  # two rows
+    of_all = reports["silhouette"].select("silhouette").scalar()
+    return (
+        reports["distribution"].join(reports["top_events"], "cluster").join(first, "cluster")
+        .select(number.cast("bigint").alias("cluster"), "n_users", _rounded("share"), "top_events", _rounded(of_all, "silhouette"))
     )

@@ -53,3 +53,18 @@ def embedding_model(size: int = EMBEDDING_SIZE) -> Callable:
         return predict
 
     return make_predict_fn
+
+
+def quadrant_model() -> Callable:
+    """Two coordinates: 1 + the sum of event mod 5, and 1 + the sum of product mod 7, over the positions."""
+
+    def make_predict_fn():
+        import numpy as np
+
+        def predict(events, products, feats):
+            sums = (events.astype("int64") % 5).sum(axis=1), (products.astype("int64") % 7).sum(axis=1)
+            return 1 + np.stack(sums, axis=1).astype("float32")
+
+        return predict
+
+    return make_predict_fn
