@@ -26,6 +26,8 @@ from eventstrand.session import remove_folder, shared_dir
 DRAW_ROUNDS, DRAWN_PER_K, TOLERANCE = 2, 2, 1e-4
 # Mini-batches of the search: distinct points in a batch, and batches used.
 BATCH_POINTS, BATCH_STEPS = 100_000, 30
+# Numbers that the tasks of a pass hand on to be added up on the driver; beyond that Spark adds them up.
+MERGED_NUMBERS = 1_000_000
 # All centres of one pass go to every worker: with 64 coordinates 50 MB.
 MAX_CENTRES = 100_000
 _CELLS = 1 << 22  # of a distance matrix
@@ -121,12 +123,13 @@ def _pass(points: DataFrame, starts: Sequence[_Start]) -> list[tuple[np.ndarray,
             [pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["center", "total"]
         )
 
-    sums = points.mapInArrow(run, "center int, total array<double>").groupBy("center").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
-    )
-    table = np.zeros((first[-1], every.value.shape[1] + 2))
-    for row in sums.collect():  # a row per centre
-        table[row.center] = row.total
+    sums = points.mapInArrow(run, "center int, total array<double>")
+    width = every.value.shape[1] + 2
+    if points.rdd.getNumPartitions() * first[-1] * width > MERGED_NUMBERS:
+        sums = sums.groupBy("center").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+    table = np.zeros((first[-1], width))
+    for row in sums.collect():  # a row per centre, of every task only while these are few
+        table[row.center] += row.total
     every.unpersist()
     return [(table[a:b, :-2], table[a:b, -2], float(table[a:b, -1].sum())) for a, b in zip(first[:-1], first[1:], strict=True)]
 

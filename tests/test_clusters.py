@@ -118,6 +118,14 @@ def test_minibatches_cost_nearly_as_little_as_full_fits(spark):
         assert best[1] <= best[0] * 1.05
 
 
+def test_sums_may_be_merged_by_spark(spark, monkeypatch):
+    _, df = blobs(spark, 9, n_groups=4, size=50)
+    once = clusters.kmeans_best_of(df, k=4, n_init=2)
+    monkeypatch.setattr(kmeans, "MERGED_NUMBERS", 0)
+    again = clusters.kmeans_best_of(df, k=4, n_init=2)
+    assert np.allclose(once.centers, again.centers) and once.cost == pytest.approx(again.cost)
+
+
 def test_equal_vectors_weigh_as_often_as_they_come(spark):
     x, once = blobs(spark, 8, n_groups=4, size=30)
     _, often = blobs(spark, 8, n_groups=4, size=30, repeats=5)
