@@ -363,6 +363,14 @@ ab AS (
 EUCLID = "list_distance(l.embedding::DOUBLE[], r.embedding::DOUBLE[])"
 SILHOUETTE = "avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)"
 
+SEMI_JOIN = _with(*WIN, SPLIT, """
+    SELECT user_id, window_start, array_to_string(ie, ',') AS input_event_seq
+    FROM win WHERE user_id IN (SELECT user_id FROM split WHERE split = 'train')""")
+TRAIN_VAL = _with(*WIN, SPLIT, SIDES, """
+    SELECT user_id, window_start, bucket, side, array_to_string(te, ',') AS target_event_seq
+    FROM bucketed JOIN sides USING (bucket) JOIN split USING (user_id)
+    WHERE (side = 'train' AND split = 'train') OR (side = 'val' AND split = 'test')""")
+
 FOCAL = "CASE WHEN target = 0 THEN 0 ELSE pow(1 - exp(-ce), 2.5) * ce END"
 MEAN_FOCAL = _with(*WIN, WEIGHTS, POSITIONS, f"""
     SELECT round(avg({FOCAL}), 4) AS focal_loss, count(*) AS n_rows FROM position_loss""")
@@ -402,9 +410,8 @@ SQL = {
     "product_vocab": _with(*WIN, VOCAB, "SELECT orig_id, new_id FROM vocab"),
     "remap_products": REMAP,
     "remap_products_joined": REMAP,
-    "semi_join_split": _with(*WIN, SPLIT, """
-        SELECT user_id, window_start, array_to_string(ie, ',') AS input_event_seq
-        FROM win WHERE user_id IN (SELECT user_id FROM split WHERE split = 'train')"""),
+    "semi_join_split": SEMI_JOIN,
+    "stored_semi_join": SEMI_JOIN,
     "uid_split_counts": _with(*WIN, SPLIT, """
         SELECT split, count(*) AS n_rows FROM win JOIN split USING (user_id) GROUP BY split"""),
     "uid_split_source": _with(EV, SPLIT, "SELECT user_id, split FROM split"),
@@ -416,10 +423,8 @@ SQL = {
         _positions("coalesce(list_position(known, ip[i + 1]), 0)", "val"), PREDICTED, REPORT, REPORT_ROWS,
     ),
     "bucket_split": _with(*WIN, SIDES, "SELECT bucket, side FROM sides"),
-    "train_val_rows": _with(*WIN, SPLIT, SIDES, """
-        SELECT user_id, window_start, bucket, side, array_to_string(te, ',') AS target_event_seq
-        FROM bucketed JOIN sides USING (bucket) JOIN split USING (user_id)
-        WHERE (side = 'train' AND split = 'train') OR (side = 'val' AND split = 'test')"""),
+    "train_val_rows": TRAIN_VAL,
+    "stored_train_val_rows": TRAIN_VAL,
     "union_scans": """
         WITH both_sources AS (
           SELECT 'events' AS source, user_id,

@@ -27,7 +27,7 @@ from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_embeddin
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
 from eventstrand.plans.training import training_tables
 from eventstrand.session import configure, materialise, shared_dir
-from eventstrand.sources import sinks, tables
+from eventstrand.sources import bucketed, sinks, tables
 from eventstrand.operators.windows import WindowSpec
 
 KEY = ("user_id", "window_start")
@@ -358,6 +358,36 @@ def train_val_rows(spark, sf_dir):
     return rows.select(*KEY, "bucket", "side", _text("target_event_seq"))
 
 
+def _by_user(spark, sf_dir, build) -> DataFrame:
+    """What ``build(events, split)`` gives on tables that are stored by user."""
+    with bucketed.tables_by_user(spark, _folder(spark), N_BUCKETS) as store:
+        events = store(_raw(spark, sf_dir), "events", "timestamp_event", "event_id")
+        split = store(_split(spark, sf_dir), "split")
+        return materialise(build(events, split))
+
+
+def _stored_semi_join(events: DataFrame, split: DataFrame) -> DataFrame:
+    kept = splits.keep_users(events, split.where(F.col("split") == "train"))
+    return build_windows(kept, TEST_SPEC, TEST_MEAN, TEST_STD).select(*KEY, _text("input_event_seq"))
+
+
+def _stored_train_val(events: DataFrame, split: DataFrame) -> DataFrame:
+    rows = build_windows(events.join(split, "user_id"), TEST_SPEC, TEST_MEAN, TEST_STD)
+    return splits.train_val_rows(_with_bucket(rows)).select(*KEY, "bucket", "side", _text("target_event_seq"))
+
+
+@query
+def stored_semi_join(spark, sf_dir):
+    """The same as ``semi_join_split`` on events and users stored by user: no row is shuffled to be joined or ordered."""
+    return _by_user(spark, sf_dir, _stored_semi_join)
+
+
+@query
+def stored_train_val_rows(spark, sf_dir):
+    """The same as ``train_val_rows`` on such tables."""
+    return _by_user(spark, sf_dir, _stored_train_val)
+
+
 @query
 def union_scans(spark, sf_dir):
     suppliers = adapters.events_from_lineitem(_table(spark, sf_dir, "lineitem"))

@@ -112,6 +112,16 @@ def test_focal_loss_of_large_scores_is_finite(spark):
     assert focal_loss(scored, weights).first().focal_loss == pytest.approx(2000.0)
 
 
+def test_histogram_reads_its_input_once(spark, sf_dir, plan_of):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("double(embedding[0]) x")
+    bins = histogram(table, "x", 7)
+    assert "parquet" not in plan_of(bins).lower()
+    rows, x = bins.orderBy("bin").collect(), np.array([r.x for r in table.collect()])
+    assert [r.n for r in rows] == np.histogram(x, 7)[0].tolist()
+    assert rows[0].lower == x.min() and rows[-1].upper == pytest.approx(x.max())
+    assert [r.n for r in histogram(table.where("x > 9"), "x", 3).collect()] == [0, 0, 0]
+
+
 def nce(a, b, temperature=0.07):
     a = a / np.linalg.norm(a, axis=1, keepdims=True)
     b = b / np.linalg.norm(b, axis=1, keepdims=True)
