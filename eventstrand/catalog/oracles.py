@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from eventstrand.adapters import TEST_MAX_WINDOWS, TEST_MEAN, TEST_MIN_EVENTS, TEST_SPEC, TEST_STD
-from eventstrand.catalog.queries import BATCH, N_BUCKETS, SEED, SUPPLIER_SPEC, WIDE_SPEC
+from eventstrand.catalog.queries import BATCH, N_BUCKETS, SEED, SPLIT_HISTORY_ABOVE, SUPPLIER_SPEC, WIDE_SPEC
 
 
 def _with(*ctes_and_body: str) -> str:
@@ -386,6 +386,9 @@ SQL = {
     "running_balance": _with(*BASE, "SELECT event_id, round(balance, 4) + 0.0 AS balance FROM feat"),
     "event_features": _with(*BASE, FEATURE_ROWS),
     "event_features_segmented": _with(*BASE, FEATURE_ROWS),
+    "heavy_user_segments": _with(EV, f"""
+        SELECT user_id, count(*) AS n_events, true AS bounded FROM ev GROUP BY user_id
+        HAVING count(*) > {SPLIT_HISTORY_ABOVE}"""),
     "user_history": _with(*BASE, f"""
         SELECT user_id, n_events, pos // {TEST_SPEC.length} AS chunk,
                string_agg(event_type::VARCHAR, ',' ORDER BY pos) AS event_type,

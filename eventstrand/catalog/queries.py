@@ -21,10 +21,10 @@ from eventstrand.functions import vectors
 from eventstrand.functions.vectors import l2_normalize
 from eventstrand.operators import clusters, losses, metrics, ranking, splits, tensors, vocabulary, windows
 from eventstrand.operators.features import event_features, normalise_events, with_cashflow
-from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
+from eventstrand.operators.histories import Histories, split_histories
 from eventstrand.operators.inference import position_logits, predict_events, score_positions, score_windows
 from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_embeddings, evaluate_predictions
-from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, write_dataset
+from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, prepare_dataset, write_dataset
 from eventstrand.plans.training import training_tables
 from eventstrand.session import configure, materialise, shared_dir
 from eventstrand.sources import bucketed, sinks, tables
@@ -78,12 +78,17 @@ def _events(spark, sf_dir):
     return normalise_events(_raw(spark, sf_dir))
 
 
-def _features(spark, sf_dir, max_events: int = MAX_EVENTS_PER_TASK) -> Histories:
-    return features_of(_raw(spark, sf_dir), TEST_MEAN, TEST_STD, max_events)
+def _features(spark, sf_dir, prepared: str | None = None) -> Histories:
+    return features_of(_raw(spark, sf_dir), TEST_MEAN, TEST_STD, prepared=prepared)
 
 
-def _windows(spark, sf_dir, spec=TEST_SPEC, max_events: int = MAX_EVENTS_PER_TASK) -> DataFrame:
-    return build_windows(_raw(spark, sf_dir), spec, TEST_MEAN, TEST_STD, max_events)
+def _windows(spark, sf_dir, spec=TEST_SPEC, prepared: str | None = None) -> DataFrame:
+    return build_windows(_raw(spark, sf_dir), spec, TEST_MEAN, TEST_STD, prepared=prepared)
+
+
+def _prepared(spark, sf_dir) -> str:
+    """A third of the test users are heavy, in segments of about the limit; most of them lie in two."""
+    return prepare_dataset(_raw(spark, sf_dir), _folder(spark), SPLIT_HISTORY_ABOVE, min_segment=1)
 
 
 def _split(spark, sf_dir) -> DataFrame:
@@ -214,7 +219,16 @@ def event_feature_rows(spark, sf_dir):
 
 @query
 def event_features_segmented(spark, sf_dir):
-    return _feature_rows(_features(spark, sf_dir, SPLIT_HISTORY_ABOVE).rows())
+    return _feature_rows(_features(spark, sf_dir, _prepared(spark, sf_dir)).rows())
+
+
+@query
+def heavy_user_segments(spark, sf_dir):
+    """What is stored about heavy users: their events, and that no segment is much longer than the limit."""
+    segments = spark.read.parquet(f"{_prepared(spark, sf_dir)}/segments")
+    bounded = F.max("n_segment") <= 3 * SPLIT_HISTORY_ABOVE
+    sizes = segments.withColumn("n_segment", F.sum("n_events").over(Window.partitionBy("segment")))
+    return sizes.groupBy("user_id").agg(F.sum("n_events").alias("n_events"), bounded.alias("bounded"))
 
 
 # ---- windows ------------------------------------------------------------------------------------
@@ -234,7 +248,7 @@ def sequence_windows(spark, sf_dir):
 
 @query
 def sequence_windows_segmented(spark, sf_dir):
-    return _window_text(_windows(spark, sf_dir, max_events=SPLIT_HISTORY_ABOVE))
+    return _window_text(_windows(spark, sf_dir, prepared=_prepared(spark, sf_dir)))
 
 
 @query

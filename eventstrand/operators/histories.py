@@ -13,8 +13,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from eventstrand.session import materialise
+from eventstrand.session import check_manifest, folder_exists, materialise
 
 MAX_EVENTS_PER_TASK = 5_000_000
 MAX_BROADCAST_USERS = 1_000_000
@@ -50,34 +51,87 @@ def user_keys(df: DataFrame) -> list[str]:
     return [c for c in ("bucket", "part", "split", "user_id") if c in df.columns]
 
 
-def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK) -> Histories:
-    """Separate the users whose history is too long for one task and cut it into segments.
+def _heavy_users(events: DataFrame, max_events: int) -> DataFrame:
+    """(user_id, n): users above ``max_events``, counted on just enough rows to see that as about ``COUNTED_ROWS``.
 
-    Both ways give the same results, so who is heavy may be estimated: users are counted on just
-    enough rows to see ``max_events`` as a count of about ``COUNTED_ROWS``.  That keeps the count from
-    shuffling (user, count) rows for nearly every event.  All events go one way or the other.
+    Both ways give the same results, so who is heavy may be estimated.  That keeps the count from
+    shuffling (user, count) rows for nearly every event.
     """
     fraction = min(1.0, COUNTED_ROWS / max_events)
     counted = events if fraction == 1.0 else events.sample(fraction, seed=0)
-    heavy_users = (
-        counted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_events * fraction)
+    counts = counted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_events * fraction)
+    return counts.withColumn("n", F.ceil(F.col("n") / fraction))
+
+
+def _segments(events: DataFrame, heavy_users: DataFrame, n_rows: int, max_events: int, min_segment: int | None) -> DataFrame:
+    """The events of the heavy users with ``segment``, ranges of (user, time, event id) of about ``max_events`` rows."""
+    least = MIN_SEGMENT_EVENTS if min_segment is None else min_segment
+    n_segments = math.ceil(n_rows / max(max_events, least)) + 1
+    return (
+        events.join(heavy_users.select("user_id"), "user_id", "left_semi")
+        .repartitionByRange(n_segments, "user_id", *ORDER)
+        .withColumn("segment", F.spark_partition_id())
     )
+
+
+def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK, min_segment: int | None = None) -> Histories:
+    """Separate the users whose history is too long for one task and cut it into segments.
+
+    Segments have about ``max_events`` events, but ``min_segment`` at least (``MIN_SEGMENT_EVENTS`` by default).
+    Users are counted, and heavy ones are partitioned and checkpointed, while the plan is made; a dataset
+    that is read more than once is prepared by :func:`prepare_histories`.
+    """
+    heavy_users = _heavy_users(events, max_events)
     n_users, n_rows = heavy_users.agg(F.count(F.lit(1)), F.sum("n")).first()
     if n_users == 0:
         return Histories(events)
-    heavy_users = materialise(heavy_users.select("user_id"))
+    heavy_users = materialise(heavy_users)
     if n_users <= MAX_BROADCAST_USERS:
         heavy_users = F.broadcast(heavy_users)
-    n_segments = math.ceil(n_rows / fraction / max(max_events, MIN_SEGMENT_EVENTS)) + 1
-    heavy = (
-        events.join(heavy_users, "user_id", "left_semi")
-        .repartitionByRange(n_segments, "user_id", *ORDER)
-        .withColumn("segment", F.spark_partition_id())
+    return Histories(
+        regular=events.join(heavy_users.select("user_id"), "user_id", "left_anti"),
+        heavy=materialise(_segments(events, heavy_users, n_rows, max_events, min_segment)),
     )
+
+
+def prepare_histories(
+    events: DataFrame, path: str, max_events: int = MAX_EVENTS_PER_TASK, min_segment: int | None = None
+) -> None:
+    """Store, once per dataset, who is heavy and their events in segments, for :func:`open_histories`.
+
+    Leaves ``path/users`` (user_id, n), ``path/events`` with ``segment`` in order inside a segment, and
+    ``path/segments`` (segment, user_id, n_events, first and last time), the borders.  A folder that is
+    complete is left alone; another ``max_events`` than it was made with is refused.
+    """
+    spark = events.sparkSession
+    check_manifest(spark, f"{path}/settings", {"max_events": max_events, "min_segment": min_segment})
+    if folder_exists(spark, f"{path}/segments/_SUCCESS"):
+        return
+    _heavy_users(events, max_events).write.mode("overwrite").parquet(f"{path}/users")
+    users = spark.read.schema("user_id bigint, n bigint").parquet(f"{path}/users")
+    n_rows = users.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = _segments(events, users, n_rows, max_events, min_segment).sortWithinPartitions("user_id", *ORDER)
+    cut.write.mode("overwrite").parquet(f"{path}/events")
+    stored = spark.read.schema(cut.schema).parquet(f"{path}/events")
+    borders = stored.groupBy("segment", "user_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("timestamp_event").alias("first_ts"), F.max("timestamp_event").alias("last_ts")
+    )
+    borders.write.mode("overwrite").parquet(f"{path}/segments")
+
+
+def open_histories(events: DataFrame, path: str) -> Histories:
+    """The histories of events that :func:`prepare_histories` was given before; no job runs to plan them.
+
+    ``events`` must be those rows: ordinary users are read from them in one scan, heavy ones from the
+    segments of the folder.
+    """
+    spark = events.sparkSession
+    if not folder_exists(spark, f"{path}/segments/_SUCCESS"):
+        raise ValueError(f"{path} is not prepared")
+    users = spark.read.schema("user_id bigint").parquet(f"{path}/users")
+    schema = StructType(events.schema.fields).add("segment", "integer")
     return Histories(
-        regular=events.join(heavy_users, "user_id", "left_anti"),
-        heavy=materialise(heavy),
+        regular=events.join(users, "user_id", "left_anti"), heavy=spark.read.schema(schema).parquet(f"{path}/events")
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 
 from eventstrand.operators.features import VALUE_MEAN, VALUE_STD, event_features, normalise_events
-from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, split_histories
+from eventstrand.operators.histories import MAX_EVENTS_PER_TASK, Histories, open_histories, prepare_histories, split_histories
 from eventstrand.operators.vocabulary import product_vocabulary
 from eventstrand.operators.windows import WindowSpec, assemble_windows, history_filter_counts, sequence_windows
 from eventstrand.session import folder_exists
@@ -20,8 +20,20 @@ def features_of(
     value_mean: float = VALUE_MEAN,
     value_std: float = VALUE_STD,
     max_events: int = MAX_EVENTS_PER_TASK,
+    prepared: str | None = None,
 ) -> Histories:
-    return event_features(split_histories(normalise_events(raw), max_events), value_mean, value_std)
+    """``prepared`` is the folder of :func:`prepare_dataset`, if heavy users were found before."""
+    events = normalise_events(raw)
+    histories = split_histories(events, max_events) if prepared is None else open_histories(events, prepared)
+    return event_features(histories, value_mean, value_std)
+
+
+def prepare_dataset(
+    raw: DataFrame, path: str, max_events: int = MAX_EVENTS_PER_TASK, min_segment: int | None = None
+) -> str:
+    """Find the heavy users of raw events and store their segments below ``path``, which is returned."""
+    prepare_histories(normalise_events(raw), path, max_events, min_segment)
+    return path
 
 
 def build_windows(
@@ -30,9 +42,10 @@ def build_windows(
     value_mean: float = VALUE_MEAN,
     value_std: float = VALUE_STD,
     max_events: int = MAX_EVENTS_PER_TASK,
+    prepared: str | None = None,
 ) -> DataFrame:
     """Raw events (user_id, timestamp_event, value, event_type, product_id[, event_id]) to windows."""
-    return sequence_windows(features_of(raw, value_mean, value_std, max_events), spec)
+    return sequence_windows(features_of(raw, value_mean, value_std, max_events, prepared), spec)
 
 
 def build_bucketed_windows(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import shutil
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings (no restart needed).  Skewed joins are split even where that costs a shuffle.
@@ -59,3 +61,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def folder_exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def check_manifest(spark: SparkSession, path: str, settings: dict) -> None:
+    """Record what a stored dataset is made with, or refuse to go on with other settings than recorded."""
+    text = json.dumps(settings, sort_keys=True, default=str)
+    try:
+        recorded = spark.read.text(path).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        recorded = []
+    if not recorded:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif recorded[0].value != text:
+        raise ValueError(f"dataset was begun with {recorded[0].value}, not {text}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import logging
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventstrand.functions.hashing import md5_int
-from eventstrand.session import folder_exists, remove_folder
+from eventstrand.session import check_manifest, folder_exists, remove_folder
 
 logger = logging.getLogger(__name__)
 
@@ -56,21 +55,6 @@ class IncompleteDataset(RuntimeError):
     """Some buckets failed; they stay pending and the next run tries them again."""
 
 
-def check_manifest(spark: SparkSession, path: str, settings: dict) -> None:
-    """Record what a dataset is made with, or refuse to go on with other settings than recorded."""
-    text = json.dumps(settings, sort_keys=True, default=str)
-    try:
-        recorded = spark.read.text(path).collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        recorded = []
-    if not recorded:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    elif recorded[0].value != text:
-        raise ValueError(f"dataset was begun with {recorded[0].value}, not {text}")
-
-
 def fingerprint(bucketed: DataFrame) -> DataFrame:
     """(bucket, n_rows, row_hash): what is in each bucket, whatever the order, files and partitions of the rows.
 

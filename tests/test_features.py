@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from eventstrand.operators.features import event_features, normalise_events
 from eventstrand.operators.histories import split_histories
-from eventstrand.plans.preprocess import features_of
+from eventstrand.operators.windows import WindowSpec
+from eventstrand.plans.preprocess import build_windows, features_of, prepare_dataset
 
 
 def balances(features):
@@ -119,3 +121,51 @@ def test_log_features(events_of):
     last = features_of(raw).rows().where("pos = 1").first()
     assert last.time_delta_norm == pytest.approx(math.log(100), rel=1e-6)
     assert last.balance_norm == pytest.approx(math.log(10), rel=1e-6)
+
+
+def jobs_of(spark, fn):
+    group = f"test-{id(fn)}"
+    spark.sparkContext.setJobGroup(group, "test")
+    try:
+        result = fn()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_prepared_histories_are_planned_without_a_job(spark, events_of, tmp_path):
+    rng = random.Random(4)
+    rows = [(u, rng.randrange(50), rng.random(), rng.choice((1, 2, 3, 21)), 7) for u, n in ((1, 400), (2, 30), (3, 90)) for _ in range(n)]
+    raw = events_of(rows).cache()
+    path, spec = str(tmp_path / "p"), WindowSpec(12, 5, 100)
+    _, n_jobs = jobs_of(spark, lambda: prepare_dataset(raw, path, 40, min_segment=1))
+    assert n_jobs > 0
+    segments = spark.read.parquet(f"{path}/segments").collect()
+    assert {r.user_id for r in segments} == {1, 3} and sum(r.n_events for r in segments) == 490
+    per_segment = [sum(r.n_events for r in segments if r.segment == s) for s in {r.segment for r in segments}]
+    assert len(per_segment) >= 8 and max(per_segment) <= 120  # as short as asked for, user 1 lies in many
+    (features, windows), n_jobs = jobs_of(
+        spark, lambda: (features_of(raw, prepared=path).rows(), build_windows(raw, spec, prepared=path))
+    )
+    assert n_jobs == 0
+    plain = features_of(raw).rows()
+    key = [c for c in plain.columns if not c.startswith("balance")]
+    assert features.select(key).exceptAll(plain.select(key)).isEmpty() and features.count() == plain.count()
+    want = build_windows(raw, spec).drop("num_feats_seq")
+    got = windows.drop("num_feats_seq")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_preparing_again(spark, events_of, tmp_path):
+    raw, path = events_of([(1, i, 1.0, 1, 1) for i in range(20)] + [(2, 0, 1.0, 1, 1)]), str(tmp_path / "p")
+    with pytest.raises(ValueError, match="not prepared"):
+        features_of(raw, prepared=path)
+    prepare_dataset(raw, path, 5, min_segment=1)
+    before = sorted(os.listdir(f"{path}/events"))
+    prepare_dataset(raw, path, 5, min_segment=1)  # complete: left alone
+    assert sorted(os.listdir(f"{path}/events")) == before
+    with pytest.raises(ValueError, match="was begun with"):
+        prepare_dataset(raw, path, 6, min_segment=1)
+    # nobody heavy: all users are ordinary
+    other = prepare_dataset(raw, str(tmp_path / "q"), 1000)
+    assert features_of(raw, prepared=other).rows().count() == 21
