@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventstrand.llm.common import Scratch
 
-SHARD_ROWS = 8_192
+# Shards grow with the table between these, so that queries meet about SHARDS of them up to 16 million rows.
+SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 8_192, 131_072, 128
 QUERIES_AT_ONCE = 256
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXATION = 32, 64, 128, 1.2
-_INDEX = "shard int, n int, vectors binary, graph binary, ids array<array<long>>"
+# Vectors whose unit vectors agree in so many decimals are one point of a graph.
+DIRECTION_DECIMALS = 7
+_INDEX = "shard int, n int, members array<int>, ids array<long>, vectors binary, graph binary"
 
 
 def beam_search(
@@ -26,7 +29,7 @@ def beam_search(
     q, n = len(queries), len(points)
     ids = np.full((q, beam), -1)
     ids[:, 0] = entry
-    scores = np.full((q, beam), -np.inf, np.float32)
+    scores = np.full((q, beam), -np.inf)
     scores[:, 0] = queries @ points[entry]
     done = np.ones((q, beam), bool)
     done[:, 0] = False
@@ -59,13 +62,15 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     """At most ``degree`` neighbours per point among its candidates (-1: none), filled with ``len(points)``.
 
     The nearest candidate is kept and drops those that lie ``relax`` times nearer to it than to the point.
+    Distances are taken from differences, which stay exact for points that lie close together.
     """
     n, rows = len(points), np.arange(len(own))
     ids = np.sort(candidates, axis=1)
     alive = (ids >= 0) & (ids < n) & (ids != own[:, None])
     alive[:, 1:] &= ids[:, 1:] != ids[:, :-1]
     vectors = points[np.where(alive, ids, 0)]
-    gap = np.where(alive, 2 - 2 * np.einsum("pd,pcd->pc", points[own], vectors), np.inf)
+    squared = lambda a: np.einsum("pcd,pcd->pc", d := vectors - a[:, None, :], d)
+    gap = np.where(alive, squared(points[own]), np.inf)
     kept = np.full((len(own), degree), n)
     for k in range(degree):
         best = np.argmin(np.where(alive, gap, np.inf), axis=1)
@@ -73,7 +78,7 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
         if not found.any():
             break
         kept[found, k] = ids[rows, best][found]
-        between = 2 - 2 * np.einsum("pd,pcd->pc", vectors[rows, best], vectors)
+        between = squared(vectors[rows, best])
         alive &= (relax * between > gap) | ~found[:, None]
         alive[rows, best] = False
     return kept
@@ -114,7 +119,7 @@ def build_graph(
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scale = np.abs(vectors).max(axis=1, keepdims=True)
     scaled = vectors / scale
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _usable(vector: Column) -> Column:
@@ -128,45 +133,62 @@ def vectors_of(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & _usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def _direction(vector: Column) -> Column:
+    """The rounded unit vector."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    scaled = F.transform(vector, lambda x: x / largest)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
+    return F.transform(scaled, lambda x: F.round(x / norm, DIRECTION_DECIMALS) + 0.0)
+
+
 def build_index(vectors: DataFrame, shards: int, neighbours: int) -> DataFrame:
-    """One row per shard: distinct vectors, their graph and the smallest ids of each vector.
+    """One row per shard: a graph of the directions, and the ids and exact vectors that each stands for.
 
-    Equal vectors are one point, so copies neither crowd a graph nor fill a task; an answer needs no more
-    than ``neighbours + 1`` of their ids.
+    Vectors of one direction, whatever their lengths, are one point, so copies neither crowd a graph nor fill
+    a task.  Their nearness to anything agrees in ``DIRECTION_DECIMALS`` decimals, so an answer needs no more
+    than ``neighbours + 1`` of them, those of the smallest ids.
     """
-    ranked = Window.partitionBy("vector").orderBy("id")
-    smallest = vectors.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= neighbours + 1)
-    points = smallest.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    placed = vectors.withColumn("direction", _direction(F.col("vector")))
+    ranked = Window.partitionBy("direction").orderBy("id")
+    smallest = placed.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= neighbours + 1)
+    points = smallest.groupBy("direction").agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("members")).select(
+        F.col("members.id").alias("ids"), F.col("members.vector").alias("vectors")
+    )
     placed = points.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        by_id = np.argsort([i[0] for i in table["ids"].to_pylist()])
-        table = table.take(by_id)
-        raw = np.array(table["vector"].to_pylist(), dtype="<f8")
-        graph, entry = build_graph(_unit(raw))
+        table = table.take(np.argsort([i[0] for i in table["ids"].to_pylist()]))
+        ids, raw = table["ids"].to_pylist(), table["vectors"].to_pylist()
+        graph, entry = build_graph(_unit(np.array([v[0] for v in raw], dtype="<f8")))
         # the entry is the last number
         stored = np.append(graph.ravel(), entry).astype("<i4").tobytes()
-        columns = [[table["shard"][0].as_py()], [len(raw)], [raw.tobytes()], [stored], [table["ids"].to_pylist()]]
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "n", "vectors", "graph", "ids"])
+        exact = np.array([v for each in raw for v in each], dtype="<f8").tobytes()
+        columns = [[table["shard"][0].as_py()], [len(raw)], [[len(i) for i in ids]], [[i for each in ids for i in each]], [exact], [stored]]
+        types = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        names = [c.split()[0] for c in _INDEX.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return placed.groupBy("shard").applyInArrow(build, _INDEX)
 
 
 def _answers(index: dict, ids: list[int], vectors: np.ndarray, neighbours: int, beam: int) -> pa.RecordBatch:
-    raw = np.frombuffer(index["vectors"], "<f8").reshape(index["n"], -1)
+    of_point, member_ids = np.array(index["members"]), np.array(index["ids"])
+    first = np.cumsum(of_point) - of_point
+    raw = np.frombuffer(index["vectors"], "<f8").reshape(len(member_ids), -1)
+    norms = np.linalg.norm(raw, axis=1)
     stored = np.frombuffer(index["graph"], "<i4")
     graph, entry = stored[:-1].reshape(index["n"], -1), int(stored[-1])
-    points, found = _unit(raw), []
+    points, found = _unit(raw[first]), []
     for at in range(0, len(ids), QUERIES_AT_ONCE):
         part = vectors[at : at + QUERIES_AT_ONCE]
         near, _ = beam_search(points, graph, _unit(part), entry, beam)
         for query_id, query, row in zip(ids[at:], part, near, strict=False):
             row = row[row >= 0]
+            rows = np.concatenate([np.arange(first[p], first[p] + of_point[p]) for p in row])
             # cosine in double precision on the original vectors
-            exact = (raw[row] @ query) / (np.linalg.norm(raw[row], axis=1) * np.linalg.norm(query))
-            best = [(-s, i) for s, p in zip(exact.tolist(), row.tolist(), strict=True) for i in index["ids"][p] if i != query_id]
+            exact = (raw[rows] @ query) / (norms[rows] * np.linalg.norm(query))
+            best = [(-s, i) for s, i in zip(exact.tolist(), member_ids[rows].tolist(), strict=True) if i != query_id]
             found += [(query_id, i, -s) for s, i in sorted(best)[:neighbours]]
     types = (pa.int64(), pa.int64(), pa.float64())
     return pa.record_batch(
@@ -176,12 +198,12 @@ def _answers(index: dict, ids: list[int], vectors: np.ndarray, neighbours: int,
 
 def nearest(
     df: DataFrame, queries: Column, neighbours: int = 5, key: str = "vec_id", vector: str = "embedding",
-    shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM,
+    shard_rows: int | None = None, beam: int = SEARCH_BEAM,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that meets ``queries`` its nearest other rows by cosine.
 
-    Every vector is indexed in a shard of about ``shard_rows``; blocks of queries meet every shard, and the
-    answers of the shards are merged.  Ties go to the smaller id; with fewer candidates than ``neighbours``
+    Every vector is indexed in a shard of about ``shard_rows`` (from ``SHARD_ROWS`` on, growing with the table); blocks
+    of queries meet every shard, and the answers of the shards are merged.  Ties go to the smaller id; with fewer candidates than ``neighbours``
     all found are returned.  Rows without id and vectors that are null, empty, zero or hold null or
     non-finite components take no part; an id with several vectors counts with the smallest.  All vectors
     must have one length.  An empty table gives no rows; other columns are ignored.
@@ -195,7 +217,9 @@ def nearest(
 
     with Scratch(df.sparkSession, "neighbours") as scratch:
         vectors = scratch.keep(vectors_of(df, key, vector), "vectors")
-        shards = -(-vectors.count() // shard_rows) or 1
+        rows = vectors.count()
+        per_shard = shard_rows or min(max(SHARD_ROWS, rows // SHARDS), MOST_SHARD_ROWS)
+        shards = -(-rows // per_shard) or 1
         index = scratch.keep(build_index(vectors, shards, neighbours), "index")
         asked = vectors.withColumnRenamed("id", key).where(queries).withColumnRenamed(key, "id")
         n_blocks = -(-asked.count() // (4 * QUERIES_AT_ONCE)) or 1

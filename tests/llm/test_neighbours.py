@@ -88,3 +88,26 @@ def test_few_candidates_and_empty_table(spark):
     one = few.where("vec_id = 0")
     assert neighbours.nearest(one, F.col("vec_id") % 50 == 0).count() == 0
     assert neighbours.nearest(few.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [None, 400])
+@pytest.mark.parametrize("moved", [0.0, 1e-9, 1e-5, 1e-2])
+def test_recall_among_scaled_and_moved_copies(spark, moved, shard_rows):
+    """600 vectors of nearly one direction and different lengths among 2,000 others."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2600, 24))
+    x[:600] = x[0] * rng.uniform(0.1, 50, size=(600, 1))
+    x[:600] *= 1 + moved * rng.normal(size=(600, 24))
+    x = x[rng.permutation(2600)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = answers_of(neighbours.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for q in range(0, 2600, 50):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        fifth = np.sort(cosine)[-5]
+        assert len(got[q]) == 5 and all(abs(s - cosine[j]) < 1e-12 for j, s in got[q])
+        hits += sum(s >= fifth - 1e-12 for _, s in got[q])
+        total += 5
+    assert hits >= 0.95 * total, hits / total
