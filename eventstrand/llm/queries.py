@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventstrand.llm import alignment, counts, minhash, mixing, neighbours, packing, phrases, quality, secrets, simhash, substrings, token_files, toxicity
@@ -12,12 +15,10 @@ CONTEXT = 2048
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.expr(" OR ".join(f"({r.reject})" for r in quality.RULES if r.name in quality.BASE_RULES))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "kept",
-    )
+    report = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), report=report)
+    base = [r.reject({c: F.col(c) for c in report}) for r in quality.RULES if r.name in quality.BASE_RULES]
+    return judged.select("doc_id", *report, reduce(or_, base).alias("base_failed"), "kept")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

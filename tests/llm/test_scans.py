@@ -38,19 +38,48 @@ def test_statistics_equal_plain_python(odd_docs):
 
 def test_verdict_does_not_depend_on_the_order_of_rules(odd_docs):
     kept = {r.text: r.kept for r in quality.judge(odd_docs).select("text", "kept").collect()}
-    with_all = quality.statistics(odd_docs)
-    backwards = {r.text: r.kept for r in with_all.select("text", quality.cascade(quality.RULES[::-1]).alias("kept")).collect()}
-    assert kept == backwards and kept[None] is False and kept[""] is False
+    at = quality._InPlace("text")
+    backwards = {r.text: r.kept for r in odd_docs.select("text", quality.cascade(quality.RULES[::-1], at).alias("kept")).collect()}
+    alone = {r.text: r.kept for r in quality.judge(odd_docs, report=()).select("text", "kept").collect()}
+    assert kept == backwards == alone and kept[None] is False and kept[""] is False
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
-    sample = spark.createDataFrame([(i,) for i in range(100)], "x int")
-    rules = [quality.Rule("never", "x < 0"), quality.Rule("nearly_all", "x < 99")]
+    sample = spark.range(100).select(F.col("id").alias("x"), F.repeat(F.lit("a b c d "), 20_000).alias("text")).cache()
+    cheap = lambda limit: lambda s: F.col("x") < limit
+    rules = [quality.Rule("never", cheap(0)), quality.Rule("nearly_all", cheap(99))]
     assert [r.name for r in quality.order_rules(sample, rules)][0] == "nearly_all"
+    # a rule that rejects as many, and would come first by its name, costs more
+    dear = quality.Rule("dear", lambda s: (s["n_repeat_words"] > 0) & (F.col("x") < 99))
+    assert [r.name for r in quality.order_rules(sample, [dear, rules[1]])] == ["nearly_all", "dear"]
     with pytest.raises(ValueError):
         quality.judge(sample, [rules[0], rules[0]])
 
 
+def test_a_rule_counts_for_rows_that_earlier_ones_passed(spark, monkeypatch):
+    """After a rule, one that rejects only the same rows is worth nothing, one that rejects others is next."""
+    sample = spark.createDataFrame([(i, "") for i in range(100)], "x int, text string")
+    between = lambda name, lo, hi: quality.Rule(name, lambda s: F.col("x").between(lo, hi))
+    rules = [between("a_most", 0, 89), between("b_inside", 5, 85), between("c_rest", 90, 99)]
+    ticks = iter(range(10**6))
+    monkeypatch.setattr(quality.time, "perf_counter", lambda: next(ticks))  # all cost the same
+    assert [r.name for r in quality.order_rules(sample, rules)] == ["a_most", "c_rest", "b_inside"]
+
+
+def test_inputs_of_later_rules_are_not_computed(odd_docs, plan_of):
+    """A rule whose input fails for every row that an earlier rule rejects: ``kept`` alone never asks for it."""
+    fails = quality.Rule("fails", lambda s: F.when(s["n_words"] < 50, F.raise_error(F.lit("computed"))).otherwise(s["n_capitals"] < 0))
+    rules = [quality.RULES[0], fails, *quality.RULES[1:]]
+    kept = odd_docs.select("doc_id", quality.cascade(rules, quality._InPlace("text")).alias("kept"))
+    columns = [c for c in quality.STATISTICS if c not in odd_docs.columns]
+    assert kept.collect() and not [c for c in columns if f" AS {c}#" in plan_of(kept)]
+    with pytest.raises(Exception, match="computed"):
+        odd_docs.select(quality.cascade(rules[::-1], quality._InPlace("text"))).collect()
+    alone = quality.judge(odd_docs.drop("n_words"), report=())
+    assert set(alone.columns) == {*odd_docs.columns} - {"n_words"}
+    assert not [c for c in columns if f" AS {c}#" in plan_of(alone)]
+
+
 def test_quality_of_an_empty_table_and_repeats(empty_docs, odd_docs):
     assert quality.judge(empty_docs).count() == 0
     assert quality.judge(odd_docs).count() == odd_docs.count()
