@@ -26,7 +26,7 @@ from eventstrand.operators.inference import position_logits, predict_events, sco
 from eventstrand.plans.evaluation import evaluate_contrastive, evaluate_embeddings, evaluate_predictions
 from eventstrand.plans.preprocess import build_bucketed_windows, build_windows, features_of, prepare_dataset, write_dataset
 from eventstrand.plans.training import training_tables
-from eventstrand.session import configure, materialise, shared_dir
+from eventstrand.session import configure, materialise, session_folder
 from eventstrand.sources import bucketed, sinks, tables
 from eventstrand.operators.windows import WindowSpec
 
@@ -133,7 +133,7 @@ def _views(spark, sf_dir) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # ---- flat output --------------------------------------------------------------------------------

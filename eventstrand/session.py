@@ -7,6 +7,7 @@ import json
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_folders: dict[str, str] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """A folder below :func:`shared_dir` for results that are read later; it goes when the application ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        path = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _folders[key] = path
+    return _folders[key]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: rows and partition numbers stay fixed when executors are lost."""
     shared_dir(df.sparkSession)
