@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventstrand.session import configure, shared_dir
+from eventstrand.session import configure, session_folder, shared_dir
 
 # A word is a run of characters other than space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,13 +27,14 @@ def words_of(text: Column) -> Column:
 class Scratch:
     """A folder below ``spark.checkpoint.dir`` for tables that must survive lost executors.
 
-    Leaving the block removes the folder; ``hand_over`` writes a table that stays for the caller, as
-    long as a checkpoint would.
+    Leaving the block removes the folder; ``hand_over`` writes a table that stays for the caller until the
+    application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{self.name}"
 
     def __enter__(self) -> Scratch:
         return self
@@ -48,7 +49,7 @@ class Scratch:
         return _stored(df, self.path(name))
 
     def hand_over(self, df: DataFrame) -> DataFrame:
-        return _stored(df, f"{self.root}-result")
+        return _stored(df, f"{session_folder(self.spark)}/{self.name}")
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
