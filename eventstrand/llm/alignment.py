@@ -20,14 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from eventstrand.llm.common import Scratch, mix
-from eventstrand.llm.tokens import byte_characters, pieces
+from eventstrand.llm.tokens import ByteWords, byte_characters, pieces
 
 # Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 # A shard's task holds about so many pairs of blocks.
 LEAST_SHARDS, PAIRS_AT_ONCE = 64, 1 << 21
 # Words a worker remembers, in two generations, and their bytes; words encoded and links sorted at once.
-REMEMBERED, REMEMBERED_BYTES, WORDS_AT_ONCE, LINKS_AT_ONCE = 200_000, 24 << 20, 400, 1 << 21
+REMEMBERED, REMEMBERED_BYTES, WORDS_AT_ONCE, LINKS_AT_ONCE = 260_000, 32 << 20, 400, 1 << 21
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (size[0] numbers), first[1], ..."""
@@ -61,6 +61,9 @@ def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return group[: len(a_sizes)], group[len(a_sizes) :]
 
 
+_AFTER = np.array([",", "|", ";", "\n"], object)
+
+
 class Aligner:
     """Groups of a piece: ``(numbers, text)``, or None where the tokens do not give back its bytes.
 
@@ -84,67 +87,95 @@ class Aligner:
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         ]
         self.sizes = [np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes)]
-        self.a_names, self.b_names = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (np.array([str(i) for i in range(len(side))], object) for side in (self.a_bytes, self.b_bytes))
+        self.byte_words = ByteWords(self.a)
         self.b_bits = (len(self.b_bytes) - 1).bit_length()
         self.young: dict = {}
         self.old: dict = {}
         self.held = 0
 
+    def _a_ids(self, words: list[str]) -> list[int]:
+        """A's ids of words that stand beside each other, each after a space."""
+        parts = [self.byte_words.ids(w) for w in words]
+        others = [i for i, part in enumerate(parts) if part is None]
+        if others:
+            ids = self.a.encode(" " + " ".join([words[i] for i in others]), add_special_tokens=False).ids
+            ends = np.cumsum(self.sizes[0][ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(words[i].encode()) + 1 for i in others])) + 1
+            for i, start, stop in zip(others, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                parts[i] = ids[start:stop]
+        return [x for part in parts for x in part]
+
     def align(self, words: list[str]) -> list[tuple[bytes, str] | None]:
         """Words that stand beside each other, encoded as one text."""
         text = " ".join(words)
         whole = b" " + text.encode()
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        b = self.b.encode(text, num_threads=1)
+        a, b = self._a_ids(words), self.b.encode(text, num_threads=1)
         if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
             if len(words) == 1:
                 return [None]
             half = len(words) // 2
             return self.align(words[:half]) + self.align(words[half:])
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        a_group, b_group = coalesce(self.sizes[0][a_ids], self.sizes[1][b_ids])
-        n_groups = int(a_group[-1]) + 1
-        a_count, b_count = np.bincount(a_group, minlength=n_groups), np.bincount(b_group, minlength=n_groups)
-        a_end, b_end = np.cumsum(a_count), np.cumsum(b_count)
+        ids = np.array(a, np.int64), np.array(b, np.int64)
+        group = coalesce(self.sizes[0][ids[0]], self.sizes[1][ids[1]])
+        n_groups = int(group[0][-1]) + 1
+        count = [np.bincount(g, minlength=n_groups) for g in group]
         # groups end where words do
-        group_end = np.cumsum(self.sizes[0][a_ids])[a_end - 1]
+        group_end = np.cumsum(self.sizes[0][ids[0]])[np.cumsum(count[0]) - 1]
         word_end = np.cumsum([len(w.encode()) + 1 for w in words])
-        last = np.searchsorted(group_end, word_end) + 1
-        u4 = [x.astype("<u4") for x in (a_count, b_count, a_ids, b_ids)]
-        a_names, b_names = [self.a_names[i] for i in a], [self.b_names[i] for i in b]
-        ends = list(zip(a_end.tolist(), b_end.tolist(), strict=True))
-        found, g, i, j = [], 0, 0, 0
-        for end in last.tolist():
-            texts, i0, j0 = [], i, j
-            for k, m in ends[g:end]:
-                texts.append(f"{','.join(a_names[i:k])}|{','.join(b_names[j:m])}")
-                i, j = k, m
-            head = np.array([end - g, i - i0, j - j0], "<u4")
-            numbers = (head, u4[0][g:end], u4[1][g:end], u4[2][i0:i], u4[3][j0:j])
-            found.append((b"".join([x.tobytes() for x in numbers]), ";".join(texts)))
-            g = end
-        return found
+        last = np.searchsorted(group_end, word_end)
+        n = np.diff(last, prepend=-1)
+        tokens = [np.diff(np.cumsum(c)[last], prepend=0) for c in count]
+        return list(zip(self._numbers(n, tokens, count, ids), self._texts(group, last, ids), strict=True))
+
+    @staticmethod
+    def _numbers(n: np.ndarray, tokens: list, count: list, ids: tuple) -> list[bytes]:
+        """Each word's numbers in a row."""
+        size = 3 + 2 * n + tokens[0] + tokens[1]
+        at = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), "<u4")
+        flat[at], flat[at + 1], flat[at + 2] = n, *tokens
+        flat[_ragged(at + 3, n)], flat[_ragged(at + 3 + n, n)] = count
+        flat[_ragged(at + 3 + 2 * n, tokens[0])], flat[_ragged(at + 3 + 2 * n + tokens[0], tokens[1])] = ids
+        data = flat.tobytes()
+        return [data[4 * i : 4 * (i + k)] for i, k in zip(at.tolist(), size.tolist(), strict=True)]
+
+    def _texts(self, group: tuple, last: np.ndarray, ids: tuple) -> list[str]:
+        """Each word's groups as text: the tokens in order with what follows each."""
+        side = np.repeat([0, 1], [len(x) for x in ids])
+        place = 2 * np.concatenate(group) + side
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        ends = np.append(place[1:] != place[:-1], True)
+        # a comma inside a side, a bar after A's, a semicolon after a group, a new line after a word
+        after = np.where(ends, 1 + (place & 1) + np.isin(place, 2 * last + 1), 0)
+        parts = np.empty(2 * len(order), object)
+        parts[0::2] = np.concatenate([self.a_names[ids[0]], self.b_names[ids[1]]])[order]
+        parts[1::2] = _AFTER[after]
+        return "".join(parts.tolist()).split("\n")[:-1]
 
     def look_up(self, words: list[str]) -> list[tuple[bytes, str] | None]:
         """The alignment of each word; words not met lately are encoded together."""
         if len(self.young) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        young, old = self.young, self.old
-        result, missing = [], []
-        for word in words:
-            found = young.get(word, 0)
-            if found == 0 and (found := old.get(word, 0)) != 0:
-                young[word] = found
-            if found == 0:
-                missing.append((word, len(result)))
-            result.append(found)
-        # white space at an end of a text would run into the next word's space
-        apart = [x for x in missing if x[0][:1].isspace() or x[0][-1:].isspace()]
-        beside = [x for x in missing if not (x[0][:1].isspace() or x[0][-1:].isspace())]
-        parts = [[x] for x in apart] + [beside[at : at + WORDS_AT_ONCE] for at in range(0, len(beside), WORDS_AT_ONCE)]
-        for part in parts:
-            for (word, place), found in zip(part, self.align([w for w, _ in part]), strict=True):
-                result[place] = found
+        young, old, unknown = self.young, self.old, object()
+        result = [young.get(word, unknown) for word in words]
+        apart, beside = [], []
+        for place, found in enumerate(result):
+            if found is not unknown:
+                continue
+            word = words[place]
+            found = old.get(word, unknown)
+            if found is not unknown:
+                result[place] = young[word] = found
+            # white space at an end of a text would run into the next word's space
+            elif word[0].isspace() or word[-1].isspace():
+                apart.append([place])
+            else:
+                beside.append(place)
+        for part in apart + [beside[at : at + WORDS_AT_ONCE] for at in range(0, len(beside), WORDS_AT_ONCE)]:
+            for place, found in zip(part, self.align([words[i] for i in part]), strict=True):
+                word, result[place] = words[place], found
                 size = len(word) + (len(found[0]) + len(found[1]) if found else 0)
                 if size < 1_000:  # long ones hardly come again
                     young[word] = found

@@ -64,6 +64,45 @@ def pieces(text: str) -> list[str]:
     return _SAFE.split(text) if _beside_space(text) else text.split(" ")
 
 
+class ByteWords:
+    """Ids of Latin words, straight from the model of a byte-level BPE without the steps around it."""
+
+    def __init__(self, tokenizer):
+        model = tokenizer.model
+        plain = tokenizer.normalizer is None and type(tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        plain = plain and type(model).__name__ == "BPE" and not (model.end_of_word_suffix or model.continuing_subword_prefix)
+        self.model = model if plain else None
+        self.characters = byte_characters()
+        self.kept: dict[str, list[int]] = {}
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word of the pre-tokenizer."""
+        written = word.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(written)]
+
+    def marks(self, marks: str) -> list[int]:
+        ids = self.kept.get(marks)
+        if ids is None:
+            ids = self.word(marks)
+            if len(self.kept) < _KEPT_MARKS and len(marks) < 9:
+                self.kept[marks] = ids
+        return ids
+
+    def ids(self, piece: str) -> list[int] | None:
+        """Ids of a piece with its space; None if it is not words with marks after them."""
+        found = _PLAIN.fullmatch(piece) if self.model is not None else None
+        if found is None:
+            return None
+        word, marks, lines = found.groups()
+        ids = self.word(" " + word)
+        if marks:
+            ids = ids + self.marks(marks)
+        for line in lines.split("\n")[1:]:
+            word, marks = _LINE.fullmatch(line).groups()
+            ids = ids + self.marks("\n") + self.word(word) + (self.marks(marks) if marks else [])
+        return ids
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -84,12 +123,7 @@ class Pieces:
         self.special = [t.content for t in added.values()]
         self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
-        # a byte-level BPE whose words are known here can be asked without the steps around it
-        model = self.tokenizer.model
-        plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        plain = plain and type(model).__name__ == "BPE" and not (model.end_of_word_suffix or model.continuing_subword_prefix)
-        self.model = model if plain else None
-        self.characters = byte_characters()
+        self.words = ByteWords(self.tokenizer)
         self.marks: dict[str, object] = {}
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
@@ -123,8 +157,7 @@ class Pieces:
 
     def _word(self, word: str):
         """Code of one word of the pre-tokenizer."""
-        written = word.encode().decode("latin-1").translate(self.characters)
-        return self.word_code([t.id for t in self.model.tokenize(written)])
+        return self.word_code(self.words.word(word))
 
     def _remember(self, piece: str, code) -> None:
         self.young[piece] = code
@@ -164,7 +197,7 @@ class Pieces:
         others = []
         for piece in pieces.difference(self.young):
             code = self.old.get(piece)
-            if code is None and self.model is not None and (found := _PLAIN.fullmatch(piece)):
+            if code is None and self.words.model is not None and (found := _PLAIN.fullmatch(piece)):
                 code = self._plain(*found.groups())
             if code is None:
                 others.append(piece)
