@@ -24,7 +24,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 # Bytes of pieces and codes in a generation, with what Python adds to each.
-GENERATION_BYTES, _ENTRY_BYTES = 112 << 20, 200
+GENERATION_BYTES, _ENTRY_BYTES = 160 << 20, 200
 TEXTS_AT_ONCE = 256
 _PIECES_AT_ONCE, _KEPT_MARKS = 2_000, 10_000
 
