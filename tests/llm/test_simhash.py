@@ -72,21 +72,23 @@ def crowd(rng, size):
     return sorted(set(prints))
 
 
-@pytest.mark.parametrize("buckets, slice_size", [(1, 1 << 21), (64, 50_000), (4096, 1 << 21)])
-def test_links_connect_what_all_pairs_connect(spark, monkeypatch, buckets, slice_size):
+@pytest.mark.parametrize("buckets, slice_size, radius", [(1, 1 << 21, 4), (64, 50_000, 4), (128, 1 << 21, 2), (4096, 1 << 21, 2)])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, buckets, slice_size, radius):
+    """Also with more buckets than a print has variants."""
     monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", slice_size)
     prints = crowd(random.Random(buckets), 600)
     values = np.array(prints, dtype=np.uint64).view(np.int64)
     df = spark.createDataFrame([(int(v),) for v in values], "print long")
-    dealt = simhash._dealt(df, 2, buckets).collect()
+    packed = {}
+    for r in simhash._dealt(df, radius // 2, buckets).collect():
+        packed[r.bucket] = packed.get(r.bucket, b"") + bytes(r.prints)
     links = []
-    for bucket in {r.bucket for r in dealt}:
-        packed = b"".join(bytes(r.prints) for r in dealt if r.bucket == bucket)
-        a, b = simhash._links_of(bucket, np.frombuffer(packed, np.uint64), 4, buckets)
+    for bucket, here in packed.items():
+        a, b = simhash._links_of(bucket, np.frombuffer(here, np.uint64), radius, buckets)
         links += zip(a.tolist(), b.tolist(), strict=True)
     place = {p: i for i, p in enumerate(prints)}
     a, b = (np.array([place[link[k]] for link in links], dtype=np.intp) for k in (0, 1))
-    assert simhash._roots(a, b, len(prints)).tolist() == plain_components(prints)
+    assert simhash._roots(a, b, len(prints)).tolist() == plain_components(prints, radius)
 
 
 def test_large_group_makes_few_links(spark):
