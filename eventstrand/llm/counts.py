@@ -32,7 +32,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int, text: str = "text")
     Whole texts are counted as the tokenizer counts them, without added special tokens.  Texts are cut at
     spaces between words, where its pieces end in any case, and only lengths leave the worker.  A null
     text counts as empty: 0 bytes, 0 tokens.  One row per input row, repeated ones included; all other
-    columns stay, those with an output's name are replaced.
+    columns stay, those with an output's name are replaced.  An empty table gives no rows.
     """
 
     @F.arrow_udf("long")

@@ -193,7 +193,8 @@ def find_secrets(df: DataFrame, text: str = "text", false_share: float = FALSE_S
     known form overlaps, that are discovered not to be text at a false share of ``false_share`` among the
     tokens of their length class, and that pass the randomness battery at level ``RANDOM_LEVEL``.  Whole
     texts are scanned; a null or empty text has no spans.  One row per input row, repeated ones included;
-    other columns stay, those with an output's name are replaced.
+    other columns stay, those with an output's name are replaced.  An empty table gives no rows.  Tokens below
+    the length and without the mix of characters that ``TOKEN`` asks for are not tested for randomness.
     """
     bins = discovery_bins(df, text, false_share)
     whole = _texts(F.col(text))

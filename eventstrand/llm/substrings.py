@@ -195,7 +195,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, prefix: int = PREF
     with a smaller id, or earlier in the same one.  Windows are judged on the input.  Kept words are joined
     by one space.  A null or empty text has no words.  Repeated rows are one document and do not remove
     each other; rows with one id and different texts are ordered by a hash of the text.  A row without
-    id removes nothing and loses nothing.  Other columns are ignored.
+    id removes nothing and loses nothing.  An empty table gives no rows.  Other columns are ignored.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())

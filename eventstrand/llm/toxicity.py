@@ -213,7 +213,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Every whole text is scanned.  A null or empty text has no evidence and gets the score of texts without
     toxic words.  One row per input row, repeated ones included; other columns stay, those with an
-    output's name are replaced.
+    output's name are replaced.  An empty table gives no rows.
     """
     found = evidence(model, F.col(text))
     logit = model.bias + model.slope * F.least(F.col("__found.evidence"), F.lit(64.0))
