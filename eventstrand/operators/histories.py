@@ -2,8 +2,9 @@
 
 A window partition is one task, so a user holding a third of all events would stall the job.
 Users up to ``max_events`` go through plain per-user windows.  The events of heavier users are
-range-partitioned by (user, time, event id) into segments of about ``max_events`` rows; each segment
-is ordered on its own and receives a small carry row summarising the user's earlier segments.
+range-partitioned by (user, time, event id), and each partition is cut into segments of at most
+``max_events`` rows; a segment is ordered on its own and receives a small carry row summarising the
+user's earlier segments.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
+from eventstrand.functions.sequences import int_div
 from eventstrand.session import check_manifest, folder_exists, materialise
 
 MAX_EVENTS_PER_TASK = 5_000_000
 MAX_BROADCAST_USERS = 1_000_000
 COUNTED_ROWS = 10_000
 MIN_SEGMENT_EVENTS = 1_000  # shorter segments cost more than they spread
+TASK_EVENTS = 100_000  # that a task cuts into segments, if those are shorter
 
 ORDER = ("timestamp_event", "event_id")
 
@@ -64,20 +67,27 @@ def _heavy_users(events: DataFrame, max_events: int) -> DataFrame:
 
 
 def _segments(events: DataFrame, heavy_users: DataFrame, n_rows: int, max_events: int, min_segment: int | None) -> DataFrame:
-    """The events of the heavy users with ``segment``, ranges of (user, time, event id) of about ``max_events`` rows."""
-    least = MIN_SEGMENT_EVENTS if min_segment is None else min_segment
-    n_segments = math.ceil(n_rows / max(max_events, least)) + 1
+    """The events of the heavy users with ``segment``, ranges of (user, time, event id) of ``max_events`` rows at most.
+
+    A partition holds many segments if they are short, so tasks and files grow with the events only.  Rows
+    come in order, and so do the numbers of segments.  They are fixed once the rows are stored.
+    """
+    length = max(max_events, MIN_SEGMENT_EVENTS if min_segment is None else min_segment)
+    n_tasks = math.ceil(n_rows / max(length, TASK_EVENTS)) + 1
+    number = F.monotonically_increasing_id()  # the partition above the lower 33 bits, the row in it below
+    row = number.bitwiseAND(F.lit((1 << 33) - 1))
     return (
         events.join(heavy_users.select("user_id"), "user_id", "left_semi")
-        .repartitionByRange(n_segments, "user_id", *ORDER)
-        .withColumn("segment", F.spark_partition_id())
+        .repartitionByRange(n_tasks, "user_id", *ORDER)
+        .sortWithinPartitions("user_id", *ORDER)
+        .withColumn("segment", number - row + int_div(row, F.lit(length)))
     )
 
 
 def split_histories(events: DataFrame, max_events: int = MAX_EVENTS_PER_TASK, min_segment: int | None = None) -> Histories:
     """Separate the users whose history is too long for one task and cut it into segments.
 
-    Segments have about ``max_events`` events, but ``min_segment`` at least (``MIN_SEGMENT_EVENTS`` by default).
+    Segments have up to ``max_events`` events, or ``min_segment`` if that is more (``MIN_SEGMENT_EVENTS`` by default).
     Users are counted, and heavy ones are partitioned and checkpointed, while the plan is made; a dataset
     that is read more than once is prepared by :func:`prepare_histories`.
     """
@@ -110,7 +120,7 @@ def prepare_histories(
     _heavy_users(events, max_events).write.mode("overwrite").parquet(f"{path}/users")
     users = spark.read.schema("user_id bigint, n bigint").parquet(f"{path}/users")
     n_rows = users.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cut = _segments(events, users, n_rows, max_events, min_segment).sortWithinPartitions("user_id", *ORDER)
+    cut = _segments(events, users, n_rows, max_events, min_segment)
     cut.write.mode("overwrite").parquet(f"{path}/events")
     stored = spark.read.schema(cut.schema).parquet(f"{path}/events")
     borders = stored.groupBy("segment", "user_id").agg(
@@ -129,7 +139,7 @@ def open_histories(events: DataFrame, path: str) -> Histories:
     if not folder_exists(spark, f"{path}/segments/_SUCCESS"):
         raise ValueError(f"{path} is not prepared")
     users = spark.read.schema("user_id bigint").parquet(f"{path}/users")
-    schema = StructType(events.schema.fields).add("segment", "integer")
+    schema = StructType(events.schema.fields).add("segment", "long")
     return Histories(
         regular=events.join(users, "user_id", "left_anti"), heavy=spark.read.schema(schema).parquet(f"{path}/events")
     )

@@ -156,6 +156,24 @@ def test_prepared_histories_are_planned_without_a_job(spark, events_of, tmp_path
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_short_segments_share_tasks(spark, events_of, tmp_path, monkeypatch):
+    """Tasks and files grow with the heavy users' events, not with the number of segments."""
+    monkeypatch.setattr("eventstrand.operators.histories.TASK_EVENTS", 1000)
+    rows = [(u, i // 3, float(i % 5), 3, 1) for u in range(40) for i in range(50)] + [(99, 0, 1.0, 3, 1)] * 5
+    raw = events_of(rows)
+    path = prepare_dataset(raw, str(tmp_path / "p"), 10, min_segment=1)
+    assert len([f for f in os.listdir(f"{path}/events") if f.endswith(".parquet")]) <= 3
+    stored = spark.read.parquet(f"{path}/events")
+    segments = stored.groupBy("segment").agg(
+        F.count("*").alias("n"), *[f(F.struct("user_id", "timestamp_event", "event_id")).alias(f.__name__) for f in (F.min, F.max)]
+    ).orderBy("segment").collect()
+    assert sum(r.n for r in segments) == 2000 and len(segments) >= 200 and max(r.n for r in segments) <= 10
+    assert all(a.max < b.min for a, b in zip(segments, segments[1:]))
+    got, plain = features_of(raw, prepared=path).rows(), features_of(raw).rows()
+    assert got.count() == 2005 and got.exceptAll(plain).isEmpty()
+    assert split_histories(normalise_events(raw), 10, min_segment=1).heavy.rdd.getNumPartitions() <= 3
+
+
 def test_preparing_again(spark, events_of, tmp_path):
     raw, path = events_of([(1, i, 1.0, 1, 1) for i in range(20)] + [(2, 0, 1.0, 1, 1)]), str(tmp_path / "p")
     with pytest.raises(ValueError, match="not prepared"):
