@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -13,6 +14,7 @@ from eventstrand.session import configure, session_folder, shared_dir
 # A word is a run of characters other than space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 _MASK = (1 << 64) - 1
+ROWS_PER_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +47,22 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return _stored(df, self.path(name))
+    def keep(self, df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+        """``rows``: about how many there are at most, if known; then no more files are written than they need.
 
-    def hand_over(self, df: DataFrame) -> DataFrame:
-        return _stored(df, f"{session_folder(self.spark)}/{self.name}")
+        ``df`` must not rely on the number of the task that runs it then.
+        """
+        return _stored(df, self.path(name), rows, rows_per_file)
 
+    def hand_over(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        return _stored(df, f"{session_folder(self.spark)}/{self.name}", rows, ROWS_PER_FILE)
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+
+def _stored(df: DataFrame, path: str, rows: int | None, rows_per_file: int) -> DataFrame:
+    """Every file costs an executor several processes on a local file system, so small tables get few."""
+    if rows is not None:
+        # partitions are joined one after the other, so a task holds no more at a time
+        df = df.coalesce(max(math.ceil(rows / rows_per_file), df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

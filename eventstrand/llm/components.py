@@ -25,15 +25,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of the links ``a, b``; a <> b.
 
-    Each round halves the distance to the smallest node or better and is a stored table.  Nodes that are
-    components' smallest are not listed.
+    ``links`` are read twice, so they should be stored.  Each round halves the distance to the smallest node
+    or better and is a stored table.  Nodes that are components' smallest are not listed.
     """
     current = scratch.keep(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0"
+        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
+        f"{name}-0", links.count(),
     )
-    state = None
+    n_links, state = current.count(), None
     for k in range(1, MAX_ROUNDS):
-        current = scratch.keep(_star(_star(current, large=True), large=False), f"{name}-{k}")
+        # a round leaves at most a link a link, and one a node
+        current = scratch.keep(_star(_star(current, large=True), large=False), f"{name}-{k}", 2 * n_links)
         last, state = state, current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -23,6 +23,7 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
 # Buckets with more members are compared by blocks inside tasks instead of by listed pairs.
 LISTED_MEMBERS = 8
+VERIFIED_PER_FILE = 10_000  # pairs, each with two texts to compare
 BLOCK_SHINGLES, BLOCK_MEMBERS, MATRIX_COLUMNS = 400_000, 400, 2_048
 
 
@@ -233,27 +234,30 @@ def near_duplicates(
             sketched.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull()).groupBy("same").agg(
                 F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
             ),
-            "nodes",
+            "nodes", sketched.count(),
         )
         members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
         texts = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
         likely = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-        led = scratch.keep(_led(members), "led")
+        led = scratch.keep(_led(members), "led", bands * nodes.count())
+        n_led = led.count()
         near_leader = led.where((F.col("node") != F.col("a")) & likely(F.col("n"), F.col("n_a")))
-        pairs = scratch.keep(near_leader.select("a", F.col("node").alias("b")).distinct(), "pairs")
+        pairs = scratch.keep(near_leader.select("a", F.col("node").alias("b")).distinct(), "pairs", n_led)
         # pairs grow with the documents, so they are joined by shuffles at every size
-        links = scratch.keep(_verified(pairs.hint("merge"), texts.hint("merge"), percent), "links")
+        links = scratch.keep(
+            _verified(pairs.hint("merge"), texts.hint("merge"), percent), "links", pairs.count(), VERIFIED_PER_FILE
+        )
         found = components(links, scratch, "first")
 
         grouped = scratch.keep(
             led.select("node", "n", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")),
-            "grouped",
+            "grouped", n_led,
         )
         mixed = grouped.groupBy("bucket").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")
         ).where("lo < hi").select("bucket", "size", "shingles")
-        rest = scratch.keep(grouped.join(mixed, "bucket"), "mixed")
+        rest = scratch.keep(grouped.join(mixed, "bucket"), "mixed", n_led)
         few, many = rest.where(F.col("size") <= LISTED_MEMBERS), rest.where(F.col("size") > LISTED_MEMBERS)
         left, right = (few.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component")]) for x in "ab")
         across = (
@@ -263,12 +267,14 @@ def near_duplicates(
         )
         sets = _block_sets(texts, many.select("node").distinct())
         across = across.unionByName(_block_links(many, sets, percent)).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = scratch.keep(_verified(scratch.keep(across, "across"), texts, percent), "more-links")
+        across = scratch.keep(across, "across")
+        more = scratch.keep(_verified(across, texts, percent), "more-links", across.count(), VERIFIED_PER_FILE)
         final = components(links.unionByName(more), scratch, "second")
         named = nodes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
         result = sketched.drop("bands").join(named, "same", "left")
         alone = F.col("same").isNull() | F.col("doc_id").isNull()
         return scratch.hand_over(
             result.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key", "same")
+            .select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_key", "same"),
+            sketched.count(),
         )

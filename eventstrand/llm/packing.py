@@ -114,7 +114,7 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             placed.where(F.col("fill") < FULL_SHARE * capacity)
             .groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("size"))
         )
-        items = scratch.keep(underfull, f"underfull-{level}")
+        items = scratch.keep(underfull, f"underfull-{level}", n)
         left = items.count()
         if not left:
             break
@@ -149,4 +149,4 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int =
         full = cut_up.where(F.col("length") == capacity).select(
             "item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
         )
-        return scratch.hand_over(cut_up.join(placed.unionByName(full), "item").drop("item"))
+        return scratch.hand_over(cut_up.join(placed.unionByName(full), "item").drop("item"), cut_up.count())

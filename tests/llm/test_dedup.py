@@ -100,6 +100,28 @@ def test_small_sets_fill_by_the_second_half_of_rounds():
     assert (sketcher.sketch(one) != sketcher.sketch(one + np.uint64(1))).all()
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: every file costs an executor processes of its own."""
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    n_files = lambda df: len(df.inputFiles())
+    stored, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: stored.setdefault(name, keep(self, df, name, *a)))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = [(i, " ".join(f"w{(i // 3) * 7 + j}" for j in range(40)) + f" x{i}") for i in range(600)]
+        found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+        stored["result"] = found
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: i - i % 3 for i in range(600)}
+        few = spark.sparkContext.defaultParallelism
+        for name in ("nodes", "led", "pairs", "links", "grouped", "first-1", "second-1", "result"):
+            assert n_files(stored[name]) <= few, name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 9), (9, 8)]
