@@ -47,22 +47,22 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """``rows``: about how many there are at most, if known; then no more files are written than they need.
 
-        ``df`` must not rely on the number of the task that runs it then.
+        ``df`` must not rely on the number of the task that runs it then, nor read much more than it returns.
         """
-        return _stored(df, self.path(name), rows, rows_per_file)
+        return _stored(df, self.path(name), rows)
 
     def hand_over(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        return _stored(df, f"{session_folder(self.spark)}/{self.name}", rows, ROWS_PER_FILE)
+        return _stored(df, f"{session_folder(self.spark)}/{self.name}", rows)
 
 
-def _stored(df: DataFrame, path: str, rows: int | None, rows_per_file: int) -> DataFrame:
+def _stored(df: DataFrame, path: str, rows: int | None) -> DataFrame:
     """Every file costs an executor several processes on a local file system, so small tables get few."""
     if rows is not None:
         # partitions are joined one after the other, so a task holds no more at a time
-        df = df.coalesce(max(math.ceil(rows / rows_per_file), df.sparkSession.sparkContext.defaultParallelism))
+        df = df.coalesce(max(math.ceil(rows / ROWS_PER_FILE), df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
