@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from eventstrand.llm.common import Scratch, mix
+from eventstrand.llm.common import Scratch, kept_by_worker, mix
 from eventstrand.llm.tokens import ByteWords, byte_characters, pieces
 
 # Bytes of text in a block; a longer text is a block of its own.
@@ -183,14 +183,9 @@ class Aligner:
         return result
 
 
-_loaded: dict = {}
-
-
 def _aligner(path_a: str, path_b: str) -> Aligner:
     """One per Python worker and pair of vocabularies."""
-    if (path_a, path_b) not in _loaded:
-        _loaded[path_a, path_b] = Aligner(path_a, path_b)
-    return _loaded[path_a, path_b]
+    return kept_by_worker((Aligner, path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 class _Numbers(dict):

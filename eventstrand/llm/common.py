@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
+from collections.abc import Callable, Hashable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,6 +75,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(key: Hashable, make: Callable[[], object]):
+    """What a Python worker makes once and keeps from task to task, until :func:`free_worker`."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def free_worker() -> None:
+    """Let go of what this Python worker keeps.
+
+    Workers outlive the stages of a job, so what one operator kept would stay beside the memory of those after
+    it.  Operators that keep nothing call this once a task.
+    """
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def seeded(name: str, count: int) -> np.ndarray:
     """``count`` fixed odd 64-bit numbers."""
     return np.array(

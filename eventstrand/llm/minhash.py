@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventstrand.llm.common import Scratch, grams, mix, seeded, signed, word_hashes
+from eventstrand.llm.common import Scratch, free_worker, grams, mix, seeded, signed, word_hashes
 from eventstrand.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -84,6 +84,7 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, same, bands``: ``same`` is a 128-bit digest of the set, null if empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         sketcher = Sketcher(bands * rows)
         for batch in batches:
             counts, same, keys = [], [], []

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from eventstrand.llm.common import kept_by_worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -245,14 +247,9 @@ class CountPieces(Pieces):
         return head + sum(rest)
 
 
-_loaded: dict = {}
-
-
 def _worker(kind: type, path: str):
     """One encoder per Python worker and vocabulary."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return kept_by_worker((kind, path), lambda: kind(path))
 
 
 def encoder(path: str) -> IdPieces:

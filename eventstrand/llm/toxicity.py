@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventstrand.llm.common import Scratch
+from eventstrand.llm.common import Scratch, free_worker
 
 MAX_LABELLED_ROWS = 200_000
 _WORDS = re.compile(r"\w+").findall
@@ -119,6 +119,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
     """Per feature: toxic and clean documents that have it.  Each batch is counted before it is shuffled."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             found: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from eventstrand.llm import counts, packing, token_files, tokens
+from eventstrand.llm import counts, minhash, packing, token_files, tokens, toxicity
 from eventstrand.llm.common import Scratch
 from eventstrand.llm.tokens import BYTE_BPE, WORD_BPE, vocabulary_path
 
@@ -176,3 +176,25 @@ def test_rounds_merge_underfull_bins(spark, monkeypatch):
 def test_ids_that_do_not_fit_are_refused(empty_docs, tmp_path, end_id, bits):
     with pytest.raises(ValueError, match="do not fit"):
         token_files.write_token_files(empty_docs, str(tmp_path), vocabulary_path(BYTE_BPE), end_id, bits=bits)
+
+
+@pytest.mark.parametrize("operator", ["toxicity", "minhash"])
+def test_no_tokenizer_stays_in_the_workers_of_other_operators(spark, operator):
+    docs = spark.range(0, 256, 1, 64).selectExpr("id AS doc_id", "concat('some words of document ', id) AS text", "int(id % 2) AS toxic")
+
+    def held() -> int:
+        def look(batches):
+            import gc
+
+            import pyarrow as pa
+
+            for _ in batches:
+                yield pa.record_batch([pa.array([sum(isinstance(x, tokens.Pieces) for x in gc.get_objects())])], names=["n"])
+
+        return docs.mapInArrow(look, "n long").agg({"n": "max"}).first()[0]
+
+    # idle workers take turns, so each has a task of every stage
+    packing.pieces(docs, vocabulary_path(BYTE_BPE), 0, 2048).collect()
+    assert held() > 0
+    (toxicity._counts(docs) if operator == "toxicity" else minhash._sketches(docs, 4, 5)).collect()
+    assert held() == 0
