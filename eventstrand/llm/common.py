@@ -89,7 +89,7 @@ def free_worker() -> None:
     """Let go of what this Python worker keeps.
 
     Workers outlive the stages of a job, so what one operator kept would stay beside the memory of those after
-    it.  Operators that keep nothing call this once a task.
+    it.  Functions over a task's batches that keep nothing call this first.
     """
     if _kept:
         _kept.clear()
