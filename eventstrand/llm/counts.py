@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eventstrand.llm.tokens import counter
-
-# Texts handed to the encoder at once are cut when their bytes reach this.
-BATCH_BYTES = 4 << 20
-
-
-def _by_bytes(column: pa.Array, limit: int) -> Iterator[pa.Array]:
-    """Slices of about ``limit`` bytes; a longer text is a slice of its own."""
-    start, size = 0, 0
-    for i in range(len(column)):
-        here = len(column[i].as_buffer()) if column[i].is_valid else 0
-        if i > start and size + here > limit:
-            yield column.slice(start, i - start)
-            start, size = i, 0
-        size += here
-    if start < len(column):
-        yield column.slice(start)
+from eventstrand.llm.tokens import by_bytes as _by_bytes, counter
 
 
 def count_tokens(df: DataFrame, vocabulary: str, limit: int, text: str = "text") -> DataFrame:
@@ -38,7 +20,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int, text: str = "text")
     @F.arrow_udf("long")
     def n_tokens(column: pa.Array) -> pa.Array:
         encode = counter(vocabulary).encode
-        lengths = [n for part in _by_bytes(column, BATCH_BYTES) for n in encode(part.to_pylist())]
+        lengths = [n for part in _by_bytes(column) for n in encode(part.to_pylist())]
         return pa.array(lengths, type=pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))

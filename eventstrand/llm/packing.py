@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from eventstrand.llm.common import Scratch
-from eventstrand.llm.tokens import TEXTS_AT_ONCE, encoder
+from eventstrand.llm.tokens import by_bytes, encoder
 
 ITEMS_PER_TASK = 50_000
 FULL_SHARE = 0.995
@@ -33,10 +33,10 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFr
         ids_of = encoder(vocabulary).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                encoded = ids_of(batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist())
-                for doc_id, data in zip(ids[at : at + TEXTS_AT_ONCE], encoded, strict=True):
+            ids, rows = iter(batch.column(0).to_pylist()), []
+            for texts in by_bytes(batch.column(1)):
+                for data in ids_of(texts.to_pylist()):
+                    doc_id = next(ids)
                     data += end
                     for k, (start, n) in enumerate(cut(len(data) // 4, capacity)):
                         rows.append((doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))

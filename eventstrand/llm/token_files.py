@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventstrand.llm.common import Scratch
-from eventstrand.llm.tokens import TEXTS_AT_ONCE, encoder
+from eventstrand.llm.tokens import by_bytes, encoder
 
 BATCH_SEQUENCES = 128
 
@@ -153,11 +153,11 @@ def write_token_files(
         for batch in batches:
             if batch.num_rows:
                 writer = writer or ShardWriter(folder, shard, length, bits)
-                texts = batch.column(1)
-                for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                    encoded = encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
-                    ids = [np.frombuffer(e + end, "<u4") for e in encoded]
-                    writer.add(batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist(), ids)
+                doc_ids, at = batch.column(0).to_pylist(), 0
+                for texts in by_bytes(batch.column(1)):
+                    ids = [np.frombuffer(e + end, "<u4") for e in encode(texts.to_pylist())]
+                    writer.add(doc_ids[at : at + len(ids)], ids)
+                    at += len(ids)
         if writer:
             writer.close()
             row = [[shard], *([n] for n in writer.names), [writer.n_docs], [writer.n_tokens]]

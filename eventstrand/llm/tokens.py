@@ -1,12 +1,13 @@
 """Token ids and counts with public tokenizers, cached by pieces of text that encode independently.
 
-Both tokenizers cut a text before any space that stands between two characters other than white space,
-so such pieces encode on their own.  Each Python worker keeps the codes of the pieces it has met, in two
-generations bounded by bytes: when the younger is full it becomes the older, and pieces met again move up.
-Unseen pieces that are a Latin word, with marks after it or without, are two words of a byte-level
-vocabulary and go to its model directly; others of a batch of texts are encoded in long strings, kept apart
-by a special token.  White space beside a space stays inside a piece; texts that hold a special string are
-encoded whole.
+Both tokenizers cut a text before any space that stands between two characters other than white space, a
+byte-level vocabulary also between a letter and a mark or line end after it, so pieces cut there encode on
+their own.  Cuts are found on the bytes of a whole batch; Arrow numbers its different pieces, so Python looks
+at each of these once a batch, and puts their codes together again.  Each Python worker keeps the codes of the
+pieces it has met, in two generations bounded by bytes: when the younger is full it becomes the older, and
+pieces met again move up.  Unseen pieces that are a Latin word are a word of a byte-level vocabulary and go to
+its model directly; others are encoded in long strings, kept apart by a special token.  White space beside a
+space stays inside a piece; texts that hold a special string are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 from eventstrand.llm.common import kept_by_worker
 
@@ -27,15 +30,24 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 # Bytes of pieces and codes in a generation, with what Python adds to each.
 GENERATION_BYTES, _ENTRY_BYTES = 160 << 20, 200
-TEXTS_AT_ONCE = 256
+# Texts handed to an encoder at once are cut when their bytes reach this.
+BATCH_BYTES = 2 << 20
 _PIECES_AT_ONCE, _KEPT_MARKS = 2_000, 10_000
 
 # Letters of which every version of Unicode says that they are such, and ASCII's marks but for the apostrophe, which
 # begins contractions.  The pre-tokenizer cuts between the two and beside a line's end.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_MARKS = re.escape("""!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~""")
+_ASCII_MARKS = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
+_MARKS = re.escape(_ASCII_MARKS)
 _PLAIN = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)((?:\n[{_LETTERS}]+[{_MARKS}]*)*)")
 _LINE = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+_NEXT_LINE = re.compile(f"([{_MARKS}]*)\n([{_LETTERS}]+)")
+# By byte: ASCII's letters, and what may follow a letter as a piece of its own.
+_IS_LETTER, _IS_MARK = (
+    np.isin(np.arange(256), [ord(c) for c in chars])
+    for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _ASCII_MARKS + "\n")
+)
 
 
 def byte_characters() -> dict[int, str]:
@@ -66,6 +78,27 @@ def pieces(text: str) -> list[str]:
     return _SAFE.split(text) if _beside_space(text) else text.split(" ")
 
 
+def _marks_after_letters(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 of ASCII's marks and line ends right after one of ``_LETTERS``."""
+    at = np.flatnonzero(_IS_MARK[data])
+    before, lead = data[at - 1], data[at - 2]  # a lead byte of two says that ``before`` is the second
+    latin = (lead == 0xC3) & (before != 0x97) & (before != 0xB7) | (lead > 0xC3) & (lead < 0xC9)
+    return at[_IS_LETTER[before] | latin | (lead == 0xC9) & (before < 0x90)]
+
+
+def by_bytes(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Slices of about ``limit`` bytes; a longer text is a slice of its own."""
+    start, size = 0, 0
+    for i in range(len(column)):
+        here = len(column[i].as_buffer()) if column[i].is_valid else 0
+        if i > start and size + here > limit:
+            yield column.slice(start, i - start)
+            start, size = i, 0
+        size += here
+    if start < len(column):
+        yield column.slice(start)
+
+
 class ByteWords:
     """Ids of Latin words, straight from the model of a byte-level BPE without the steps around it."""
 
@@ -114,9 +147,6 @@ def vocabulary_path(name: str) -> str:
 class Pieces:
     """The codes of pieces: ``code`` turns a piece's ids into what is kept of them."""
 
-    #: put before every piece but a text's first
-    space = " "
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -126,7 +156,6 @@ class Pieces:
         self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.apart_id, self.apart = next((i, t.content) for i, t in added.items())
         self.words = ByteWords(self.tokenizer)
-        self.marks: dict[str, object] = {}
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.held = 0
@@ -134,10 +163,6 @@ class Pieces:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def parts(self, text: str) -> list[str] | None:
-        """The pieces of a text; None if it must be encoded whole."""
-        return None if any(s in text for s in self.special) else pieces(text)
-
     def _codes(self, texts: Sequence[str]) -> list:
         """Codes of pieces without special strings."""
         codes = []
@@ -150,77 +175,82 @@ class Pieces:
                 start = end + 1
         return codes
 
+    def _cut(self, plain: list[str], odd: list[list[str]]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of plain texts, which are cut at every space, then of those cut at spaces already.
+
+        Also the number of the first piece of every text, and of all.
+        """
+        units = pa.array(plain + [unit for text in odd for unit in text], pa.large_string())
+        _, starts, data = units.buffers()
+        starts = np.frombuffer(starts, np.int64, len(units) + 1)
+        size = int(starts[-1])
+        array = np.frombuffer(data, np.uint8, size)
+        here = np.zeros(size + 1, bool)
+        here[: starts[len(plain)]] = array[: starts[len(plain)]] == 0x20
+        if self.words.model is not None:
+            here[_marks_after_letters(array)] = True
+        here[starts] = True
+        places = np.flatnonzero(here)
+        found = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), data)
+        firsts = np.cumsum([0, *(len(text) for text in odd)]) + len(plain)
+        return found, np.searchsorted(places, starts[np.concatenate([np.arange(len(plain)), firsts])])
+
     def encode(self, texts: Sequence[str | None]) -> list:
-        """The code of every text; null is empty."""
-        found = []
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            found += self._batch([t or "" for t in texts[at : at + TEXTS_AT_ONCE]])
+        """The code of every text; null is empty.  All are held at once, see :func:`by_bytes`."""
+        found: list = [None] * len(texts)
+        plain, odd = [], []
+        for i, text in enumerate(texts):
+            if not text or any(s in text for s in self.special):
+                found[i] = self.code(self.ids(text or ""))
+            elif _beside_space(text):
+                head, *tail = _SAFE.split(text)
+                odd.append((i, [head, *(" " + piece for piece in tail)]))
+            else:
+                plain.append((i, text))
+        if plain or odd:
+            cut, bounds = self._cut([text for _, text in plain], [units for _, units in odd])
+            numbered = cut.dictionary_encode()
+            codes = self._learn(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+            for (i, _), code in zip(plain + odd, self.gathered(codes, numbered.indices, bounds), strict=True):
+                found[i] = code
         return found
 
-    def _word(self, word: str):
-        """Code of one word of the pre-tokenizer."""
-        return self.word_code(self.words.word(word))
-
     def _remember(self, piece: str, code) -> None:
         self.young[piece] = code
         self.held += _ENTRY_BYTES + len(piece) + (len(code) if isinstance(code, bytes) else 0)
 
-    def _marks(self, marks: str):
-        code = self.marks.get(marks)
-        if code is None:
-            code = self._word(marks)
-            if len(self.marks) < _KEPT_MARKS and len(marks) < 9:
-                self.marks[marks] = code
-        return code
-
-    def _plain(self, word: str, marks: str, lines: str):
-        """Code of a Latin word, with its space, of the marks after it, and of such words on the next lines."""
-        head = self.young.get(word)
-        if head is None:
-            head = self.old.get(word)
-            if head is None:
-                head = self._word(self.space + word)
-            if marks or lines:
-                self._remember(word, head)
-        if not (marks or lines):
-            return head
-        rest = [self._marks(marks)] if marks else []
-        for line in lines.split("\n")[1:]:
-            word, marks = _LINE.fullmatch(line).groups()
-            rest += [self._marks("\n"), self._word(word)]
-            if marks:
-                rest.append(self._marks(marks))
-        return self.joined(head, rest)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Bring the codes of all pieces into the young generation."""
+    def _plain(self, piece: str):
+        """Code of a Latin word, or of one that begins a line and the marks before that; None for other pieces."""
+        words = self.words
+        if words.model is None:
+            return None
+        if _WORD.fullmatch(piece):
+            return self.word_code(words.word(piece))
+        if found := _NEXT_LINE.fullmatch(piece):
+            marks, word = found.groups()
+            ids = words.marks(marks) if marks else []
+            return self.word_code(ids + words.marks("\n") + words.word(word))
+        return None
+
+    def _learn(self, pieces: list[str]) -> list:
+        """The codes of different pieces, all brought into the young generation."""
         if self.held > GENERATION_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
+        codes = list(map(self.young.get, pieces))
         others = []
-        for piece in pieces.difference(self.young):
-            code = self.old.get(piece)
-            if code is None and self.words.model is not None and (found := _PLAIN.fullmatch(piece)):
-                code = self._plain(*found.groups())
+        for i in [i for i, code in enumerate(codes) if code is None]:
+            code = self.old.get(pieces[i])
             if code is None:
-                others.append(piece)
+                code = self._plain(pieces[i])
+            if code is None:
+                others.append(i)
             else:
-                self._remember(piece, code)
-        for piece, code in zip(others, self._codes([self.space + p for p in others]), strict=True):
-            self._remember(piece, code)
-
-    def _batch(self, texts: list[str]) -> list:
-        cut = [self.parts(t) if t else None for t in texts]
-        seen = set()
-        for parts in cut:
-            if parts:
-                seen.update(parts[1:])
-        self._learn(seen)
-        known = self.young
-        heads = iter(self._codes([parts[0] for parts in cut if parts]))
-        return [
-            self.joined(next(heads), map(known.__getitem__, parts[1:])) if parts else self.code(self.ids(t))
-            for t, parts in zip(texts, cut, strict=True)
-        ]
+                self._remember(pieces[i], code)
+                codes[i] = code
+        for i, code in zip(others, self._codes([pieces[i] for i in others]), strict=True):
+            self._remember(pieces[i], code)
+            codes[i] = code
+        return codes
 
 
 class IdPieces(Pieces):
@@ -233,8 +263,12 @@ class IdPieces(Pieces):
         return array("I", ids).tobytes()
 
     @staticmethod
-    def joined(head: bytes, rest) -> bytes:
-        return head + b"".join(rest)
+    def gathered(codes: list[bytes], places: pa.Array, bounds: np.ndarray) -> list[bytes]:
+        """The codes at ``places``, joined between neighbouring ``bounds``."""
+        _, offsets, data = pa.array(codes, pa.large_binary()).take(places).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(places) + 1)[bounds].tolist()
+        data = memoryview(data)
+        return [data[start:end].tobytes() for start, end in pairwise(ends)]
 
 
 class CountPieces(Pieces):
@@ -243,8 +277,9 @@ class CountPieces(Pieces):
     code = word_code = staticmethod(len)
 
     @staticmethod
-    def joined(head: int, rest) -> int:
-        return head + sum(rest)
+    def gathered(codes: list[int], places: pa.Array, bounds: np.ndarray) -> list[int]:
+        sums = np.append(0, np.cumsum(np.array(codes, np.int64)[places.to_numpy()]))
+        return np.diff(sums[bounds]).tolist()
 
 
 def _worker(kind: type, path: str):

@@ -198,3 +198,24 @@ def test_no_tokenizer_stays_in_the_workers_of_other_operators(spark, operator):
     assert held() > 0
     (toxicity._counts(docs) if operator == "toxicity" else minhash._sketches(docs, 4, 5)).collect()
     assert held() == 0
+
+
+def test_a_word_is_remembered_once_whatever_marks_follow_it(byte_bpe):
+    encoder = tokens.IdPieces(vocabulary_path(BYTE_BPE))
+    marks = ["", ",", ".", "!?", ";", ":", ".)", "-"]
+    text = "so " + " ".join(f"Blauwolkigkeité{m}" for m in marks)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == direct(byte_bpe, text)
+    assert sum("Blauwolkigkeité" in piece for piece in encoder.young) == 1
+
+
+def test_cuts_between_letters_and_marks(byte_bpe, word_bpe):
+    rng = random.Random(4)
+    letters = ["A", "z", "À", "Ö", "×", "Ø", "ö", "÷", "ø", "ÿ", "ĀĀ", "Ɏ", "ɏ", "ɐ", "Ω", "я", "中", "é", "5", "²"]
+    after = ["", " ", ",", "\n", "\n\n", ".\n", "'", "'s ", "\r\n", "\t", "_", " \n", "  ", "\xa0", "\x85", "€", "“", ".'", "\x00"]
+    texts = ["".join(rng.choice(letters) * rng.randint(1, 3) + rng.choice(after) for _ in range(12)) for _ in range(3000)]
+    for got, n, text in zip(
+        tokens.IdPieces(vocabulary_path(BYTE_BPE)).encode(texts),
+        tokens.CountPieces(vocabulary_path(WORD_BPE)).encode(texts), texts, strict=True,
+    ):
+        assert np.frombuffer(got, "<u4").tolist() == direct(byte_bpe, text), text
+        assert n == len(direct(word_bpe, text)), text
