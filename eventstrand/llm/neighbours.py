@@ -228,7 +228,8 @@ def nearest(
             .groupBy("block").agg(F.collect_list("id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         )
-        answers = blocks.join(index, "shard").mapInArrow(search, "query_id long, vec_id long, score double")
+        # not broadcast: sizes are guessed without the explode, so blocks of every shard would pass the driver
+        answers = blocks.join(index.hint("merge"), "shard").mapInArrow(search, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
         return scratch.hand_over(ranked.select("query_id", "rank", "vec_id", "score"))

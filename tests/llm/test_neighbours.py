@@ -111,3 +111,23 @@ def test_recall_among_scaled_and_moved_copies(spark, moved, shard_rows):
         hits += sum(s >= fifth - 1e-12 for _, s in got[q])
         total += 5
     assert hits >= 0.95 * total, hits / total
+
+
+def test_queries_of_many_shards_do_not_pass_the_driver(spark, monkeypatch, plan_of):
+    """The queries are few, so they would be broadcast, but each shard has a copy of them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(500, 8)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, hand_over = [], neighbours.Scratch.hand_over
+
+    def seen(scratch, answers, *more):
+        answers.collect()  # so that its plan is the one that ran
+        plans.append(plan_of(answers))
+        return hand_over(scratch, answers, *more)
+
+    monkeypatch.setattr(neighbours.Scratch, "hand_over", seen)
+    got = answers_of(neighbours.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=20))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    want = brute(rows, lambda i: i % 50 == 0, 5)
+    assert got.keys() == want.keys() and all(len(found) == 5 for found in got.values())
+    assert sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
