@@ -134,11 +134,14 @@ def vectors_of(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _direction(vector: Column) -> Column:
-    """The rounded unit vector."""
-    largest = F.array_max(F.transform(vector, F.abs))
-    scaled = F.transform(vector, lambda x: x / largest)
+    """The rounded unit vector.
+
+    A lambda evaluates for every component what it names, so the largest component and the norm are repeated first.
+    """
+    divided = lambda components, by: F.zip_with(components, F.array_repeat(by, F.size(vector)), lambda x, y: x / y)
+    scaled = divided(vector, F.array_max(F.transform(vector, F.abs)))
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(scaled, lambda x: F.round(x / norm, DIRECTION_DECIMALS) + 0.0)
+    return F.transform(divided(scaled, norm), lambda x: F.round(x, DIRECTION_DECIMALS) + 0.0)
 
 
 def build_index(vectors: DataFrame, shards: int, neighbours: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,13 @@ def test_queries_of_many_shards_do_not_pass_the_driver(spark, monkeypatch, plan_
     want = brute(rows, lambda i: i % 50 == 0, 5)
     assert got.keys() == want.keys() and all(len(found) == 5 for found in got.values())
     assert sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_directions_take_time_by_the_length_of_vectors(spark):
+    """Not by its cube: four vectors of 700 took minutes."""
+    x = np.random.default_rng(9).normal(size=(4, 700)) * [[1e-200], [1.0], [50.0], [1e200]]
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "v array<double>").coalesce(1)
+    began = time.monotonic()
+    got = np.array([r.d for r in df.select(neighbours._direction(F.col("v")).alias("d")).collect()])
+    assert time.monotonic() - began < 20
+    assert np.allclose(got, neighbours._unit(x), rtol=0, atol=0.51 * 10**-neighbours.DIRECTION_DECIMALS)
